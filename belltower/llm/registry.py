@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, media
+from belltower.llm import bpe, media, pii, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
     "op2_media_columns": lambda spark, d: media.digest(read(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.digest(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op7_pii": lambda spark, d: pii.personal_data(read(spark, d, "documents")),
+    "op10_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {}
