@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, decontaminate, media, pii, toxicity
+from belltower.llm import bpe, decontaminate, language_model, media, pii, sharding, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
     "op1_decontamination": lambda spark, d: decontaminate.query(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op2_media_columns": lambda spark, d: media.digest(read(spark, d, "documents")),
+    "op3_language_model": lambda spark, d: language_model.scored(read(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.digest(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op6_sharding": lambda spark, d: sharding.query(read(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.personal_data(read(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
 }
