@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from belltower.llm.common import is_small, settled
 
-WINDOW, ANCHORS = 10, 3
+WINDOW, ANCHORS = 10, 2
 #: Windows or words are broadcast up to so many rows; beyond, the join shuffles.
 MAX_BROADCAST = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,16 +72,16 @@ def places(index: DataFrame, chosen: DataFrame, tolerance: int = 0) -> DataFrame
 
     Rarest list first: the others only filter what it brings.
     """
-    needed = chosen.groupBy("window").agg(F.count("*").alias("needed"))
-    lists = small(settled(chosen.join(needed, "window")))
-    first = lists.where("rank = 0")
-    found = index.join(first, "word").select("doc_id", "window", "needed", (F.col("position") - F.col("offset")).alias("start")).where(F.col("start") >= -tolerance)
-    rest = index.join(lists.where("rank > 0"), "word").select("doc_id", "window", "rank", (F.col("position") - F.col("offset")).alias("place"))
-    if tolerance:  # an entry may serve every start near it
-        rest = rest.withColumn("place", F.explode(F.sequence(F.col("place") - tolerance, F.col("place") + tolerance)))
-    every = found.select("doc_id", "window", "start", "needed", F.lit(0).alias("rank")).unionByName(rest.select("doc_id", "window", F.col("place").alias("start"), F.lit(None).cast("long").alias("needed"), "rank"))
-    met = every.groupBy("doc_id", "window", "start").agg(F.max("needed").alias("needed"), F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"))
-    return met.where("needed IS NOT NULL AND bit_count(ranks) = needed").select("doc_id", "window", "start")
+    lists = small(chosen)
+    found = index.join(lists.where("rank = 0").drop("rank"), "word").select("doc_id", "window", (F.col("position") - F.col("offset")).alias("start")).where(F.col("start") >= -tolerance)
+    # what each further list must hold for a start to stay; windows of fewer distinct words have fewer lists
+    rest = lists.where("rank > 0").groupBy("window").agg(F.collect_list(F.struct("word", "offset")).alias("rest"))
+    found = settled(found.join(small(rest), "window", "left"))
+    wanted = found.select("doc_id", "window", "start", F.size("rest").alias("needed"), F.posexplode("rest").alias("k", "a")).select("doc_id", "window", "start", "needed", "k", "a.word", (F.col("start") + F.col("a.offset")).alias("position"))
+    if tolerance:  # an entry serves every start near it
+        wanted = wanted.withColumn("position", F.explode(F.sequence(F.col("position") - tolerance, F.col("position") + tolerance)))
+    met = wanted.join(index, ["doc_id", "position", "word"], "left_semi").groupBy("doc_id", "window", "start").agg(F.max("needed").alias("needed"), F.countDistinct("k").alias("met"))
+    return met.where("met = needed").select("doc_id", "window", "start").unionByName(found.where("rest IS NULL").select("doc_id", "window", "start")).distinct()
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, tolerance: int = 3, size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
     """The kept columns and n_words, n_hit, n_items, items_sha256, contaminated, the hit items and the hit word positions of every row."""
     found = phrase_places(docs, items, size, k).withColumnRenamed("doc_id", "__id")
     rows = docs.select(*dict.fromkeys((*keep, "doc_id", "text")))
-    both = rows.join(found, rows["doc_id"] == found["__id"], "left").withColumn("__w", words(F.col("text")))
+    both = rows.join(found.hint("shuffle_hash"), rows["doc_id"] == found["__id"], "left").withColumn("__w", words(F.col("text")))
     same = F.filter(F.coalesce("starts", F.array()), lambda s: F.array_join(F.slice("__w", s["start"] + 1, s["n"]), " ") == s["window"])
     both = both.withColumn("__hits", F.when(F.col("starts").isNotNull(), same))
     covered = F.array_distinct(F.flatten(F.transform("__hits", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
