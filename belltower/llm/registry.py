@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, decontaminate, jaccard, language_model, media, pii, sharding, toxicity
+from belltower.llm import bpe, decontaminate, html_text, jaccard, language_model, media, pii, sharding, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_sharding": lambda spark, d: sharding.query(read(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.personal_data(read(spark, d, "documents")),
     "op8_jaccard_join": lambda spark, d: jaccard.query(read(spark, d, "documents")),
+    "op9_html_text": lambda spark, d: html_text.main_text(read(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL}
