@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, decontaminate, html_text, jaccard, language_model, media, pii, sharding, toxicity
+from belltower.llm import bpe, decontaminate, html_text, jaccard, language_model, line_dedup, media, pii, sharding, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op2_media_columns": lambda spark, d: media.digest(read(spark, d, "documents")),
     "op3_language_model": lambda spark, d: language_model.scored(read(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.digest(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
+    "op5_line_dedup": lambda spark, d: line_dedup.query(read(spark, d, "documents")),
     "op6_sharding": lambda spark, d: sharding.query(read(spark, d, "documents")),
     "op7_pii": lambda spark, d: pii.personal_data(read(spark, d, "documents")),
     "op8_jaccard_join": lambda spark, d: jaccard.query(read(spark, d, "documents")),
