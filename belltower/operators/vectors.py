@@ -31,3 +31,25 @@ def self_top_k(embeddings: DataFrame, query_ids: Iterable[int], k: int) -> DataF
     scored = rows.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * norm(F.col("embedding"))), 6).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def unit(v: Column, size: int) -> Column:
+    """The vector at length one, padded with zeros to size; zero vectors stay."""
+    n = norm(v)
+    scaled = F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return F.concat(scaled, F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(v), F.lit(0))))
+
+
+def hash_embedding(text: Column, size: int) -> Column:
+    """A deterministic vector of a text: big-endian 16-bit parts of SHA-256 over text and counter, scaled to -1..1, at length one."""
+    per = 16
+    raw = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit((size + per - 1) // per - 1)),
+            lambda i: F.transform(
+                F.sequence(F.lit(0), F.lit(per - 1)),
+                lambda j: F.conv(F.substring(F.sha2(F.concat(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.unhex(F.lpad(F.hex(i), 8, "0"))), 256), j * 4 + 1, F.lit(4)), 16, 10).cast("double") / 32767.5 - 1,
+            ),
+        )
+    )
+    return unit(F.slice(raw, 1, size), size)

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from belltower.operators import vectors
-from belltower.sources.tables import table
+from belltower.plans import relational, vector_search
 
 FLAGSHIP = "vector_top_k"
-QUERIES = {"vector_top_k": lambda spark, d: vectors.self_top_k(table(spark, d, "embeddings"), query_ids=range(10), k=4)}
-ORACLE_SQL = {
-    "vector_top_k": """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS similarity
-      FROM e q, e WHERE q.vec_id < 10 AND q.vec_id <> e.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 4"""
-}
+MODULES = (vector_search, relational)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
