@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from belltower.plans import relational, sequence, vector_search
+from belltower.plans import relational, retrieval, sequence, vector_search
 
-FLAGSHIP = "vector_top_k"
-MODULES = (vector_search, relational, sequence)
+FLAGSHIP = "hybrid_search"
+MODULES = (vector_search, relational, sequence, retrieval)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
