@@ -100,6 +100,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     """(key, shared): how many of a set's shingles occur in other sets too (a few more where 32-bit halves collide).
 
     Shingles are dealt out by hash, packed by task and bucket: keys, numbers of shingles, shingles.
+    What each bucket says of the sets goes on packed by set, and is added there.
     """
     buckets = partitions(docs.sparkSession)
 
@@ -163,11 +164,20 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             more[order[:-1]] |= same
             total = np.bincount(owner[more], minlength=len(keys))
             at = np.flatnonzero(total)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(total[at].astype(np.int64))], names=["key", "shared"])
+            pack = keys[at].view(np.uint64) % np.uint64(buckets)
+            for k in range(buckets):
+                if len(mine := at[pack == k]):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([keys[mine].tobytes()], pa.binary()), pa.array([total[mine].astype(np.int64).tobytes()], pa.binary())], names=["pack", "keys", "shared"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(b.column("keys").to_pylist(), b.column("shared").to_pylist(), strict=True)]
+        if rows:
+            keys, to = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k, _ in rows]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(to, np.concatenate([np.frombuffer(n, np.int64) for _, n in rows])).astype(np.int64))], names=["key", "shared"])
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, keys binary, counts binary, tokens binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    packed = dealt.mapInArrow(count, "pack int, keys binary, shared binary").repartition(buckets, "pack")
+    return packed.mapInArrow(add, "key long, shared long")
 
 
 def candidate_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
