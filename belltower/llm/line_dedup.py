@@ -95,6 +95,27 @@ def line_keys(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return part_hash(total, starts, ends, 0), n, total, starts
 
 
+def in_parts(lines: list[str], chars: int = 500_000) -> Iterator[list[str]]:
+    """The lines in runs of about so many code points, which bounds what the hashing arrays need."""
+    part, held = [], 0
+    for x in lines:
+        part.append(x)
+        held += len(x)
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def keys_and_lengths(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found = [line_keys(part)[:2] for part in in_parts(lines)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, n = zip(*found, strict=True)
+    return np.concatenate(keys), np.concatenate(n)
+
+
 def part_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
     _, down = _POWERS.upto(len(total))
     return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) + np.uint64(salt * 0xA24BAED4963EE407 % 2**64))
@@ -149,7 +170,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             rows += [r] * len(found)
             numbers += [i for i, _ in found]
             lines += [x for _, x in found]
-        keys, n, _, _ = line_keys(lines)
+        keys, n = keys_and_lengths(lines)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys.view(np.int64)), pa.array(n)], names=["doc_id", "row", "line", "key", "n"])
 
     return by_batch(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), f, "doc_id long, row long, line long, key long, n long")
@@ -160,8 +181,8 @@ def meetings(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = list({x for t in texts(b.column("text")) for x in lines_of(t) if len(x) >= min_chars})
-            if lines:
+            every = list({x for t in texts(b.column("text")) for x in lines_of(t) if len(x) >= min_chars})
+            for lines in in_parts(every):
                 e, who, probing = entries(lines, edits)
                 keys = line_keys(lines)[0].view(np.int64)[who]
                 yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(keys), pa.array(probing)], names=["entry", "key", "probing"])
@@ -207,7 +228,7 @@ def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
         for t, w in zip(texts(b.column("text")), b.column("keys").to_pylist(), strict=True):
             w = set(w)
             found = [x for x in lines_of(t) if x]
-            for k, x in zip(line_keys(found)[0].view(np.int64).tolist(), found, strict=True):
+            for k, x in zip(keys_and_lengths(found)[0].view(np.int64).tolist(), found, strict=True):
                 if k in w:
                     w.discard(k)
                     keys.append(k)
