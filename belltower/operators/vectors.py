@@ -1,12 +1,17 @@
-"""Exact vector search with built-in column functions."""
+"""Exact vector search and vector columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries whose matrix and best rows a task holds at a time.
+BLOCK = 2000
+
 
 def _sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -20,17 +25,58 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def self_top_k(embeddings: DataFrame, query_ids: Iterable[int], k: int) -> DataFrame:
-    """The k rows most similar by cosine to each query row, itself left out.
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k rows (vec_id, embedding) most similar by cosine to each query row (query_id, q), the row of the same id left out; ties go to the lesser id.
 
-    The query rows are few by contract (a stated id list), so they are broadcast;
-    the table is scanned once and each partition keeps k rows a query before the shuffle.
+    Queries are taken in blocks of about `block` rows. A block is broadcast as one matrix and
+    meets every row by a matrix product; each task keeps k rows a query and sends no others.
+    Vectors of another size than the queries', of length zero, or null take no part.
     """
-    rows = embeddings.select("vec_id", "embedding").where(F.col("embedding").isNotNull())
-    q = rows.where(F.col("vec_id").isin(list(query_ids))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    scored = rows.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / (F.col("qn") * norm(F.col("embedding"))), 6).alias("similarity"))
+    q = queries.where(norm(F.col("q")) > 0)
+    total, dims = q.agg(F.count("*"), F.max(F.size("q"))).first()
+    parts = max(-(-total // block), 1)
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where((F.size("embedding") == (dims or 0)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    found = None
+    for at in range(parts):
+        held = q.where((F.size("q") == (dims or 0)) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == at)).select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).toPandas()
+        near = nearest(rows, held["query_id"].to_numpy(np.int64), np.array(held["q"].tolist(), float).reshape(len(held), dims or 0), k)
+        found = near if found is None else found.unionByName(near)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, similarity): each task's k best rows for every query."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries / np.linalg.norm(queries, axis=1, keepdims=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            v = np.asarray(b.column("embedding").flatten()).reshape(b.num_rows, -1)
+            size = np.linalg.norm(v, axis=1)
+            v, size, own = v[size > 0], size[size > 0], np.asarray(b.column("vec_id"))[size > 0]
+            like = np.round(q @ (v / size[:, None]).T, 6)
+            for j, s in enumerate(like):
+                least = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -2.0
+                at = np.flatnonzero(s >= least)
+                at = at[own[at] != ids[j]]
+                who, sim = np.concatenate([best[j][0], own[at]]), np.concatenate([best[j][1], s[at]])
+                order = np.lexsort((who, -sim))[:k]
+                best[j] = who[order], sim[order]
+        n = [len(w) for w, _ in best]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for w, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "similarity"])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, similarity double")
+
+
+def self_top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:
+    """top_k of the rows whose id is divisible by `every`, against all rows."""
+    q = embeddings.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull())
+    return top_k(embeddings, q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
 def unit(v: Column, size: int) -> Column:

@@ -12,7 +12,9 @@ from belltower.operators import vectors
 from belltower.sources.tables import table
 
 STOP = ("a", "an", "and", "are", "is", "of", "on", "the", "to", "with")
+SUBJECT = ("that", "this", "onth", "ing")
 SYNONYMS = (("that", "this"), ("onth", "ones"), ("inst", "erth"))
+#: Queries are the rows whose id is divisible by this, against all rows.
 QUESTIONS = 20
 
 
@@ -21,12 +23,16 @@ def terms(c: F.Column) -> F.Column:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of stated items, one of them misspelt."""
-    q = table(spark, d, "benchmark").where(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("query_id"), F.slice(terms(F.col("text")), 1, 5).alias("t"))
+    """The first words of the query items, one of them misspelt."""
+    q = table(spark, d, "benchmark").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), F.slice(terms(F.col("text")), 1, 5).alias("t"))
     q = q.withColumn("t", F.concat("t", F.array(F.concat(F.element_at("t", 1), F.lit("qx")))))
     return q.select("query_id", F.explode("t").alias("term")).distinct()
 
 
+def intents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), "text")
+
+
 def synonyms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b) for g in SYNONYMS for a in g for b in g if a != b], "term string, synonym string")
 
@@ -36,7 +42,7 @@ def index(spark: SparkSession, d: str) -> L.Index:
 
 
 def both_channels(s: SparkSession, d: str) -> DataFrame:
-    v = vectors.self_top_k(table(s, d, "embeddings"), range(QUESTIONS), 16).select("query_id", F.col("vec_id").alias("chunk_id"), "similarity", F.lit(0.5).alias("match"), (F.col("vec_id") % 7 == 0).alias("strong"))
+    v = vectors.self_top_k(table(s, d, "embeddings"), QUESTIONS, 16).select("query_id", F.col("vec_id").alias("chunk_id"), "similarity", F.lit(0.5).alias("match"), (F.col("vec_id") % 7 == 0).alias("strong"))
     x = L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s))
     return L.fused(v, x.select("query_id", "chunk_id", "coverage"), 0.3, 4)
 
@@ -68,6 +74,8 @@ QUERIES = {
     "number_words": lambda s, d: table(s, d, "part").select("p_partkey", T.number_in_words(F.col("p_retailprice").cast("long") * 1234).alias("words")),
     "bm25_statistics": lambda s, d: index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s)),
+    "intent_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s), L.asked_for(intents(s, d), "[aeiouAEIOU]th", ("this", "that"))),
+    "topic_words": lambda s, d: table(s, d, "benchmark").select("item_id", T.topic_words(F.col("text"), SUBJECT, F.lower).alias("w")).select("item_id", (F.size("w") > 0).alias("named"), F.array_join("w", " ").alias("words")),
     "hybrid_search": both_channels,
 }
 FORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -81,7 +89,7 @@ def _terms(c: str) -> str:
 BM25 = f"""t AS (SELECT doc_id AS chunk_id, {_terms('text')} AS t FROM documents), tot AS (SELECT count(*) AS chunks, avg(len(t)) AS average FROM t),
 po AS (SELECT chunk_id, n, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL),
 te AS (SELECT term, df, ln(1 + (chunks - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM po GROUP BY 1), tot),
-qt AS (SELECT item_id AS query_id, {_terms('text')}[1:5] AS t FROM benchmark WHERE item_id < {QUESTIONS}), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt),
+qt AS (SELECT item_id AS query_id, {_terms('text')}[1:5] AS t FROM benchmark WHERE item_id % {QUESTIONS} = 0), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt),
 sy(term, synonym) AS (VALUES {', '.join(f"('{a}','{b}')" for g in SYNONYMS for a in g for b in g if a != b)}),
 ex AS (SELECT query_id, q.term, te.term AS variant, 1.0::DOUBLE AS weight, idf FROM q JOIN te USING (term) UNION ALL SELECT query_id, q.term, te.term, 0.8, idf FROM q JOIN sy ON sy.term = q.term JOIN te ON te.term = sy.synonym),
 lost AS (SELECT * FROM q WHERE len(term) >= 3 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = q.query_id AND ex.term = q.term)),
@@ -107,7 +115,13 @@ ORACLE_SQL = {
 SELECT conv_id, nullif(coalesce(string_agg(CASE WHEN before + len(e) <= 700 THEN e WHEN 700 - before > 50 THEN rtrim(e[1:700 - before], ' ') || '...' END, chr(10) || chr(10) ORDER BY turn), ''), '') AS context FROM b WHERE before < 700 GROUP BY conv_id""",
     "bm25_statistics": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM te",
     "bm25_search": f"WITH {BM25} SELECT query_id, chunk_id, score, coverage, rank FROM lx",
-    "hybrid_search": f"""WITH {BM25}, em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM em a, em b WHERE a.vec_id < {QUESTIONS} AND a.vec_id <> b.vec_id),
+    "intent_search": f"""WITH {BM25}, it AS (SELECT item_id AS query_id, unnest(['this', 'that']) AS term FROM benchmark WHERE item_id % {QUESTIONS} = 0 AND regexp_matches(text, '[aeiouAEIOU]th')),
+p2 AS (SELECT query_id, chunk_id, s, base * w AS c FROM pt JOIN ev USING (query_id, term) UNION ALL SELECT query_id, chunk_id, 0.5 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)), 0 FROM it JOIN te USING (term) JOIN po USING (term), tot),
+s2 AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(c) / any_value(whole), 1.0), 6) AS coverage FROM p2 JOIN wh USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, score, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s2 WHERE coverage >= 0.34) WHERE rank <= 4""",
+    "topic_words": r"""WITH w AS (SELECT item_id, row_number() OVER () AS r, string_split_regex(text, '\s+') AS w FROM benchmark), v AS (SELECT item_id, list_filter(list_transform(w, lambda x : trim(x, '?!.,;:।॥''"()[]{}–—…“”‘’-')), lambda x : lower(x) IN ('that', 'this', 'onth', 'ing')) AS v FROM w)
+SELECT item_id, len(v) > 0 AS named, array_to_string(v, ' ') AS words FROM v""",
+    "hybrid_search": f"""WITH {BM25}, em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM em a, em b WHERE a.vec_id % {QUESTIONS} = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM s) WHERE r <= 16 AND (similarity >= 0.3 OR chunk_id % 7 = 0)),
 f AS (SELECT query_id, chunk_id, round(CASE WHEN k.similarity IS NULL THEN 0.35 + 0.65 * coverage WHEN coverage IS NULL THEN k.similarity + 0.075 ELSE greatest(k.similarity + 0.075, 0.35 + 0.65 * coverage) + 0.05 END, 6) AS score, round(coalesce(k.similarity, 0.35 + 0.65 * coverage), 6) AS similarity FROM k FULL JOIN lx USING (query_id, chunk_id)),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, chunk_id)::INTEGER AS rank FROM f) SELECT query_id, chunk_id, score, similarity, rank FROM z WHERE rank <= 4""",

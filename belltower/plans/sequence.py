@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from belltower.operators import call_control as C
 from belltower.operators import sequences as S
 from belltower.sources.tables import table
 
@@ -32,6 +33,10 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations")
 
 
+def reply_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).where("event_type = 'view'").select("event_id", "user_id", (F.col("event_id") % 40).alias("reply"), "t", F.lit(2.0).alias("seconds"))
+
+
 QUERIES = {
     "sequence_unwrap": lambda s, d: S.unwrapped(packets(s, d), "flow", "seq", *ORDER).select("flow", "arrived", "seq", "extended"),
     "packet_loss": lambda s, d: S.loss(S.unwrapped(packets(s, d), "flow", "seq", *ORDER), "flow", "extended"),
@@ -51,10 +56,16 @@ QUERIES = {
     "turn_numbers": lambda s, d: S.turn_numbers(messages(s, d), "conv_id", "turn", "assistant").select("conv_id", "turn", F.col("turn_number").cast("long").alias("turn_number")),
     "follow_up_rewrite": lambda s, d: S.carried_subject(messages(s, d).select("conv_id", "turn", F.expr("substring(text, 1, CASE WHEN turn % 2 = 0 THEN 9 ELSE 40 END)").alias("text")), "conv_id", "turn", F.when(F.contains("text", F.lit("th")), F.lit("subject")), F.size(F.split(F.trim("text"), " ")).cast("long")).select("conv_id", "turn", "retrieval_query"),
     "failure_runs": lambda s, d: S.failure_runs(events(s, d), "user_id", "event_id", F.col("value") > 10).select("event_id", F.col("failures").cast("long").alias("failures")),
+    "polls_until_failures": lambda s, d: C.until_failures(events(s, d), "user_id", "event_id", F.col("value") > 10).select("event_id"),
+    "silence_runs": lambda s, d: C.silence_runs(events(s, d), "user_id", "event_id", F.col("event_type") == "click", F.lit(5.0), (F.col("event_id") % 9).cast("double")).select("event_id", "silent_seconds"),
+    "call_ends": lambda s, d: C.call_ends(events(s, d), "user_id", "event_id", "t", F.col("event_type") == "click", F.lit(5.0), (F.col("event_id") % 9).cast("double"), F.col("value") > 10, max_silence=30.0, max_seconds=1_000_000.0),
+    "live_chunks": lambda s, d: C.live_chunks(reply_chunks(s, d), events(s, d).where("event_type = 'click'").select("user_id", "t"), "user_id").select("event_id"),
     "large_flows": lambda s, d: S.large_flows(events(s, d), "user_id", "t", 20).select("user_id", "packets"),
 }
 U = f"u AS (SELECT *, seq + 65536 * sum(wrap) OVER ({W} ROWS UNBOUNDED PRECEDING)::BIGINT AS extended FROM (SELECT *, CASE WHEN lag(seq) OVER ({W}) - seq > 30000 THEN 1 ELSE 0 END AS wrap FROM packets))"
 B = f"b AS (SELECT user_id, burst, min(t) AS s, max(t) AS e, count(*) AS packets FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS burst FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= {GAP} THEN 1 ELSE 0 END AS nw FROM ev)) GROUP BY 1, 2)"
+RUNS = """k AS (SELECT *, count(*) FILTER (value > 10) OVER w AS good, count(*) FILTER (event_type = 'click') OVER w AS heard FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT *, count(*) FILTER (NOT value > 10) OVER (PARTITION BY user_id, good ORDER BY event_id) AS failures, sum(CASE WHEN event_type = 'click' THEN 0.0 ELSE greatest(5.0, event_id % 9) END::DOUBLE) OVER (PARTITION BY user_id, heard ORDER BY event_id) AS silent_seconds FROM k)"""
 ORACLE_SQL = {
     "sequence_unwrap": f"WITH {PACKETS}, {U} SELECT flow, arrived, seq, extended FROM u",
     "packet_loss": f"WITH {PACKETS}, {U}, a AS (SELECT flow, max(extended) - min(extended) + 1 AS expected, count(DISTINCT extended) AS received, count(*) AS n FROM u GROUP BY 1) SELECT flow, expected, received, greatest(0, expected - received) AS lost, round(100 * greatest(0, expected - received) / expected, 3) AS loss_percent, n - received AS duplicates FROM a",
@@ -75,5 +86,11 @@ ORACLE_SQL = {
 e AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER p, last_value(CASE WHEN w > 2 THEN text END IGNORE NULLS) OVER p, last_value(text IGNORE NULLS) OVER p) AS earlier FROM m WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, turn, CASE WHEN s IS NOT NULL OR w > 2 OR earlier IS NULL THEN text ELSE earlier || ' ' || text END AS retrieval_query FROM e""",
     "failure_runs": f"WITH {EVENTS}, r AS (SELECT *, count(*) FILTER (value > 10) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM ev) SELECT event_id, count(*) FILTER (NOT value > 10) OVER (PARTITION BY user_id, run ORDER BY event_id) AS failures FROM r",
+    "polls_until_failures": f"WITH {EVENTS}, {RUNS}, s AS (SELECT *, min(CASE WHEN failures >= 3 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM f) SELECT event_id FROM s WHERE stop IS NULL OR event_id <= stop",
+    "silence_runs": f"WITH {EVENTS}, {RUNS} SELECT event_id, silent_seconds FROM f",
+    "call_ends": f"""WITH {EVENTS}, {RUNS}, o AS (SELECT *, CASE WHEN failures >= 3 THEN 'failures' WHEN silent_seconds >= 30 THEN 'silence' WHEN t - min(t) OVER (PARTITION BY user_id) >= 1000000 THEN 'deadline' END AS reason FROM f)
+SELECT user_id, min(event_id) AS turn, min_by(reason, event_id) AS reason FROM o WHERE reason IS NOT NULL GROUP BY 1""",
+    "live_chunks": f"""WITH {EVENTS}, c AS (SELECT event_id, user_id, event_id % 40 AS reply, t FROM ev WHERE event_type = 'view'), g AS (SELECT user_id, reply, min(t) AS a, max(t + 2.0) AS b FROM c WHERE reply > 0 GROUP BY 1, 2),
+x AS (SELECT g.user_id, reply, min(i.t) AS cut FROM g JOIN ev i ON i.user_id = g.user_id AND i.event_type = 'click' AND i.t >= a AND i.t < b GROUP BY 1, 2) SELECT event_id FROM c LEFT JOIN x USING (user_id, reply) WHERE cut IS NULL OR t <= cut""",
     "large_flows": f"WITH {EVENTS} SELECT user_id, count(*) AS packets FROM ev GROUP BY 1 HAVING count(*) >= 20",
 }

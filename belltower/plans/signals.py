@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belltower.functions import signal as G
+from belltower.functions import voice as V
 from belltower.sources import packets as P
 from belltower.sources.tables import table
 from belltower.streaming import turns
@@ -26,7 +27,21 @@ def turn_events(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select(F.col("user_id").cast("string").alias("channel_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.when(e == "click", "started").when(e == "view", "finished").otherwise("counters").alias("kind"), F.when(F.col("event_id") % 2 == 0, F.lit(900.0)).alias("duration_ms"), (F.col("event_id") * 10).alias("packets"), (F.col("event_id") * 1600).alias("octets"))
 
 
+RECIPES = (("resampled", "band", 1.0, None), ("by_peak", "peak", 1.0, None), ("by_peak_faster", "peak", 1.15, None), ("by_speech", "speech", 1.0, None), ("by_speech_ulaw", "speech", 1.0, "ulaw"), ("by_speech_alaw", "speech", 1.0, "alaw"))
+
+
+def clip_arrays(s: SparkSession, clips: int, samples: int, rate: int) -> DataFrame:
+    return G.test_tone(s, clips, samples, rate).groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
+
+
 QUERIES = {
+    "voice_roughness": lambda s, d: V.roughness(G.test_tone(s, 12, 4000)),
+    "voice_description": lambda s, d: V.described(G.test_tone(s, 12, 4000)),
+    "active_loudness": lambda s, d: V.active_rms(G.test_tone(s, 30, 4000)).select("clip_id", F.round("rms", 6).alias("rms")),
+    "silent_clips": lambda s, d: V.silent(table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("clip_id"), (F.col("l_quantity") * F.col("l_linenumber")).cast("int").alias("v")), 120),
+    "voice_renderings": lambda s, d: V.renderings(clip_arrays(s, 6, 9600, 48000), RECIPES, 48000).select("clip_id", "name", F.size("samples").cast("long").alias("samples"), F.array_max(F.transform("samples", F.abs)).alias("peak")),
+    "clip_alignment": lambda s, d: clip_arrays(s, 6, 8000, 8000).select("clip_id", V.alignment(F.slice("x", 801, 2000), F.col("x")).alias("a")).select("clip_id", F.round("a.correlation", 6).alias("correlation")),
+    "alaw_round_trip": lambda s, d: bytes_of(s, d).select("event_id", V.alaw_of_linear(G.linear_of_alaw(F.col("b"))).alias("b")),
     "ulaw_decode": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_ulaw(F.col("b")).alias("v")),
     "alaw_decode": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_alaw(F.col("b")).alias("v")),
     "ulaw_round_trip": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_ulaw(G.ulaw_of_linear(G.linear_of_ulaw(F.col("b")))).alias("v")),
@@ -41,6 +56,10 @@ QUERIES = {
 }
 _U = "(CASE WHEN v >= 128 THEN -1 ELSE 1 END * (((v & 15) * 8 + 132) * (1 << ((v >> 4) & 7)) - 132))::INTEGER"
 ORACLE_SQL = {
+    "alaw_round_trip": "SELECT event_id, (event_id % 256)::INTEGER AS b FROM events",
+    "silent_clips": "SELECT l_orderkey % 50 AS clip_id, floor(sqrt(avg((trunc(l_quantity * l_linenumber)::INTEGER)::DOUBLE ** 2))) < 120 AS silent FROM lineitem GROUP BY 1",
+    "active_loudness": """WITH s AS (SELECT (i // 4000) AS c, i % 4000 AS k FROM range(120000) r(i)), x AS (SELECT c, k, CASE WHEN c % 3 = 0 AND k >= 2000 THEN 0 ELSE sin(2 * 3.141592653589793 * (200 + 10 * c) * k / 8000) * (c % 10 + 1) / 11 END AS x FROM s),
+f AS (SELECT c, k // 80 AS f, sum(x * x) AS p FROM x GROUP BY ALL), g AS (SELECT c, p, max(p) OVER (PARTITION BY c) AS top FROM f) SELECT c AS clip_id, round(sqrt(sum(p) / (80 * count(*))), 6) AS rms FROM g WHERE p >= top / 1000 GROUP BY 1""",
     "ulaw_decode": f"WITH x AS (SELECT event_id, 255 - (event_id % 256)::INTEGER AS v FROM events) SELECT event_id, {_U} AS v FROM x",
     "alaw_decode": "WITH x AS (SELECT event_id, xor((event_id % 256)::INTEGER, 85) AS a FROM events), y AS (SELECT *, (a & 112) >> 4 AS g, (a & 15) << 4 AS t FROM x) SELECT event_id, (CASE WHEN a >= 128 THEN 1 ELSE -1 END * CASE g WHEN 0 THEN t + 8 ELSE (t + 264) << greatest(g - 1, 0) END)::INTEGER AS v FROM y",
     "ulaw_round_trip": f"WITH x AS (SELECT event_id, 255 - (event_id % 256)::INTEGER AS v FROM events) SELECT event_id, {_U} AS v FROM x",
