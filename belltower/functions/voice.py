@@ -31,6 +31,11 @@ def framed(samples: DataFrame, size: int, hop: int) -> DataFrame:
     return whole.select("clip_id", "frame", F.transform("v", lambda r: r["x"].cast("double")).alias("values"))
 
 
+def nulled(out: pd.DataFrame) -> pd.DataFrame:
+    """NaN as null, which Spark tells apart."""
+    return out.astype(object).where(out.notna(), None)
+
+
 def pitches(values: Column, rate: int) -> Column:
     """struct<f0, hnr> of frames of 30 ms and the longest lag: the lag of the best normalised likeness; null where unvoiced."""
     size, low, high = int(0.03 * rate), rate // HIGHEST_F0, rate // LOWEST_F0
@@ -49,7 +54,7 @@ def pitches(values: Column, rate: int) -> Column:
             best[more], lag[more] = like[more], k
         voiced = (energy >= size * LEAST_RMS**2) & (best >= LEAST_LIKENESS)
         top = np.clip(best, LEAST_LIKENESS, 0.999)
-        return pd.DataFrame({"f0": np.where(voiced, rate / lag, np.nan), "hnr": np.where(voiced, 10 * np.log10(top / (1 - top)), np.nan)}).astype(object).where(voiced[:, None], None)
+        return nulled(pd.DataFrame({"f0": np.where(voiced, rate / lag, np.nan), "hnr": np.where(voiced, 10 * np.log10(top / (1 - top)), np.nan)}))
 
     return run(values)
 
@@ -86,8 +91,7 @@ def spectra(values: Column, rate: int) -> Column:
             at = low + likeness[:, low:high].argmax(1)
             ok = loud & (likeness[:, 0] > 0) & (likeness[np.arange(len(m)), at] >= 0.6 * likeness[:, 0])
             f0[ok] = rate / at[ok]
-        out = pd.DataFrame({"centroid": centroid, "f0": f0})
-        return out.astype(object).where(out.notna(), None)
+        return nulled(pd.DataFrame({"centroid": centroid, "f0": f0}))
 
     return run(values)
 

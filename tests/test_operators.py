@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from belltower import registry
-from belltower.functions import signal, text
+from belltower.functions import signal, text, voice
 from belltower.functions.chunking import chunked
-from belltower.operators import reporting, sequences
+from belltower.operators import reporting, sequences, vectors
 from belltower.sources import packets
 from belltower.streaming import turns
 
@@ -162,3 +162,54 @@ def test_everything_outside_llm_stands_alone():
             for n in names:
                 if n.endswith(".py"):
                     assert "belltower.llm" not in open(os.path.join(folder, n), encoding="utf-8").read()
+
+
+def test_stretching_keeps_pitch_and_changes_length():
+    x = np.sin(2 * np.pi * 150 * np.arange(16000) / 8000)
+    y = voice.stretched(x, 8000, 1.25)
+    assert abs(len(y) - len(x) / 1.25) < 500
+    peak = lambda v: np.abs(np.fft.rfft(v[800:-800])).argmax() / (len(v) - 1600) * 8000
+    assert abs(peak(y) - 150) < 5 and voice.stretched(x, 8000, 1.005) is x
+    with pytest.raises(ValueError):
+        voice.stretched(x, 8000, 0)
+    assert len(voice.stretched(np.zeros(720), 8000, 40.0)) == 0
+
+
+def test_speech_level_and_silence():
+    x = np.concatenate([np.zeros(8000), 0.05 * np.sin(np.arange(8000) * 0.3), np.zeros(8000)])
+    y = voice.rendered(x, 8000, 1.0, "speech")
+    assert abs(voice.loudness(y, 8000) / voice.loudness(x, 8000) - 10 ** (9 / 20)) < 0.05 and len(y) < 10_000
+    assert voice.rendered(np.zeros(8000), 8000, 1.0, "speech") is None and voice.rendered(np.zeros(0), 8000, 1.0, "peak") is None
+    assert len(voice.prepared_for_recognition(x, 8000)) == 2 * (8000 + 2 * 2000)
+
+
+def test_a_clip_is_found_in_a_longer_one():
+    rng = np.random.default_rng(3)
+    ref = rng.normal(size=4000) * np.repeat(rng.uniform(0.1, 1, 50), 80)
+    heard = np.concatenate([np.zeros(1234), 0.5 * ref, np.zeros(900)]) + rng.normal(size=6134) * 1e-3
+    start, likeness, snr = voice.placed(ref, heard)
+    assert start == 1234 and likeness > 0.999 and 40 < snr < 60
+    assert voice.placed(ref, heard[:100]) is None and voice.placed(np.zeros(4000), heard) is None
+
+
+def test_roughness_of_a_steady_tone_and_of_silence(spark):
+    t = np.arange(4000) / 8000
+    rows = [(1, i, float(v)) for i, v in enumerate(0.5 * np.sin(2 * np.pi * 200 * t))] + [(2, i, 0.0) for i in range(4000)]
+    out = {r["clip_id"]: r for r in voice.roughness(spark.createDataFrame(rows, "clip_id long, i long, x double")).collect()}
+    assert out[1]["voiced_frames"] > 20 and out[1]["f0_jitter_median_pct"] == 0 and out[1]["hnr_mean_db"] > 20
+    assert out[2]["voiced_frames"] == 0 and out[2]["hnr_mean_db"] is None
+    d = {r["clip_id"]: r for r in voice.described(spark.createDataFrame(rows, "clip_id long, i long, x double")).collect()}
+    assert d[1]["estimated_f0_hz"] == 200 and d[2]["spectral_centroid_hz"] is None and d[2]["spectral_rolloff_95_hz"] is None
+
+
+def test_top_k_in_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 8))
+    v[10:20] = v[10]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, None), (91, [0.0] * 8), (92, [1.0]), (93, [float("nan")] * 8)], "vec_id long, embedding array<double>")
+    q = rows.where("vec_id % 5 = 0 AND embedding IS NOT NULL").selectExpr("vec_id AS query_id", "embedding AS q").where("query_id < 60")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, rank + 1, j) for i in range(0, 60, 5) for rank, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j, i=i: (-round(float(unit[i] @ unit[j]), 6), j))[:3])}
+    for block in (2000, 4):
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in vectors.top_k(rows, q, 3, block).collect()} == want
+    assert vectors.top_k(rows, q.limit(0), 3).count() == 0
