@@ -90,9 +90,10 @@ def test_viterbi_is_the_best_path():
 
 def test_personal_data_keeps_pattern_spans_and_leaves_clean_texts(spark):
     token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
-    rows = [*HARD, (20, f'call +1 (555) 555-1234 or token = "{token}" end'), (21, "4539148803436468 is no card, 1.2.3 no ip")]
+    rows = [*HARD, (20, f'call +1 (555) 555-1234 or token = "{token}" end'), (21, "4539148803436468 is no card, 1.2.3 no ip"), (22, "the card 4539148803436467 4539148803436467 twice")]
     out = {r["doc_id"]: r for r in pii.personal_data(documents(spark, rows)).collect()}
     assert out[20]["n_phone"] == 1 and "phone:5:22" in out[20]["spans"] and "secret:" in out[20]["spans"]
+    assert out[22]["n_card"] == 0 and out[22]["spans"] == "card:9:25,card:26:42"
     assert out[21]["spans"] == "" and out[3]["spans"] == "" and out[1]["spans"] == ""
     assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
