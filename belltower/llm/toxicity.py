@@ -173,19 +173,19 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     return model
 
 
-def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, and the score of each whole text between 0 and 1."""
+def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns, and as `name` the score of each whole text between 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         found = texts(b.column("text"))
         s = np.zeros(len(found)) if m is None else 1 / (1 + np.exp(-np.clip(evidence(m, found) @ m.weights, -500, 500)))
-        return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s)], names=[*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s)], names=[*keep, name])
 
     kept = docs.select(*dict.fromkeys((*keep, "text")))
     types = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keep)
-    return by_batch(kept, f, f"{types}, score double")
+    return by_batch(kept, f, f"{types}, `{name}` double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,4 +196,4 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores at or above the threshold; columns and other rows stay as they are."""
     names = docs.columns
-    return scored(docs, trained(docs, labels), tuple(names)).where(F.col("score") < threshold).select(*names)
+    return scored(docs, trained(docs, labels), tuple(names), "__toxic").where(F.col("__toxic") < threshold).select(*names)
