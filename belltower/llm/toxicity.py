@@ -33,6 +33,8 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
 #: Distinct expressions whose mean log ratio is the local evidence.
 EXPRESSIONS = 2
 MAX_ROWS = 3000
+#: Values of the hash that orders labelled rows for the sample.
+PLACES = 1 << 40
 #: Bigrams are kept from so many distinct texts on, words from so many distinct contexts on.
 MIN_BIGRAM, MIN_WORD = 10, 3
 #: Bigrams are kept for previous words that either class has seen in so many texts: a rare history would make a quoted passage look like proof.
@@ -120,7 +122,9 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
         return None
-    first = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
+    # hashes that can't be among the first of a class are left out where they are read
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    first = [known.where((F.col("toxic") == c) & (place < min(PLACES, -(-4 * max_rows * PLACES // share[c])))).orderBy(place, "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id").where(F.length("text") > 0)
     # one row for each distinct text, so that copies neither count twice nor sit in both halves
     chosen = settled(chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
