@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from belltower.llm.common import by_batch, mix64, partitions, settled, texts
 from belltower.llm.graph import components
-from belltower.llm.jaccard import Forest, Powers
+from belltower.llm.jaccard import Powers
 
 EDITS, MIN_CHARS = 2, 24
 #: Lines of an index entry that one task compares; beyond, the entry is cut into blocks.
@@ -209,6 +209,33 @@ def meetings(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return sent.mapInArrow(meet, "entry long, key long")
 
 
+def connecting(group: list[tuple[int, str, bool]], edits: int) -> list[tuple[int, int]]:
+    """Keys of pairs of lines (key, line, side) within the edits that connect what is apart; where both sides occur, pairs across them alone. Ends as soon as all is connected."""
+    group = sorted(group, key=lambda g: len(g[1]))
+    two, apart = any(g[2] for g in group), len(group)
+    up, found = list(range(len(group))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for p, (key, line, side) in enumerate(group):
+        if apart == 1:
+            break
+        for q in range(p + 1, len(group)):
+            other = group[q]
+            if len(other[1]) - len(line) > edits:
+                break
+            if two and side == other[2] or (r := root(p)) == (s := root(q)):
+                continue
+            if edit_distance_within(line, other[1], edits):
+                up[max(r, s)] = min(r, s)
+                apart -= 1
+                found.append((key, other[0]))
+    return found
+
+
 def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): keys of lines within the edits of each other that connect what any such lines connect.
 
@@ -246,18 +273,7 @@ def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
         now, group, out = None, [], []
 
         def compare() -> None:
-            forest = Forest(len(group))
-            order = sorted(range(len(group)), key=lambda x: len(group[x][1]))
-            two = any(g[2] for g in group)
-            for x, p in enumerate(order):
-                for q in order[x + 1 :]:
-                    if len(group[q][1]) - len(group[p][1]) > edits:
-                        break
-                    if two and group[p][2] == group[q][2] or (r := forest.root(p)) == (s := forest.root(q)):
-                        continue
-                    if edit_distance_within(group[p][1], group[q][1], edits):
-                        forest.up[max(r, s)] = min(r, s)
-                        out.append((group[p][0], group[q][0]))
+            out.extend(connecting(group, edits))
 
         for b in batches:
             for e, i, j, side, k, t in zip(*(b.column(x).to_pylist() for x in ("entry", "i", "j", "side", "key", "text")), strict=True):
@@ -288,7 +304,8 @@ def ranked(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     every, linked = classed(docs, edits, min_chars)
     rows = settled(every.join(linked, "key", "left").select("doc_id", "row", "line", F.coalesce("class", "key").alias("class")).distinct())
     least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("l"), F.count("*").alias("times"))
-    several = least.where("times > 1").select("class", F.col("l.row").alias("lead_row"), F.col("l.line").alias("lead_line"), F.col("l.doc_id").alias("lead"))
+    # written first, so that both sides of the join are plain shuffles and a class of very many rows can be split
+    several = settled(least.where("times > 1").select("class", F.col("l.row").alias("lead_row"), F.col("l.line").alias("lead_line"), F.col("l.doc_id").alias("lead")))
     joined = rows.join(several, "class", "left")
     return joined.select("doc_id", "row", "line", "class", "lead", F.col("lead_row").isNotNull().alias("shared"), (F.col("lead_row").isNull() | ((F.col("lead_row") == F.col("row")) & (F.col("lead_line") == F.col("line")))).alias("leads"))
 
