@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from belltower.llm import decontaminate, graph, html_text, jaccard, line_dedup
@@ -218,11 +220,24 @@ def test_style_tree_drops_what_looks_and_reads_alike(spark):
     assert all(r["text"] == f"Own words {r['page_id']} of page {r['page_id'] * 7}\nMore {r['page_id']}" for r in out)
 
 
-def test_pipeline_stages(spark, tmp_path):
-    rows = near_rows()[:60] + [(500, BASE + " one two three"), (501, "clean text " + " ".join(f"u{k}" for k in range(30)))]
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    rows = near_rows()[:60] + [(500, BASE + " one two three"), (501, "clean text " + " ".join(f"u{k}" for k in range(30))), (502, None), (503, "")]
+    shared = "a line of licence terms that many of the documents repeat word by word"
+    rows = [(i, t if not t or i % 4 else t + "\n" + shared[: rng.randint(len(shared) - 1, len(shared))] + f"\ntail {i}") for i, t in rows]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # one class of labels: nothing is rejected as toxic (the classifier has its own test)
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 501 in out and 500 not in out and 0 < len(out) < len(rows)
+    gone, _ = brute_lines(rows)
+    assert gone
+    rows = [(i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows]
+    of, sets = brute_components(rows)
+    rows = [(i, t) for i, t in rows if not sets[i] or of[i] == i]
+    hit = {i for i, _, n, _ in brute_contamination(rows, [(1, BASE)]) if n}
+    assert hit == {500}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows if i not in hit}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["n_tokens"] for r in got} == want
