@@ -383,7 +383,8 @@ def joined(docs: DataFrame) -> DataFrame:
     groups = components(candidate_edges(sets))
     found = components(settled(links(sets, groups)))
     labelled = rows.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-    least = labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # written first, so that both sides of the join are plain shuffles and a label of very many rows can be split
+    least = settled(labelled.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")))
     full = labelled.where("n > 0").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "key", F.col("least").alias("component_id"))
     return full.unionByName(rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), "key", F.col("doc_id").alias("component_id")))
 
