@@ -38,7 +38,7 @@ BLOCK_TOKENS = 4_000_000
 MAX_BROADCAST = 200_000
 LEAF, FAN, BITMAP = 64, 8, 16
 #: Shingles that a task gathers before it sends them off.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -175,8 +175,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             keys, to = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k, _ in rows]), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(to, np.concatenate([np.frombuffer(n, np.int64) for _, n in rows])).astype(np.int64))], names=["key", "shared"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, keys binary, counts binary, tokens binary").repartition(buckets, "bucket")
-    packed = dealt.mapInArrow(count, "pack int, keys binary, shared binary").repartition(buckets, "pack")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, keys binary, counts binary, tokens binary").repartitionById(buckets, "bucket")
+    packed = dealt.mapInArrow(count, "pack int, keys binary, shared binary").repartitionById(buckets, "pack")
     return packed.mapInArrow(add, "key long, shared long")
 
 
