@@ -4,11 +4,14 @@ All pages of a host are merged into one tree: an element is told by the path of
 presentation attributes. For every element the tree counts the pages that have it, the
 different sequences of children it shows (presentation) and the different contents of its
 own text. The entropy of presentation and of content, relative to the number of pages, is
-its importance: a menu looks and reads alike on all pages, an article doesn't. Counts of one
-host are mixed with the counts of all hosts, so that hosts of few pages are judged by what
-is usual. Branches of low importance are taken off each page; so are branches whose tag or
-name says what they are (navigation, adverts, forms, scripts, comments and the like), however
-much they vary, and what stands outside an article where a page has one.
+its importance: a menu looks and reads alike on all pages, an article doesn't. Pages of a
+host that have the same contents outside the branches that go in any case are one page in
+these counts, however many copies there are. Counts of one host are mixed with the counts of
+all hosts, so that hosts of few pages are judged by what is usual. Off each page go branches
+of low importance whose every text is common in its place on the host (its own information is
+as low): a text that few pages share stays, and so does what holds an article. So go
+branches whose tag or name says what they are (navigation, adverts, forms, scripts, comments
+and the like), however much they vary, and what stands outside an article where a page has one.
 
 Cases: a null or empty html gives an empty text and 0 characters; a null url is a host of its
 own; unclosed and misnested tags are closed where their parent ends; repeated rows give
@@ -19,10 +22,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,20 +105,26 @@ def barred(node: Node) -> bool:
     return node.tag in NOISE or node.named and node.tag not in ("html", "body", "article", "main")
 
 
-def observed(node: Node, path: str = "", into: list | None = None) -> list[tuple[str, str, str]]:
-    """(path, presentation, content) of every element: its children's styles with runs as one, and its own text."""
+def own_text(node: Node) -> str:
+    return SPACE.sub(" ", " ".join(c for c in node.children if isinstance(c, str))).strip()
+
+
+def value_of(path: str, value: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\0{value}") - (1 << 63)
+
+
+def observed(node: Node, path: str = "", into: list | None = None, stays: bool = True) -> list[tuple[str, str, str, bool]]:
+    """(path, presentation, content, whether no branch around it goes in any case) of every element: its children's styles with runs as one, and its own text."""
     into = [] if into is None else into
     styles: list[str] = []
-    own = []
+    stays = stays and not barred(node)
     for c in node.children:
-        if isinstance(c, str):
-            own.append(c)
-        else:
+        if not isinstance(c, str):
             if not styles or styles[-1] != c.style:
                 styles.append(c.style)
             if c.tag not in RAW:
-                observed(c, f"{path}/{c.style}", into)
-    into.append((path, ",".join(styles), SPACE.sub(" ", " ".join(own)).strip()))
+                observed(c, f"{path}/{c.style}", into, stays)
+    into.append((path, ",".join(styles), own_text(node), stays))
     return into
 
 
@@ -125,9 +136,22 @@ def articles(node: Node) -> list[Node]:
     return found
 
 
-def blocks(page: str, low: set[str]) -> list[str]:
+def worn(node: Node, path: str, common: set[int], into: set[int]) -> bool:
+    """Whether every text of the branch is common in its place; into gets the ids of the largest such branches. What holds an article is none."""
+    below = [(c, barred(c) or worn(c, f"{path}/{c.style}", common, into)) for c in node.children if not isinstance(c, str)]
+    text = own_text(node)
+    if node.tag not in MAIN and all(w for _, w in below) and (not text or value_of(path, text) in common):
+        return True
+    into.update(id(c) for c, w in below if w)
+    return False
+
+
+def blocks(page: str, common: set[int]) -> list[str]:
     """Texts of the blocks that stay: white space as one space, trimmed, empty ones left out."""
     root = parse(page)
+    gone: set[int] = set()
+    if common and worn(root, "", common, gone):
+        gone.update(id(c) for c in root.children)
     out: list[str] = []
     part: list[str] = []
 
@@ -138,10 +162,14 @@ def blocks(page: str, low: set[str]) -> list[str]:
             if text:
                 out.append(text)
 
-    def walk(node: Node, path: str, inside: bool) -> None:
-        if barred(node) or not inside and path in low and node.tag not in VOID:
-            return
+    def walk(node: Node, inside: bool) -> None:
         block = node.tag in BLOCK
+        if barred(node):
+            return
+        if not inside and id(node) in gone and node.tag not in VOID:
+            if block:
+                cut()
+            return
         inside = inside or node.tag in MAIN
         if block:
             cut()
@@ -150,12 +178,12 @@ def blocks(page: str, low: set[str]) -> list[str]:
                 if inside or whole:
                     part.append(c)
             else:
-                walk(c, f"{path}/{c.style}", inside)
+                walk(c, inside)
         if block:
             cut()
 
     whole = not articles(root)
-    walk(root, "", False)
+    walk(root, False)
     cut()
     return out
 
@@ -164,26 +192,35 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, seen, importance) of every element of every host's tree.
+def sightings(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, value, none, n): how often an element shows a presentation (kind 0) or content (1) on the distinct pages of a host.
 
-    Sightings are counted by (host, path, value) first, so a host of very many pages is summed
-    inside the tasks and only its distinct values travel.
+    Copies of a page are told by its key and counted once. Values of a page are counted in its
+    task and go by page and value, so no host is a key; what a host's pages share is then summed
+    inside the tasks, and only a host's distinct values travel.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, paths, kinds, values = [], [], [], []
+            hosts, keys, rows, times = [], [], [], []
             for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                for path, look, content in observed(parse(page or "")):
-                    hosts += [h, h]
-                    paths += [path, path]
-                    kinds += [0, 1]
-                    values += [look, content]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["host", "path", "kind", "value"])
+                seen = observed(parse(page or ""))
+                key = value_of("", "\0".join(f"{path}\0{content}" for path, _, content, stays in seen if stays))
+                found = Counter(x for path, look, content, _ in seen for x in ((path, 0, value_of(path, look), not look), (path, 1, value_of(path, content), not content)))
+                hosts += [h] * len(found)
+                keys += [key] * len(found)
+                rows += found
+                times += found.values()
+            paths, kinds, values, none = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(values, pa.int64()), pa.array(none, pa.bool_()), pa.array(times, pa.int64())], names=["host", "page", "path", "kind", "value", "none", "n"])
+
+    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, path string, kind int, value long, none boolean, n long")
+    once = each.groupBy("host", "page", "path", "kind", "value", "none").agg(F.max("n").alias("n"))
+    return settled(once.groupBy("host", "path", "kind", "value", "none").agg(F.sum("n").alias("n")))
 
-    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, kind int, value string")
-    counts = settled(each.groupBy("host", "path", "kind", F.xxhash64("value").alias("value"), (F.col("value") == "").alias("none")).agg(F.count("*").alias("n")))
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """(host, path, seen, importance) of every element of every host's tree."""
 
     def spread(keys: list[str], rows: DataFrame) -> DataFrame:
         # H / log m, from sums of n and n log n
@@ -201,24 +238,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, low): paths whose importance is below LEAST and that have no important branch below."""
+    """(host, path, seen): paths whose importance is below LEAST and that have no important branch below."""
     rows = tree.where("path <> ''")
     parents = rows.withColumn("up", F.explode(F.expr("transform(filter(sequence(1, length(path)), i -> substr(path, i, 1) = '/' AND i > 1), i -> substr(path, 1, i - 1))")))
     below = parents.groupBy("host", F.col("up").alias("path")).agg(F.max("importance").alias("below"))
-    both = rows.join(below, ["host", "path"], "left").where(F.greatest("importance", F.coalesce("below", F.lit(0.0))) < LEAST)
-    return both.groupBy("host").agg(F.collect_set("path").alias("low"))
+    return rows.join(below, ["host", "path"], "left").where(F.greatest("importance", F.coalesce("below", F.lit(0.0))) < LEAST).select("host", "path", "seen")
+
+
+def common_values(counts: DataFrame) -> DataFrame:
+    """(host, common): contents of low branches whose own information, relative to the sightings m, is below LEAST too. That leaves less than m ** LEAST of a path."""
+    low = settled(low_branches(style_tree(counts)))
+    if is_small(low, MAX_BROADCAST):
+        low = F.broadcast(low)
+    told = counts.where("kind = 1 AND NOT none").join(low, ["host", "path"])
+    return told.where((F.col("n") > 1) & (F.log(F.col("seen") / F.col("n")) < LEAST * F.log("seen"))).groupBy("host").agg(F.collect_set("value").alias("common"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, the main text of every page and its length in code points."""
-    low = settled(low_branches(style_tree(pages)))
+    low = settled(common_values(sightings(pages)))
     if is_small(low, MAX_BROADCAST):
         low = F.broadcast(low)
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = ["\n".join(blocks(p or "", set(x or ()))) for p, x in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
+            found = ["\n".join(blocks(p or "", set(x or ()))) for p, x in zip(b.column("html").to_pylist(), b.column("common").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

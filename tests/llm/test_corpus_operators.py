@@ -220,6 +220,24 @@ def test_style_tree_drops_what_looks_and_reads_alike(spark):
     assert all(r["text"] == f"Own words {r['page_id']} of page {r['page_id'] * 7}\nMore {r['page_id']}" for r in out)
 
 
+def test_copies_on_a_host_cost_no_text(spark):
+    def page(k, tag, same=7):
+        return f"<html><body><div class=ad>Buy {k}</div><div class=x><p>Same words everywhere</p></div><{tag} class=y>" + "".join(f"<p>Part {i} of {0 if i < same else k}</p>" for i in range(7)) + f"</{tag}></body></html>"
+
+    def text(k, same=7):
+        return "\n".join(f"Part {i} of {0 if i < same else k}" for i in range(7))
+
+    rows = [(k, f"http://{tag}.example/{k}", page(k, tag, 7 if k < 1000 else 0)) for tag in ("article", "div") for k in range(1040)]
+    rows += [(k, "http://all.example/", page(0, "div")) for k in range(300)]
+    # near copies: what only one page has stays, on distinct pages everything
+    rows += [(k, "http://near.example/", page(k, "section", 6 if k < 1000 else 0)) for k in range(1, 1040)]
+    out = {(r["url"].split("/")[2].split(".")[0], r["page_id"]): r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out["article", k] == text(k, 7 if k < 1000 else 0) for k in range(1040))
+    assert all(out["div", k] == text(k, 7 if k < 1000 else 0) for k in range(1040))
+    assert all(text(0) in out["all", k] for k in range(300))
+    assert all(text(k, 0) == out["near", k] for k in range(1000, 1040)) and all(f"Part 6 of {k}" in out["near", k] for k in range(1, 1000))
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(21)
     rows = near_rows()[:60] + [(500, BASE + " one two three"), (501, "clean text " + " ".join(f"u{k}" for k in range(30))), (502, None), (503, "")]
