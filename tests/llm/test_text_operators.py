@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from belltower.llm import bpe, language_model, media, pii, sharding, toxicity
@@ -145,6 +146,14 @@ def test_language_model_base_and_normalisation(spark):
     assert abs(language_model.log_likelihoods(net, [text, text[:3], text[:500]])[0] - alone) < 1e-3 * abs(alone)
 
 
+def test_language_model_learns_from_what_lies_beyond_a_sample(spark):
+    noise = " ".join(f"w{k % 50}" for k in range(1024))
+    rows = [(k, noise + " left right" * 400) for k in range(60)]
+    docs = spark.createDataFrame(rows + [(k, "left right" + " left right" * 200) for k in range(60, 100)], "doc_id long, text string").where(~language_model.held_out() & (F.col("doc_id") < 60) | language_model.held_out() & (F.col("doc_id") >= 60))
+    out = [r for r in language_model.scored(docs).collect() if r["held_out"]]
+    assert out and all(r["score"] > r["base_score"] for r in out)
+
+
 def test_gradients_match_differences():
     net = language_model.trained([[b"a", b"b", b"c"] * 3])
     rng = np.random.default_rng(1)
