@@ -19,8 +19,8 @@ from belltower.llm.common import by_batch, sha256, texts
 
 #: Fixed values of the vocabulary file's own pre-tokenizer: contractions, words, numbers, other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces whose encoding a worker remembers; beyond it the memory starts anew.
-MEMORY = 300_000
+#: What the pieces that a worker remembers may weigh, in bytes; beyond it the memory starts anew. Longer pieces aren't remembered.
+MEMORY, WEIGHT, LONGEST = 32_000_000, 350, 64
 
 
 def byte_letters() -> list[str]:
@@ -52,8 +52,12 @@ class Codec:
         self.added = added
         self.split_added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.pieces = regex.compile(PATTERN)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, str] = {}
+        self.held = 0
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """BPE of one piece. Symbols are a doubly linked list; the queue holds (rank, place, left id, right id) and an entry whose ids no longer stand there is stale."""
@@ -87,6 +91,7 @@ class Codec:
     def learn(self, piece: str) -> None:
         self.known[piece] = ids = self.merge(piece.encode())
         self.shown[piece] = ",".join(map(str, ids))
+        self.held += WEIGHT + 4 * len(piece)
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """Token ids, and the same as decimals joined by commas."""
@@ -98,12 +103,17 @@ class Codec:
                 ids += [self.added[part]] if k % 2 else self.encode(part)[0]
             return ids, ",".join(map(str, ids))
         pieces = self.pieces.findall(text)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-            self.shown.clear()
-        for p in set(pieces).difference(self.known):
+        if self.held > MEMORY:
+            self.forget()
+        new = set(pieces).difference(self.known)
+        for p in new:
             self.learn(p)
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces))), ",".join(map(self.shown.__getitem__, pieces))
+        out = list(chain.from_iterable(map(self.known.__getitem__, pieces))), ",".join(map(self.shown.__getitem__, pieces))
+        for p in new:
+            if len(p) > LONGEST:
+                self.held -= WEIGHT + 4 * len(p)
+                del self.known[p], self.shown[p]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")

@@ -11,34 +11,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_MARKED: set[str] = set()
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Only a local session may do without the setting: it gets a folder of its own machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/belltower-checkpoints"
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder in the shared one; it goes when the session's JVM ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/belltower-{context.applicationId}"
+    if folder not in _MARKED:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(folder)
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/belltower-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(names: list[str], wanted: str) -> str:
+    """The wanted column name, lengthened until no column has it."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what a task makes of it at a time stays small."""
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies f to every Arrow batch."""
+    """Applies f to the rows in Arrow batches of a few hundred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None and out.num_rows:
-                yield out
+            for part in slices(b):
+                if (out := f(part)) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -95,7 +95,7 @@ def line_keys(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return part_hash(total, starts, ends, 0), n, total, starts
 
 
-def in_parts(lines: list[str], chars: int = 500_000) -> Iterator[list[str]]:
+def in_parts(lines: list[str], chars: int = 100_000) -> Iterator[list[str]]:
     """The lines in runs of about so many code points, which bounds what the hashing arrays need."""
     part, held = [], 0
     for x in lines:

@@ -75,6 +75,32 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.query(documents(spark, rows)).collect()} == want
 
 
+def test_jaccard_null_ids_link_and_bridge(spark):
+    rng = random.Random(4)
+    base = [rng.choice([f"v{k}" for k in range(400)]) for _ in range(100)]
+    changed = [base[:at] + ["x"] * 3 + base[at + 3 :] for at in (20, 60)]
+    rows = [(5, " ".join(base)), (None, " ".join(changed[0])), (7, " ".join(changed[0][:60] + ["y"] * 3 + changed[0][63:]))]
+    sets = [shingle_set(t) for _, t in rows]
+    linked = [100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))]
+    assert linked == [True, True, False]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.query(documents(spark, rows)).collect()} == {5: 5, None: 5, 7: 5}
+    assert [r["doc_id"] for r in jaccard.one_of_each(documents(spark, rows)).collect()] == [5]
+
+
+def test_jaccard_large_family_and_long_chain(spark):
+    rng = random.Random(14)
+    word = lambda: f"q{rng.randrange(3000)}"
+    base = [word() for _ in range(80)]
+    rows = [(k, " ".join(base[:at] + [word()] + base[at + 1 :])) for k, at in enumerate(rng.randrange(80) for _ in range(400))]
+    now = [word() for _ in range(60)]
+    for k in range(60):
+        rows.append((1000 + k, " ".join(now)))
+        now[rng.randrange(60)] = word()
+    rows.append((2000, " ".join(base)))
+    want, _ = brute_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.query(documents(spark, rows)).collect()} == want
+
+
 def test_jaccard_hard_rows(spark):
     out = jaccard.query(documents(spark, HARD))
     assert out.count() == len(HARD)
@@ -82,7 +108,8 @@ def test_jaccard_hard_rows(spark):
     assert ids[3] == ids[4] == ids[5] == ids[None] == 3 and ids[1] == 1 and ids[2] == 2
     kept = jaccard.one_of_each(documents(spark, HARD))
     assert kept.columns == documents(spark, []).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6, 7, 8, 9, 10] or sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6, 7, 9, 10]
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(documents(spark, [*HARD, (3, BASE), (20, None), (20, None)])).collect()) == [1, 2, 3, 6, 7, 8, 9, 10, 20, 20]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 6, 7, 8, 9, 10]
     assert jaccard.query(documents(spark, [])).count() == 0
 
 
@@ -90,7 +117,7 @@ def test_jaccard_hard_rows(spark):
 @given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=25), min_size=2, max_size=40))
 def test_signature_trees_find_what_connects(lists):
     sets = [np.unique(np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x in lists]
-    got = jaccard.group_links(np.arange(len(sets)), [s.tobytes() for s in sets], np.zeros(len(sets), int))
+    got = jaccard.group_links(np.arange(len(sets)), sets, np.zeros(len(sets), int), np.arange(len(sets)))
     links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
     assert components_of(range(len(sets)), got) == components_of(range(len(sets)), links)
     assert all(tuple(sorted(x)) in links for x in got)
