@@ -20,7 +20,7 @@ from belltower.llm.common import by_batch, sha256, texts
 #: Fixed values of the vocabulary file's own pre-tokenizer: contractions, words, numbers, other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What the pieces that a worker remembers may weigh, in bytes; beyond it the memory starts anew. Longer pieces aren't remembered.
-MEMORY, WEIGHT, LONGEST = 32_000_000, 350, 64
+MEMORY, WEIGHT, LONGEST = 80_000_000, 350, 64
 
 
 def byte_letters() -> list[str]:

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MARKED: set[str] = set()
 
@@ -106,3 +107,8 @@ def partitions(spark: SparkSession) -> int:
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def fits(df: DataFrame, size: Column, max_bytes: int) -> bool:
+    """Whether df's rows, of the given sizes in bytes, come to at most max_bytes."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes

@@ -1,10 +1,14 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models with shared backoff counts.
-
-Each class has bigram counts (in distinct labelled texts) that back off to its own
-continuation counts, and these to continuation counts shared by both classes, so that a
-rare expression weighs nothing. A text's evidence is the length-normalised difference of
-the two log-likelihoods, over the whole text and over its two most toxic expressions; a
-logistic curve, fitted on labelled texts that gave no counts, turns it into a score.
+"""Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
+
+Each class has a bigram model that backs off to its own continuation counts (in how many
+distinct contexts a word occurs), and these to continuation counts shared by both classes,
+which are brought to one size first. The discount of a class count is a constant and a
+multiple of the shared count: what a class doesn't hold clearly beyond its share (rare
+expressions, and those that only follow the classes' mix of languages) backs off to the
+shared counts in both models and weighs nothing. A text's evidence is the difference of its
+log-likelihoods under both models, divided by its number of tokens. A logistic curve that
+rises with it turns it into a score; it is fitted on labelled texts, each half with the
+evidence that models of the other half give.
 
 Labels are learned from at most `max_rows` texts of each class (documented bound, the first
 by a hash of doc_id); the share of toxic labels is taken over all of them.
@@ -22,98 +26,123 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belltower.llm.common import by_batch, settled, texts
+from belltower.llm.common import by_batch, fresh, settled, texts
 
 WORD = re.compile(r"\w+")
-#: Of the shared counts and of the class counts; the latter leaves nothing of what a class has seen once or twice.
-DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
-#: Distinct expressions whose mean log ratio is the local evidence.
-EXPRESSIONS = 2
+#: Discounts of shared, of class and of class bigram counts; the multiple of the shared count in the latter two.
+SHARED, DISCOUNT, PAIR_DISCOUNT, EXCESS = 0.75, 1.0, 3.0, 1.5
+#: Weight of backing off, the same in both classes: what neither holds has ratio one.
+BACKOFF = 0.9
+#: Least slope of the logistic curve for a hundredth of evidence: the score always rises with it.
+SLOPE = 1e-3
 MAX_ROWS = 3000
 #: Values of the hash that orders labelled rows for the sample.
 PLACES = 1 << 40
-#: Bigrams are kept from so many distinct texts on, words from so many distinct contexts on.
-MIN_BIGRAM, MIN_WORD = 10, 3
-#: Bigrams are kept for previous words that either class has seen in so many texts: a rare history would make a quoted passage look like proof.
-MIN_HISTORY = 50
 FOLDS, HELD = 5, 0
 
 
 @dataclass
 class Model:
-    """Log-ratio parts of both models, all indexed by word id (0: unknown word, also the start of a text)."""
-
-    ids: dict[str, int]
-    word: np.ndarray  # (2, V) class unigram probabilities
-    backoff: np.ndarray  # (V) weight left for backing off after a word, the same in both classes
-    pairs: np.ndarray  # sorted keys previous * V + word
-    pair: np.ndarray  # (2, pairs) discounted bigram probabilities
-    weights: np.ndarray  # logistic: bias, expressions, mean, log length
+    """Log ratios, toxic to ordinary, of the words and word pairs that a class holds beyond the shared counts; all others have ratio one."""
 
-    @property
-    def strength(self) -> np.ndarray:
-        """Log ratio of every word by the continuation counts alone: a word that one group of copies repeats in one context is no expression."""
-        return np.log(self.word[1] / self.word[0])
+    word: dict[str, float]
+    pair: dict[tuple[str, str], float]
+    bias: float = 0.0
+    slope: float = SLOPE
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD
 
 
 def evidence(model: Model, docs: list[str]) -> np.ndarray:
-    """(docs, 4): 1, mean log ratio of the most toxic expressions, of the whole text, log of its length."""
-    get, size, strength = model.ids.get, model.word.shape[1], model.strength
-    out = np.zeros((len(docs), 4))
-    out[:, 0] = 1
+    """Hundredths of difference of the log-likelihoods for each token of each text."""
+    word, pair = model.word.get, model.pair
+    out = np.zeros(len(docs))
     for k, text in enumerate(docs):
-        w = np.fromiter((get(x, 0) for x in WORD.findall(text.lower())), np.int64)
-        if not len(w):
-            continue
-        v = np.concatenate([[0], w[:-1]])
-        p = model.backoff[v] * model.word[:, w]
-        if len(model.pairs):
-            key = v * size + w
-            at = np.minimum(np.searchsorted(model.pairs, key), len(model.pairs) - 1)
-            hit = (model.pairs[at] == key) & (v > 0) & (w > 0)
-            p[:, hit] += model.pair[:, at[hit]]
-        ratio = np.log(p[1]) - np.log(p[0])
-        best = np.sort(strength[np.unique(w)])[-EXPRESSIONS:]
-        out[k, 1:] = np.maximum(best, 0).sum() / EXPRESSIONS, ratio.mean(), np.log1p(len(w))
+        w = WORD.findall(text.lower())
+        if w:
+            total = sum(r for x in w if (r := word(x)))
+            if pair:  # a pair's ratio stands in for its word's
+                total += sum(pair[x] - word(x[1], 0.0) for x in zip(w, w[1:], strict=False) if x in pair)
+            out[k] = 100 * total / len(w)
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, on scaled columns."""
-    scale = np.maximum(np.abs(x).max(0), 1e-9)
-    z, b = x / scale, np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Bias and slope, at least SLOPE, of a logistic regression by Newton steps."""
+    z, b = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * ridge * np.eye(len(b))
-        step = np.linalg.solve(h, z.T @ (y - p) - 1e-2 * ridge * b)
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
-    return b / scale
+    return (float(b[0]), float(b[1])) if b[1] > SLOPE else (float(np.log(y.mean() / (1 - y.mean()))), SLOPE)
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(previous, word, ordinary, toxic): in how many distinct texts of each class a bigram occurs."""
+    """(previous, word, o0, t0, o1, t1): in how many distinct texts of each class (ordinary, toxic) and half a bigram occurs."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        v, w, c = [], [], []
-        for text, toxic in zip(texts(b.column("text")), b.column("toxic").to_pylist(), strict=True):
+        v, w, c, h = [], [], [], []
+        for text, toxic, half in zip(texts(b.column("text")), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
             words = WORD.findall(text.lower())
             found = set(zip(["", *words], words, strict=False))
             v += [x for x, _ in found]
             w += [x for _, x in found]
             c += [toxic] * len(found)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(c, pa.int32())], names=["previous", "word", "toxic"])
-
-    pairs = by_batch(rows, f, "previous string, word string, toxic int")
-    return pairs.groupBy("previous", "word").agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+            h += [half] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(c, pa.int32()), pa.array(h, pa.int32())], names=["previous", "word", "toxic", "half"])
+
+    pairs = by_batch(rows, f, "previous string, word string, toxic int, half int")
+    return pairs.groupBy("previous", "word").agg(*(F.count_if((F.col("toxic") == t) & (F.col("half") == h)).alias(f"{'ot'[t]}{h}") for h in (0, 1) for t in (0, 1)))
+
+
+def models(counts: DataFrame) -> list[Model | None]:
+    """The models of the first half, of the second, and of both; None where a class has no counts. What a class holds is chosen by Spark, and it alone comes to the driver."""
+    made: list[Model | None] = []
+    for o, t, share in (("o0", "t0", 0.5), ("o1", "t1", 0.5), ("o0 + o1", "t0 + t1", 1.0)):
+        pairs = counts.select("previous", "word", F.expr(o).alias("o"), F.expr(t).alias("t")).where("o + t > 0")
+        words = settled(pairs.groupBy("word").agg(F.count_if(F.col("o") > 0).alias("o"), F.count_if(F.col("t") > 0).alias("t")))
+        total = words.agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.count("*").alias("n")).first()
+        if not total["o"] or not total["t"]:
+            made.append(None)
+            continue
+        size = min(total["o"], total["t"])
+        kept, both = held(words, total, DISCOUNT * share)
+        covered = both.agg(F.sum(F.greatest(F.col("m") - SHARED, F.lit(0.0)))).first()[0]
+        rest = (size - covered) / (total["n"] + 1)  # what the shared discount leaves for each word
+        rows = kept.collect()
+        sums = [max(sum(r[c] for r in rows), 1e-9) for c in ("ho", "ht")]
+        shared = lambda m: BACKOFF * (max(m - SHARED, 0) + rest) / size
+        lower = {r["word"]: [shared(r["m"]) + (1 - BACKOFF) * r[c] / s for c, s in zip(("ho", "ht"), sums, strict=True)] for r in rows}
+        model = Model({w: float(np.log(p[1] / p[0])) for w, p in lower.items()}, {})
+        pair_total = pairs.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
+        found = held(pairs.where("previous <> ''"), pair_total, PAIR_DISCOUNT * share)[0].join(words.select("word", F.col("o").alias("wo"), F.col("t").alias("wt")), "word").collect()
+        after: dict[str, list[float]] = {}
+        for r in found:
+            s = after.setdefault(r["previous"], [0.0, 0.0])
+            s[0], s[1] = s[0] + r["ho"], s[1] + r["ht"]
+        for r in found:
+            m = (r["wo"] * size / total["o"] + r["wt"] * size / total["t"]) / 2
+            p = [BACKOFF * q + (1 - BACKOFF) * r[c] / max(s, 1e-9) for q, c, s in zip(lower.get(r["word"], [shared(m)] * 2), ("ho", "ht"), after[r["previous"]], strict=True)]
+            model.pair[r["previous"], r["word"]] = float(np.log(p[1] / p[0]))
+        made.append(model)
+    return made
+
+
+def held(rows: DataFrame, total: dict, discount: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of counts o and t brought to the smaller class's size, with the shared count m and what the discount leaves each class (ho, ht): those where it leaves something, and all."""
+    size = min(total["o"], total["t"])
+    scaled = rows.withColumn("so", F.col("o") * (size / total["o"])).withColumn("st", F.col("t") * (size / total["t"]))
+    both = scaled.withColumn("m", (F.col("so") + F.col("st")) / 2)
+    left = both.withColumn("ho", F.greatest(F.col("so") - discount - EXCESS * F.col("m"), F.lit(0.0))).withColumn("ht", F.greatest(F.col("st") - discount - EXCESS * F.col("m"), F.lit(0.0)))
+    return left.where("ho > 0 OR ht > 0"), both
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
@@ -127,53 +156,22 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     first = [known.where((F.col("toxic") == c) & (place < min(PLACES, -(-4 * max_rows * PLACES // share[c])))).orderBy(place, "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id").where(F.length("text") > 0)
     # one row for each distinct text, so that copies neither count twice nor sit in both halves
-    chosen = settled(chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
-    counts = settled(counted(chosen.where("pmod(key, 2) = 0").select("text", "toxic")))
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    words = counts.groupBy("word").agg(seen("ordinary").alias("o"), seen("toxic").alias("t"), F.count("*").alias("n"))
-    kept = words.where(F.col("n") >= MIN_WORD).orderBy(F.desc("n"), "word").toPandas()
-    histories = counts.groupBy("previous").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), seen("ordinary").alias("ko"), seen("toxic").alias("kt")).where("o + t >= 2").toPandas()
-    frequent = counts.where(F.col("ordinary") + F.col("toxic") >= MIN_BIGRAM).toPandas()
-    total = words.agg(F.sum("o"), F.sum("t"), F.sum("n"), F.count("*")).first()
-    if not total[0] or not total[1] or (kept[["o", "t"]] > CLASS_DISCOUNT).sum().min() == 0:
+    chosen = settled(chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod("key", F.lit(2)).cast("int").alias("half")))
+    *halves, model = models(settled(counted(chosen)))
+    if model is None or None in halves:
         return None
-    ids = {w: k + 1 for k, w in enumerate(kept["word"])}
-    size = len(ids) + 1
-    n = np.concatenate([[0], kept["n"].to_numpy(float)])
-    shared = np.maximum(n - DISCOUNT, 0) / total[2] + DISCOUNT * total[3] / total[2] / (total[3] + 1)
-    # one backoff weight for both classes (the larger), so that what neither has seen has ratio one
-    held = [np.maximum(np.concatenate([[0], kept[c].to_numpy(float)]) - CLASS_DISCOUNT, 0) for c in "ot"]
-    left = max(1 - x.sum() / total[k] for k, x in enumerate(held))
-    word = np.stack([(1 - left) * x / x.sum() + left * shared for x in held])
-    after = np.zeros((2, size))
-    at = np.array([ids.get(w, 0) for w in histories["previous"]], dtype=np.int64)
-    for k, c in enumerate("ot"):
-        times = histories[c].to_numpy(float)
-        after[k, at[at > 0]] = times[at > 0]
-    v = np.array([ids.get(w, 0) for w in frequent["previous"]], dtype=np.int64)
-    w = np.array([ids.get(x, 0) for x in frequent["word"]], dtype=np.int64)
-    ok = (v > 0) & (w > 0) & (after.min(axis=0)[v] >= MIN_HISTORY)
-    order = np.argsort(v[ok] * size + w[ok])
-    v, w = v[ok][order], w[ok][order]
-    pair = np.zeros((2, len(v)))
-    for k, c in enumerate(("ordinary", "toxic")):
-        pair[k] = np.maximum(frequent[c].to_numpy(float)[ok][order] - CLASS_DISCOUNT, 0) / np.maximum(after[k, v], 1)
-    backoff = 1 - np.max([np.bincount(v, p, size) for p in pair], axis=0)  # what the kept bigrams leave
-    model = Model(ids, word, np.maximum(backoff, 1e-3), v * size + w, pair, np.zeros(4))
-    rest = chosen.where("pmod(key, 2) = 1").select("text", "toxic")
-    shared_model = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = evidence(shared_model.value, texts(b.column("text")))
-        return pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, k]) for k in (1, 2, 3))], names=["toxic", "a", "b", "c"])
+        found, half = texts(b.column("text")), np.asarray(b.column("half"))
+        x = np.where(half == 0, evidence(shared.value[1], found), evidence(shared.value[0], found))
+        return pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x)], names=["toxic", "x"])
 
-    fit = by_batch(rest, f, "toxic int, a double, b double, c double").orderBy("a", "b", "c", "toxic").toPandas()
-    if fit["toxic"].nunique() < 2:
-        return None
+    fit = by_batch(chosen, f, "toxic int, x double").orderBy("x", "toxic").toPandas()
     y = fit["toxic"].to_numpy(float)
-    model.weights = logistic(np.column_stack([np.ones(len(fit)), fit[["a", "b", "c"]]]), y)
+    model.bias, model.slope = logistic(fit["x"].to_numpy(), y)
     # the sample has its own share of toxic texts; the score speaks of the share in all labels
-    model.weights[0] += np.log(share[1] / share[0]) - np.log(y.mean() / (1 - y.mean()))
+    model.bias += np.log(share[1] / share[0]) - np.log(y.mean() / (1 - y.mean()))
     return model
 
 
@@ -184,7 +182,7 @@ def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         found = texts(b.column("text"))
-        s = np.zeros(len(found)) if m is None else 1 / (1 + np.exp(-np.clip(evidence(m, found) @ m.weights, -500, 500)))
+        s = np.zeros(len(found)) if m is None else 1 / (1 + np.exp(-np.clip(m.bias + m.slope * evidence(m, found), -500, 500)))
         return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s)], names=[*keep, name])
 
     kept = docs.select(*dict.fromkeys((*keep, "text")))
@@ -200,4 +198,5 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores at or above the threshold; columns and other rows stay as they are."""
     names = docs.columns
-    return scored(docs, trained(docs, labels), tuple(names), "__toxic").where(F.col("__toxic") < threshold).select(*names)
+    mark = fresh(names, "__toxic")
+    return scored(docs, trained(docs, labels), tuple(names), mark).where(F.col(mark) < threshold).select(*names)

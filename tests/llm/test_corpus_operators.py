@@ -265,6 +265,74 @@ def test_copies_on_a_host_cost_no_text(spark):
     assert all(text(k, 0) == out["near", k] for k in range(1000, 1040)) and all(f"Part 6 of {k}" in out["near", k] for k in range(1, 1000))
 
 
+def brute_tree(pages):
+    """(importance, share) by host and path, straight from the definition."""
+    import math
+    from collections import Counter, defaultdict
+    hosts, usual, seen = defaultdict(dict), {}, defaultdict(set)
+    for h, page in pages:
+        key, nodes = html_text.observed(html_text.parse(page))
+        if key not in seen[h]:
+            seen[h].add(key)
+            for node, look in nodes:
+                x = hosts[h].setdefault(node.path, [Counter(), Counter(), 0])
+                x[0][look] += 1
+                x[1][node.content] += 1
+                x[2] += node.chars
+
+    def entropy(c):
+        m = sum(c.values())
+        return 1.0 if m < 2 else (math.log(m) - sum(n * math.log(n) for n in c.values()) / m) / math.log(m)
+
+    def both(look, content):
+        h = entropy(content) if any(k is not None for k in content) else 0.0
+        return max(entropy(look), h), h
+
+    for path in {p for x in hosts.values() for p in x}:
+        have = [h for h in hosts if path in hosts[h]]
+        g, h = both(sum((hosts[x][path][0] for x in have), Counter()), sum((hosts[x][path][1] for x in have), Counter()))
+        usual[path] = g, h * sum(hosts[x][path][2] for x in have) / sum(max(hosts[x][0][2], 1) for x in have)
+    out = {}
+    for host, paths in hosts.items():
+        for path, (look, content, chars) in paths.items():
+            g, h = both(look, content)
+            m, n = sum(look.values()), len(seen[host])
+            out[host, path] = (m * g + 10 * usual[path][0]) / (m + 10), (n * h * chars / max(paths[0][2], 1) + 10 * usual[path][1]) / (n + 10)
+    return out
+
+
+def site_pages():
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        host = f"h{k % 3}.example"
+        story = "".join(f"<p>{' '.join(f'w{rng.randrange(500)}' for _ in range(12))}</p>" for _ in range(4))
+        rows.append((k, f"http://{host}/{k}", f"<html><body><div class=top>Menu of {host}</div><{'article' if k % 3 else 'div'} class=text>{story}<div class=x{k}>Write to us at {host}</div></{'article' if k % 3 else 'div'}><div class=foot>All rights {k}</div></body></html>", story))
+    return rows
+
+
+def test_style_tree_equals_brute_force(spark):
+    rows = site_pages()
+    pages = spark.createDataFrame([r[:3] for r in [*rows, rows[0]]], "page_id long, url string, html string")
+    got = {(r["host"], r["path"]): (r["importance"], r["share"]) for r in html_text.style_tree(html_text.sightings(pages)).collect()}
+    want = brute_tree([(u.split("/")[2], h) for _, u, h, _ in rows])
+    assert set(got) == set(want) and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_importance_decides_also_inside_articles(spark):
+    rows = site_pages()
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    want = {k: story.replace("<p>", "").replace("</p>", "\n").strip() for k, _, _, story in rows}
+    assert out == want
+
+
+def test_deep_and_hostile_pages(spark):
+    rows = [(1, "u", "<div>" * 4000 + "deep text"), (2, "u", "<p>" + "<a <b " * 20_000), (3, "u", "</i>" * 20_000 + "x" + "<svg>" * 3000), (4, "u", "<ul>" + "<li>a</span>" * 9000), (5, "u", "&#x1F600; &amp; &nosuch; <p>" + "y" * 300_000)]
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "deep text" and out[3].startswith("x") and out[4].count("a") == 9000 and out[5].endswith("y" * 300_000) and out[5].startswith("\U0001F600 & &nosuch;")
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(21)
     rows = near_rows()[:60] + [(500, BASE + " one two three"), (501, "clean text " + " ".join(f"u{k}" for k in range(30))), (502, None), (503, "")]

@@ -122,6 +122,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 2000").count() == 1
 
 
+def brute_ratios(rows, share=1.0):
+    """Log ratios of all words by both models, straight from their definition."""
+    import math
+    pairs = [set(), set()]
+    for text, toxic in rows:
+        w = toxicity.WORD.findall(text.lower())
+        pairs[toxic] |= set(zip(["", *w], w, strict=False))
+    counts = [{}, {}]
+    for c in (0, 1):
+        for _, w in pairs[c]:
+            counts[c][w] = counts[c].get(w, 0) + 1
+    total = [sum(x.values()) for x in counts]
+    size, every = min(total), set(counts[0]) | set(counts[1])
+    scaled = [{w: counts[c].get(w, 0) * size / total[c] for w in every} for c in (0, 1)]
+    both = {w: (scaled[0][w] + scaled[1][w]) / 2 for w in every}
+    over = [{w: max(scaled[c][w] - share * toxicity.DISCOUNT - toxicity.EXCESS * both[w], 0) for w in every} for c in (0, 1)]
+    rest = (size - sum(max(m - toxicity.SHARED, 0) for m in both.values())) / (len(every) + 1)
+    p = [{w: toxicity.BACKOFF * (max(both[w] - toxicity.SHARED, 0) + rest) / size + (1 - toxicity.BACKOFF) * over[c][w] / max(sum(over[c].values()), 1e-9) for w in every} for c in (0, 1)]
+    return {w: math.log(p[1][w] / p[0][w]) for w in every}
+
+
+def test_toxicity_models_equal_brute_force_and_scores_rise(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice([f"w{k}" for k in range(30)] + ["foul"] * 4 * (i % 3 == 0)) for _ in range(25)), int(i % 3 == 0)) for i in range(60)]
+    counts = toxicity.counted(spark.createDataFrame([(t, y, 0) for t, y in rows], "text string, toxic int, half int"))
+    first, second, both = toxicity.models(counts)
+    assert second is None and first.word["foul"] > 1
+    want = brute_ratios(rows)
+    assert set(both.word) == {w for w, r in want.items() if abs(r) > 1e-12}
+    assert all(abs(both.word[w] - r) < 1e-9 for w, r in want.items() if w in both.word)
+    both.slope = 0.5
+    texts = ["w1 w2 " * 10, "w1 w2 foul " * 3 + "w1 " * 11, "foul " * 20, ""]
+    x = toxicity.evidence(toxicity.Model(both.word, {}), texts)
+    assert abs(x[1] - 100 * sum(want[w] for w in texts[1].split()) / 20) < 1e-9
+    docs = documents(spark, list(enumerate(texts)))
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, both).collect()}
+    assert score[0] < score[1] < score[2] and score[0] >= 0 and abs(score[3] - 0.5) < 1e-9
+    assert toxicity.logistic(np.array([1.0, 2, 3, 0]), np.array([0.0, 0, 0, 1]))[1] == toxicity.SLOPE
+    assert toxicity.query(documents(spark, []), spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_language_model_base_and_normalisation(spark):
     docs = documents(spark, HARD + [(k, f"alpha beta gamma{k % 3} delta.") for k in range(30, 60)])
     out = language_model.scored(docs).collect()
