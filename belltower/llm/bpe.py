@@ -66,14 +66,16 @@ class Codec:
         if n < 2:
             return tuple(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int, int, int]] = []
+        merges, queue = self.merges.get, []
+        for i in range(n - 1):
+            if found := merges((ids[i], ids[i + 1])):
+                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        heapq.heapify(queue)
 
         def offer(i: int, j: int) -> None:
-            if found := self.merges.get((ids[i], ids[j])):
+            if found := merges((ids[i], ids[j])):
                 heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
 
-        for i in range(n - 1):
-            offer(i, i + 1)
         while queue:
             _, i, a, b, made = heapq.heappop(queue)
             j = after[i]

@@ -328,7 +328,7 @@ def test_importance_decides_also_inside_articles(spark):
 
 
 def test_deep_and_hostile_pages(spark):
-    rows = [(1, "u", "<div>" * 4000 + "deep text"), (2, "u", "<p>" + "<a <b " * 20_000), (3, "u", "</i>" * 20_000 + "x" + "<svg>" * 3000), (4, "u", "<ul>" + "<li>a</span>" * 9000), (5, "u", "&#x1F600; &amp; &nosuch; <p>" + "y" * 300_000)]
+    rows = [(1, "u", "<div>" * 4000 + "deep text"), (2, "u", "<p>" + "<a <b " * 20_000), (3, "u", "</i>" * 20_000 + "x" + "<svg>" * 3000), (4, "u", "<ul>" + "<li>a</span>" * 9000), (5, "u", "<p>&#x1F600; &amp; &nosuch; " + "y" * 300_000)]
     out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1] == "deep text" and out[3].startswith("x") and out[4].count("a") == 9000 and out[5].endswith("y" * 300_000) and out[5].startswith("\U0001F600 & &nosuch;")
 
