@@ -1,16 +1,17 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 Test items become windows of consecutive words. The rarest words of every window (by their
-count in the training texts) are its anchors; the index stores the postings (word, doc_id,
-position) of all anchor words. Lists are shifted by the anchor's offset and intersected, so
-that what is left are places where all anchors stand right; there the whole window is
-compared. Proximity search intersects the same lists with a tolerance.
-
-Cases: null texts and null doc_ids have no words and are never hit; items of fewer words
-than a window are one window, items without words none; repeated rows give repeated
-results, and rows that share a doc_id are judged each by its own text; ties between anchors
-go to the lesser offset; an empty benchmark or table gives n_hit 0 or an empty result; other
-columns are not read.
+count in the training texts) are its anchors; the index stores the postings (word, row,
+position) of all anchor words, where a row is told by a key of its doc_id and text. Lists are
+shifted by the anchor's offset and intersected, so that what is left are places where all
+anchors stand right; there the whole window is compared, in texts that have such places
+alone. Proximity search intersects the same lists with a tolerance.
+
+Cases: null texts have no words and are never hit; a null doc_id is judged as any other;
+items of fewer words than a window are one window, items without words none; an item without
+an id hits and is listed nowhere; repeated rows give repeated results, and rows that share a
+doc_id are judged each by its own text; ties between anchors go to the lesser offset; an
+empty benchmark or table gives n_hit 0 or an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belltower.llm.common import is_small, settled
+from belltower.llm.common import fits, fresh, settled
 
 WINDOW, ANCHORS = 10, 2
-#: Windows or words are broadcast up to so many rows; beyond, the join shuffles.
-MAX_BROADCAST = 200_000
+#: What is broadcast, in bytes; beyond, the join shuffles.
+MAX_BROADCAST = 24_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,21 +39,28 @@ def words(c: Column) -> Column:
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(window, n, items): each distinct window as words joined by spaces, its words' number, and the sorted item ids that hold it."""
-    w = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("item_id IS NOT NULL AND size(w) > 0")
+    w = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     each = w.select("item_id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, size), " "))).alias("window"))
     return each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("n", F.size(F.split("window", " ")))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size is within the bound."""
-    return F.broadcast(df) if is_small(df, MAX_BROADCAST) else df
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def small(df: DataFrame, *wide: str) -> DataFrame:
+    """Marked for broadcast if its bytes are within the bound. wide: its columns that are no numbers."""
+    size = F.lit(16 * len(df.columns))
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return F.broadcast(df) if fits(df, size, MAX_BROADCAST) else df
 
 
 def anchors(wins: DataFrame, docs: DataFrame, k: int = ANCHORS) -> DataFrame:
     """(window, offset, word, rank): the k rarest words of every window in the training texts."""
     terms = wins.select("window", F.posexplode(F.split("window", " ")).alias("offset", "word"))
-    wanted = small(settled(terms.select("word").distinct()))
+    wanted = small(settled(terms.select("word").distinct()), "word")
     counts = docs.select(F.explode(words(F.col("text"))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("times"))
     ranked = terms.join(counts, "word", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     # one row for each distinct word of the window, rarest first; at most a window's words meet in one group
@@ -62,26 +70,26 @@ def anchors(wins: DataFrame, docs: DataFrame, k: int = ANCHORS) -> DataFrame:
 
 
 def postings(docs: DataFrame, anchor_words: DataFrame) -> DataFrame:
-    """The index: (word, doc_id, position) for every place of the given words in the training texts."""
-    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(words(F.col("text"))).alias("position", "word"))
-    return each.join(small(anchor_words), "word", "left_semi").select("word", "doc_id", "position")
+    """The index: (word, row, position) for every place of the given words in the training texts."""
+    each = docs.select(row_key().alias("row"), F.posexplode(words(F.col("text"))).alias("position", "word"))
+    return each.join(small(settled(anchor_words), "word"), "word", "left_semi").select("word", "row", "position")
 
 
 def places(index: DataFrame, chosen: DataFrame, tolerance: int = 0) -> DataFrame:
-    """(doc_id, window, start) where every anchor list has an entry: exactly, or within tolerance words of its place.
+    """(row, window, start) where every anchor list has an entry: exactly, or within tolerance words of its place.
 
     Rarest list first: the others only filter what it brings.
     """
-    lists = small(chosen)
-    found = index.join(lists.where("rank = 0").drop("rank"), "word").select("doc_id", "window", (F.col("position") - F.col("offset")).alias("start")).where(F.col("start") >= -tolerance)
+    first = chosen.where("rank = 0").drop("rank")
+    found = index.join(small(first, "word", "window"), "word").select("row", "window", (F.col("position") - F.col("offset")).alias("start")).where(F.col("start") >= -tolerance)
     # what each further list must hold for a start to stay; windows of fewer distinct words have fewer lists
-    rest = lists.where("rank > 0").groupBy("window").agg(F.collect_list(F.struct("word", "offset")).alias("rest"))
-    found = settled(found.join(small(rest), "window", "left"))
-    wanted = found.select("doc_id", "window", "start", F.size("rest").alias("needed"), F.posexplode("rest").alias("k", "a")).select("doc_id", "window", "start", "needed", "k", "a.word", (F.col("start") + F.col("a.offset")).alias("position"))
+    rest = chosen.where("rank > 0").groupBy("window").agg(F.collect_list(F.struct("word", "offset")).alias("rest"))
+    found = settled(found.join(small(rest, "window", "rest"), "window", "left"))
+    wanted = found.select("row", "window", "start", F.size("rest").alias("needed"), F.posexplode("rest").alias("k", "a")).select("row", "window", "start", "needed", "k", "a.word", (F.col("start") + F.col("a.offset")).alias("position"))
     if tolerance:  # an entry serves every start near it
         wanted = wanted.withColumn("position", F.explode(F.sequence(F.col("position") - tolerance, F.col("position") + tolerance)))
-    met = wanted.join(index, ["doc_id", "position", "word"], "left_semi").groupBy("doc_id", "window", "start").agg(F.max("needed").alias("needed"), F.countDistinct("k").alias("met"))
-    return met.where("met = needed").select("doc_id", "window", "start").unionByName(found.where("rest IS NULL").select("doc_id", "window", "start")).distinct()
+    met = wanted.join(index, ["row", "position", "word"], "left_semi").groupBy("row", "window", "start").agg(F.max("needed").alias("needed"), F.countDistinct("k").alias("met"))
+    return met.where("met = needed").select("row", "window", "start").unionByName(found.where("rest IS NULL").select("row", "window", "start")).distinct()
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, tolerance: int = 3, size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
@@ -89,38 +97,40 @@ def proximity_matches(docs: DataFrame, items: DataFrame, tolerance: int = 3, siz
     wins = settled(windows(items, size))
     chosen = settled(anchors(wins, docs, k))
     index = settled(postings(docs, chosen.select("word").distinct()))
-    return places(index, chosen, tolerance)
+    return docs.select("doc_id", row_key().alias("row")).join(places(index, chosen, tolerance), "row").drop("row")
 
 
-def phrase_places(docs: DataFrame, items: DataFrame, size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
-    """(doc_id, starts): for every document with candidates, structs (start, n, window, items) where all anchors meet."""
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
+    """(row, hit_items, hit_positions) of every row that holds a window: item ids and word positions, each once."""
     wins = settled(windows(items, size))
     chosen = settled(anchors(wins, docs, k))
     index = settled(postings(docs, chosen.select("word").distinct()))
-    met = places(index, chosen).join(small(wins), "window")
-    return met.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "window", "items")).alias("starts"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
-    """The kept columns and n_words, n_hit, n_items, items_sha256, contaminated, the hit items and the hit word positions of every row."""
-    found = phrase_places(docs, items, size, k).withColumnRenamed("doc_id", "__id")
-    rows = docs.select(*dict.fromkeys((*keep, "doc_id", "text")))
-    both = rows.join(found.hint("shuffle_hash"), rows["doc_id"] == found["__id"], "left").withColumn("__w", words(F.col("text")))
-    same = F.filter(F.coalesce("starts", F.array()), lambda s: F.array_join(F.slice("__w", s["start"] + 1, s["n"]), " ") == s["window"])
-    both = both.withColumn("__hits", F.when(F.col("starts").isNotNull(), same))
-    covered = F.array_distinct(F.flatten(F.transform("__hits", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda s: s["items"]))))
-    empty = F.array().cast("array<string>")
-    out = both.withColumn("__positions", F.coalesce(covered, F.array().cast("array<int>"))).withColumn("__items", F.coalesce(named, empty))
-    return out.select(
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        F.size("__positions").cast("long").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__positions") > 0).alias("contaminated"),
-        F.col("__items").alias("hit_items"),
-        F.col("__positions").alias("hit_positions"),
+    met = settled(places(index, chosen).join(small(wins, "window", "items"), "window").groupBy("row").agg(F.collect_list(F.struct("start", "n", "window", "items")).alias("starts")))
+    # texts of rows with candidates alone, each once
+    texts = docs.select(row_key().alias("row"), "text").join(small(met.select("row")), "row", "left_semi").dropDuplicates(["row"])
+    both = texts.select("row", words(F.col("text")).alias("w")).join(met, "row")
+    same = F.filter("starts", lambda s: F.array_join(F.slice("w", s["start"] + 1, s["n"]), " ") == s["window"])
+    both = both.select("row", same.alias("hits")).where(F.size("hits") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda s: s["items"]))))
+    return settled(both.select("row", named.alias("hit_items"), covered.alias("hit_positions")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, k: int = ANCHORS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the hit items and the hit word positions of every row."""
+    found = hits(docs, items, size, k)
+    rows = docs.select("doc_id", row_key().alias("row"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    both = rows.join(small(found, "hit_items", "hit_positions"), "row", "left")
+    named, covered = F.coalesce("hit_items", F.array().cast("array<string>")), F.coalesce("hit_positions", F.array().cast("array<int>"))
+    return both.select(
+        "doc_id",
+        "n_words",
+        F.size(covered).cast("long").alias("n_hit"),
+        F.size(named).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
+        (F.size(covered) > 0).alias("contaminated"),
+        named.alias("hit_items"),
+        covered.alias("hit_positions"),
     )
 
 
@@ -131,7 +141,8 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows; columns and other rows stay as they are."""
     names = docs.columns
-    return contamination(docs, items, tuple(names)).where(~F.col("contaminated")).select(*names)
+    mark = fresh(names, "__row")
+    return docs.withColumn(mark, row_key()).join(small(hits(docs, items).select(F.col("row").alias(mark))), mark, "left_anti").select(*names)
 
 
 ORACLE_SQL = r"""

@@ -1,10 +1,16 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines are trimmed; empty ones take no part. Equal lines are one class. A line of at least
-MIN_CHARS code points also joins every line within EDITS edits: lines are cut into EDITS + 1
-segments, of which two such lines must share one unchanged; an index of (length, segment
-number, segment) is probed with the substrings whose places fit the length difference
-(multi-match-aware bounds); what meets is compared by a banded bit-parallel edit distance.
+Lines are trimmed; empty ones take no part. Equal lines are one class, and so are lines that
+are within an allowance of edits, which goes by the shorter line:
+
+* under 12 code points none, from there on 1, from 24 code points on 2 edits of code points;
+* lines of 32 words and more: 3 edits of words (lines up to 34 words are compared by code
+  points as well, so that no length is judged by one unit alone where two lines differ).
+
+Lines are cut into one segment more than they have edits, of which two such lines must share
+one unchanged; an index of (length, segment number, segment) is probed with the substrings
+whose places fit the length difference (multi-match-aware bounds); what meets is compared by
+a banded bit-parallel edit distance.
 
 An index entry that many lines share makes no pairs of all of them: the lines of one entry
 are compared within their entry and only links that connect something new are kept, and
@@ -17,30 +23,39 @@ and line number; an empty table gives an empty result; other columns are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belltower.llm.common import by_batch, mix64, partitions, settled, texts
+from belltower.llm.common import by_batch, fits, fresh, mix64, partitions, settled, slices, texts
 from belltower.llm.graph import components
 from belltower.llm.jaccard import Powers
 
-EDITS, MIN_CHARS = 2, 24
+#: Edits of code points by the least length that they are allowed from; edits of words, and from how many words on.
+ALLOWED = ((12, 1), (24, 2))
+LONG, WORD_EDITS = 32, 3
 #: Lines of an index entry that one task compares; beyond, the entry is cut into blocks.
 BLOCK = 1_000
+MAX_BROADCAST = 24_000_000
 _POWERS = Powers()
 BREAK, EDGES = "\n", " \t\r\f\v"
 
 
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """Marked for broadcast if its rows, of the given sizes in bytes, are few enough."""
+    return F.broadcast(df) if fits(df, size, MAX_BROADCAST) else df
+
+
 def lines_of(text: str) -> list[str]:
     return [x.strip(EDGES) for x in text.split(BREAK)]
 
 
-def edit_distance_within(a: str, b: str, limit: int) -> bool:
-    """Whether a and b are within limit edits: Hyyrö's banded bit-parallel recurrence, a band of 2 * limit + 1 diagonals in one integer."""
+def edit_distance_within(a: Sequence, b: Sequence, limit: int) -> bool:
+    """Whether a and b, strings or lists of words, are within limit edits: Hyyrö's banded bit-parallel recurrence, a band of 2 * limit + 1 diagonals in one integer."""
     n, m = len(a), len(b)
     if abs(n - m) > limit:
         return False
@@ -60,7 +75,7 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
     # bit k of a mask is row low + k of the longer string; the band moves down a row with every column
     width = 2 * limit + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     plus, minus = full & ~((1 << (width - limit - 1)) - 1), 0  # no rows above the first
@@ -83,16 +98,50 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
-def line_keys(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For many lines at once: 64-bit key and length of each, and the running hashes and starts that substrings are read from."""
-    raw = np.frombuffer("".join(batch).encode("utf-32-le"), np.uint32)
-    n = np.array([len(x) for x in batch], np.int64)
-    ends = np.cumsum(n)
-    starts = ends - n
-    up, _ = _POWERS.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(mix64(raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return part_hash(total, starts, ends, 0), n, total, starts
+def allowance(n: np.ndarray | int) -> np.ndarray | int:
+    """Edits of code points that lines of n code points are allowed."""
+    return sum((np.asarray(n) >= least) * (edits - before) for (least, edits), before in zip(ALLOWED, (0, *(e for _, e in ALLOWED)), strict=False))
+
+
+def linked(a: str, b: str) -> bool:
+    """Whether two lines are within the allowance of the shorter."""
+    v, w = a.split(), b.split()
+    if min(len(v), len(w)) >= LONG and edit_distance_within(v, w, WORD_EDITS):
+        return True
+    return max(len(v), len(w)) < LONG + WORD_EDITS and edit_distance_within(a, b, int(allowance(min(len(a), len(b)))))
+
+
+class Runs:
+    """Many sequences of symbols at once: lengths, starts, and running hashes from which every part's hash is read."""
+
+    def __init__(self, symbols: np.ndarray, n: np.ndarray):
+        self.n = n
+        ends = np.cumsum(n)
+        self.starts = ends - n
+        self.up, self.down = _POWERS.upto(len(symbols) + 1)
+        self.total = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(mix64(symbols + np.uint64(1)) * self.up[: len(symbols)], out=self.total[1:])
+
+    def hash(self, who: np.ndarray, at: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+        start = self.starts[who] + at
+        end = start + size
+        return mix64((self.total[end] - self.total[start]) * self.down[start] + size.astype(np.uint64) + np.uint64(salt * 0xA24BAED4963EE407 % 2**64))
+
+
+def of_chars(lines: list[str]) -> Runs:
+    raw = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return Runs(raw, np.array([len(x) for x in lines], np.int64))
+
+
+def of_words(lines: list[list[str]]) -> Runs:
+    raw = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in lines for w in x), np.uint64)
+    return Runs(raw, np.array([len(x) for x in lines], np.int64))
+
+
+def line_keys(lines: list[str]) -> np.ndarray:
+    """64-bit keys of lines."""
+    runs = of_chars(lines)
+    return runs.hash(np.arange(len(lines)), np.zeros(len(lines), np.int64), runs.n, 0)
 
 
 def in_parts(lines: list[str], chars: int = 100_000) -> Iterator[list[str]]:
@@ -109,19 +158,11 @@ def in_parts(lines: list[str], chars: int = 100_000) -> Iterator[list[str]]:
 
 
 def keys_and_lengths(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [line_keys(part)[:2] for part in in_parts(lines)]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, n = zip(*found, strict=True)
-    return np.concatenate(keys), np.concatenate(n)
-
-
-def part_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-    _, down = _POWERS.upto(len(total))
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) + np.uint64(salt * 0xA24BAED4963EE407 % 2**64))
+    keys = [line_keys(part) for part in in_parts(lines)]
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.array([len(x) for x in lines], np.int64)
 
 
-def segments(n: np.ndarray, k: int, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+def segments(n: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment k of lines of length n: even parts, the longer ones last."""
     parts = edits + 1
     short = n // parts
@@ -129,34 +170,42 @@ def segments(n: np.ndarray, k: int, edits: int = EDITS) -> tuple[np.ndarray, np.
     return k * short + np.maximum(0, k - (parts - longer)), short + (k >= parts - longer)
 
 
-def entry_key(length: np.ndarray, k: int, part: np.ndarray) -> np.ndarray:
-    return mix64(part ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+def entry_key(length: np.ndarray, k: int, part: np.ndarray, unit: int) -> np.ndarray:
+    """An entry's number; its last bit tells the unit of its edits (0: code points, 1: words)."""
+    return mix64(part ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(2 * k + unit))) & ~np.uint64(1) | np.uint64(unit)
 
 
-def entries(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, line, probing) of distinct lines: each line's own segments, and the substrings with which it probes lines that are as long or shorter."""
-    if not lines:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    _, n, total, base = line_keys(lines)
-    who = np.arange(len(lines))
-    keys, owners, probing = [], [], []
+def probes(runs: Runs, edits: int, own: np.ndarray, meets: list[np.ndarray], unit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(entries, lines, probing): the segments of the lines own, and the substrings with which the lines meets[less] probe lines that are `less` symbols shorter."""
     for k in range(edits + 1):
+        n = runs.n[own]
         s, size = segments(n, k, edits)
-        keys.append(entry_key(n, k, part_hash(total, base + s, base + s + size, k)))
-        owners.append(who)
-        probing.append(np.zeros(len(lines), bool))
-        for less in range(edits + 1):  # indexed length is n - less
-            s, size = segments(n - less, k, edits)
+        yield entry_key(n, k, runs.hash(own, s, size, k), unit), own, False
+        for less, who in enumerate(meets):
+            n = runs.n[who] - less
+            s, size = segments(n, k, edits)
             # left bound: at most k edits lie before segment k; right bound: at most edits - k behind it
-            low = max(-k, less - (edits - k))
-            high = min(k, less + (edits - k))
-            for shift in range(low, high + 1):
-                at = s + shift
-                ok = (at >= 0) & (at + size <= n)
-                keys.append(entry_key(n[ok] - less, k, part_hash(total, (base + at)[ok], (base + at + size)[ok], k)))
-                owners.append(who[ok])
-                probing.append(np.ones(int(ok.sum()), bool))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(probing)
+            for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
+                ok = (s + shift >= 0) & (s + shift + size <= runs.n[who])
+                yield entry_key(n[ok], k, runs.hash(who[ok], (s + shift)[ok], size[ok], k), unit), who[ok], True
+
+
+def entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, line, probing) of distinct lines."""
+    found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    split = [x.split() for x in lines]
+    words = np.array([len(w) for w in split], np.int64)
+    chars = of_chars(lines)
+    short = words < LONG + WORD_EDITS
+    for _, edits in ALLOWED:
+        meets = [np.flatnonzero(short & (allowance(chars.n - less) == edits)) for less in range(edits + 1)]
+        found += probes(chars, edits, meets[0], meets, 0)
+    at = np.flatnonzero(words >= LONG)
+    if len(at):
+        runs = of_words([split[i] for i in at])
+        meets = [np.flatnonzero(runs.n - less >= LONG) for less in range(WORD_EDITS + 1)]
+        found += [(e, at[who], probing) for e, who, probing in probes(runs, WORD_EDITS, meets[0], meets, 1)]
+    return tuple(np.concatenate(x) for x in zip(*((e, who, np.full(len(who), probing)) for e, who, probing in found), strict=True))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -176,16 +225,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return by_batch(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), f, "doc_id long, row long, line long, key long, n long")
 
 
-def meetings(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def meetings(docs: DataFrame) -> DataFrame:
     """(entry, key): the lines at every index entry that a different line probes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = list({x for t in texts(b.column("text")) for x in lines_of(t) if len(x) >= min_chars})
-            for lines in in_parts(every):
-                e, who, probing = entries(lines, edits)
-                keys = line_keys(lines)[0].view(np.int64)[who]
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(keys), pa.array(probing)], names=["entry", "key", "probing"])
+            for part in slices(b, 2048):
+                every = list({x for t in texts(part.column("text")) for x in lines_of(t) if len(x) >= ALLOWED[0][0]})
+                for lines in in_parts(every):
+                    e, who, probing = entries(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(line_keys(lines).view(np.int64)[who]), pa.array(probing)], names=["entry", "key", "probing"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(np.asarray(b.column("entry")), np.asarray(b.column("key")), b.column("probing").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
@@ -209,22 +258,26 @@ def meetings(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return sent.mapInArrow(meet, "entry long, key long")
 
 
-def connecting(group: list[tuple[int, str, bool]], edits: int) -> list[tuple[int, int]]:
+def connecting(group: list[tuple[int, str, bool]], unit: int) -> list[tuple[int, int]]:
     """Keys of pairs of lines (key, line, side) within the edits that connect what is apart; where both sides occur, pairs across them alone. Ends as soon as all is connected."""
-    group = sorted(group, key=lambda g: len(g[1]))
-    two, apart = any(g[2] for g in group), len(group)
-    up, found = list(range(len(group))), []
+    if len(group) < 2:
+        return []
+    lines = [(g[0], g[1].split() if unit else g[1], g[2]) for g in group]
+    lines.sort(key=lambda g: len(g[1]))
+    two, apart = any(g[2] for g in lines), len(lines)
+    up, found = list(range(len(lines))), []
 
     def root(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    for p, (key, line, side) in enumerate(group):
+    for p, (key, line, side) in enumerate(lines):
         if apart == 1:
             break
-        for q in range(p + 1, len(group)):
-            other = group[q]
+        edits = WORD_EDITS if unit else int(allowance(len(line)))
+        for q in range(p + 1, len(lines)):
+            other = lines[q]
             if len(other[1]) - len(line) > edits:
                 break
             if two and side == other[2] or (r := root(p)) == (s := root(q)):
@@ -236,19 +289,19 @@ def connecting(group: list[tuple[int, str, bool]], edits: int) -> list[tuple[int
     return found
 
 
-def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_links(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): keys of lines within the edits of each other that connect what any such lines connect.
 
     first has (key, row) of every distinct line: the lines' own texts are read from there once more.
     """
-    met = settled(meetings(docs, edits, min_chars))
+    met = settled(meetings(docs))
     # entries with the same lines say the same: one of them is enough
     same = met.groupBy("entry").agg(F.count("*").alias("lines"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
     chosen = same.groupBy("lines", "a", "b").agg(F.min("entry").alias("entry"))
     member = met.join(chosen.select("entry", "lines"), "entry")
     wanted = settled(met.select("key").distinct().join(first, "key").select("key", "row"))
     # texts of the lines that met anything: the rows that hold them are read once more
-    rows = wanted.groupBy("row").agg(F.collect_set("key").alias("keys"))
+    rows = settled(wanted.groupBy("row").agg(F.collect_set("key").alias("keys")))
 
     def pick(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, lines = [], []
@@ -263,7 +316,7 @@ def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.string())], names=["key", "text"]) if keys else None
 
     keyed_rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = settled(by_batch(keyed_rows.join(rows.hint("shuffle_hash"), "row").select("text", "keys"), pick, "key long, text string").dropDuplicates(["key"]))
+    lines = settled(by_batch(keyed_rows.join(small(rows, 40 + 8 * F.size("keys")), "row").select("text", "keys"), pick, "key long, text string").dropDuplicates(["key"]))
     dealt = member.join(lines, "key").withColumn("blocks", F.ceil(F.col("lines") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
     dealt = dealt.withColumn("p", pair).select("entry", "p.i", "p.j", (F.col("own") != F.col("p.i")).alias("side"), "key", "text")
@@ -273,7 +326,7 @@ def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
         now, group, out = None, [], []
 
         def compare() -> None:
-            out.extend(connecting(group, edits))
+            out.extend(connecting(group, now[0] & 1 if now else 0))
 
         for b in batches:
             for e, i, j, side, k, t in zip(*(b.column(x).to_pylist() for x in ("entry", "i", "j", "side", "key", "text")), strict=True):
@@ -291,45 +344,59 @@ def line_links(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_chars:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def classed(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All line occurrences, and (key, class): the class of every line that is linked to a different one. A class's id is its least key."""
     every = settled(occurrences(docs))
-    first = every.where(F.col("n") >= min_chars).groupBy("key").agg(F.min("row").alias("row"))
-    links = settled(line_links(docs, first, edits, min_chars))
+    first = every.where(F.col("n") >= ALLOWED[0][0]).groupBy("key").agg(F.min("row").alias("row"))
+    links = settled(line_links(docs, first))
     return every, components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
 
 
-def ranked(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(row, line, class, leads): of every class's occurrences, the one in the least (doc_id, row, line) leads."""
-    every, linked = classed(docs, edits, min_chars)
+def ranked(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line, class, lead, lead_line, shared, leads): of every class's occurrences, the one in the least (doc_id, row, line) leads."""
+    every, linked = classed(docs)
     rows = settled(every.join(linked, "key", "left").select("doc_id", "row", "line", F.coalesce("class", "key").alias("class")).distinct())
     least = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("l"), F.count("*").alias("times"))
     # written first, so that both sides of the join are plain shuffles and a class of very many rows can be split
     several = settled(least.where("times > 1").select("class", F.col("l.row").alias("lead_row"), F.col("l.line").alias("lead_line"), F.col("l.doc_id").alias("lead")))
     joined = rows.join(several, "class", "left")
-    return joined.select("doc_id", "row", "line", "class", "lead", F.col("lead_row").isNotNull().alias("shared"), (F.col("lead_row").isNull() | ((F.col("lead_row") == F.col("row")) & (F.col("lead_line") == F.col("line")))).alias("leads"))
+    return joined.select("doc_id", "row", "line", "class", "lead", "lead_line", F.col("lead_row").isNotNull().alias("shared"), (F.col("lead_row").isNull() | ((F.col("lead_row") == F.col("row")) & (F.col("lead_line") == F.col("line")))).alias("leads"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, its non-empty lines, those of classes with several occurrences, those that another line leads, and a digest of the leading documents by line."""
+    """Per row: doc_id, its non-empty lines, those of classes with several occurrences, those that another line leads, the leading documents of these by line, and the classes of the shared lines: each line's number with the doc_id and line number that lead its class."""
+    lead = F.coalesce(F.col("lead").cast("string"), F.lit("-"))
     lines = ranked(docs).groupBy("row").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("shared").cast("long")).alias("n_shared"), F.sum((~F.col("leads")).cast("long")).alias("n_duplicate"),
-        F.array_sort(F.collect_list(F.when(~F.col("leads"), F.struct("line", F.col("lead").alias("lead"))))).alias("l"),
+        F.array_sort(F.collect_list(F.when(~F.col("leads"), F.struct("line", lead.alias("of"))))).alias("l"),
+        F.array_sort(F.collect_list(F.when(F.col("shared"), F.struct("line", F.concat_ws(":", lead, "lead_line").alias("of"))))).alias("c"),
     )
-    said = F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["line"], F.coalesce(x["lead"].cast("string"), F.lit("-")))), ",")
+
+    def said(c: str, sign: str) -> Column:
+        return F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(sign, x["line"], x["of"])), ","), F.lit(""))
+
     d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
     zero = F.lit(0).cast("long")
-    return d.join(lines, "row", "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_shared", zero).alias("n_shared"), F.coalesce("n_duplicate", zero).alias("n_duplicate"), F.coalesce(said, F.lit("")).alias("duplicates"))
+    return d.join(lines, "row", "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_shared", zero).alias("n_shared"), F.coalesce("n_duplicate", zero).alias("n_duplicate"), said("l", ":").alias("duplicates"), said("c", "=").alias("classes"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with every line that another leads taken out of its text; of identical rows all lose the same lines. n_chars, where there is one, is that of the new text. Rows stay, even where no line does."""
     names = docs.columns
-    gone = ranked(docs).where(~F.col("leads")).groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__of")
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    both = keyed.join(gone.hint("shuffle_hash"), F.col("__row") == F.col("__of"), "left")
-    kept = F.filter(F.split("text", BREAK, -1), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
-    both = both.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(kept, BREAK)).otherwise(F.col("text")))
-    if "n_chars" in names:
-        both = both.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*names)
+    mark = fresh(names, "__row")
+    lost = fresh([*names, mark], "__gone")
+    gone = settled(ranked(docs).where(~F.col("leads")).groupBy(F.col("row").alias(mark)).agg(F.collect_set("line").alias(lost)))
+    gone = small(gone, 40 + 8 * F.size(lost))
+    keyed = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for t, g in zip(texts(b.column("text")), b.column(lost).to_pylist(), strict=True):
+            g = set(g)
+            kept.append(BREAK.join(x for i, x in enumerate(t.split(BREAK)) if i not in g))
+        made = {"text": pa.array(kept, pa.string())} | ({"n_chars": pa.array([len(t) for t in kept], b.schema.field("n_chars").type)} if "n_chars" in names else {})
+        return pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in names], names=names)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    changed = by_batch(keyed.join(gone, mark).select(*names, lost), cut, types)
+    return keyed.join(gone.select(mark), mark, "left_anti").select(*names).unionByName(changed)

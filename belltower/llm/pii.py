@@ -17,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from belltower.llm.common import by_batch, sha256, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: A match can't begin inside a run of digits, nor end inside one: so says this form, which takes time in proportion to the text.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,13 +47,32 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def octet(s: str) -> bool:
+    """Whether a run of ASCII digits, however long, is at most 255."""
+    return len(s := s.lstrip("0")) < 4 and int(s or 0) <= 255
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """What `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+` finds: from each sign back to where its name begins, then on through its domain."""
+    found, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = last + len(text[last:at].rstrip(LOCAL))
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((start, m.end()))
+            last = m.end()
+        else:
+            last = at + 1
+        at = text.find("@", last)
+    return found
+
+
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start; matches that fail their test are dropped, without another try."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found += [("email", *x) for x in emails(text)]
     if "." in text:
-        found += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -73,7 +94,7 @@ def word_features(word: str) -> list[str]:
     letters = sum(c.isalpha() for c in core)
     size = min(len(core), 40) // 4
     hexadecimal = len(core) >= 20 and all(c in "0123456789abcdefABCDEF\"'" for c in core)
-    out = ["bias", f"shape={shape(core)}", f"size={size}", f"digits={min(digits, 20)}", f"mixed={digits > 2 and letters > 2}", f"hex={hexadecimal and digits > 3 and letters > 1}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"equals={core.endswith('=') or core.startswith('=')}", f"luhn={core.isdecimal() and luhn(core)}", f"octets={core.count('.') == 3 and all(p.isdecimal() and int(p) < 256 for p in core.split('.'))}"]
+    out = ["bias", f"shape={shape(core)}", f"size={size}", f"digits={min(digits, 20)}", f"mixed={digits > 2 and letters > 2}", f"hex={hexadecimal and digits > 3 and letters > 1}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"equals={core.endswith('=') or core.startswith('=')}", f"luhn={core.isascii() and core.isdecimal() and luhn(core)}", f"octets={core.count('.') == 3 and all(p.isascii() and p.isdecimal() and octet(p) for p in core.split('.'))}"]
     if core.lower() in ("token", "key", "password", "secret", "tel", "phone", "call", "card", "mail", "email", "api_key", "ip"):
         out.append(f"word={core.lower()}")
     return out
@@ -129,54 +150,96 @@ def viterbi(lines: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return paths
 
 
-def labelled_table(spark: SparkSession | None = None) -> list[tuple[list[str], list[str]]]:
-    """The small labelled table: generated sentences of words and their labels, the same each time."""
+#: The labelled sentences: what stands in braces is of the kind named, all other words are nobody's. Values are made for each.
+SENTENCES = """
+Please write to {email} before the end of the week .
+Questions ? Send them to {email} , we answer within two days .
+Contact : {email}
+Our office can be reached at {phone} or by mail at {email} .
+Call {phone} between nine and five .
+Ring me on {local} after lunch , thanks !
+The number is {local} .
+Tel {local} and fax {local}
+Reach the front desk : {phone} , extension 12 .
+Llame al {phone} si tiene preguntas .
+Schreiben Sie bitte an {email} oder rufen Sie {phone} an .
+Le bureau est ouvert ; appelez le {local} .
+My card {card} was charged twice last month .
+Pay with {card} and keep the receipt .
+Cards on file : {card} {card}
+Card {card} , expires 11/27 .
+The server at {ip} does not answer .
+Requests from {ip} and {ip} were blocked .
+ping {ip} took 30 ms
+api_key = {secret}
+token = "{secret}"
+The secret {secret} must not be shared .
+password : {secret} .
+key "{secret}" is for tests , rotate it
+the token "{secret}" and the key {secret}
+{email}
+{phone}
+{local}
+{ip}
+{card}
+{secret}
+Version 4.2.1 was released in 2019 with 35 fixes .
+The ratio rose from 0.25 to 0.75 , that is 200% .
+On 2021-03-14 about 1,500 people came .
+Chapter 7 has 12 pages and 3 tables .
+It costs 19.99 a month or 199 a year .
+Order {number} was shipped on day 3 .
+Room 101 , floor 2 , building B12 .
+Meet @ noon , table 4 .
+See section 999.888.777.666 of the index .
+Item == 5 , count != 10 , total >= 100 ###
+Il y a 3 chats et 12 chiens dans la rue .
+Der Zug um 14:35 hat 10 Minuten Verspätung .
+Hay 25 alumnos en la clase número 8 !!
+THE TOTAL IS 42 && THE REST IS 7 ...
+The score was 3-2 after 90 minutes .
+Add 250 g of flour , 2 eggs and 100 ml of milk .
+"""
+
+
+def labelled_table(rounds: int = 8) -> list[tuple[list[str], list[str]]]:
+    """The small labelled table: words and their labels of SENTENCES with made values, the same each time."""
     rng = np.random.default_rng(7)
-    plain = "the of and on for with is to that edly thin ering le la les de que eau der die und ein los el por cion re th an nd".split()
     pick = lambda x: x[int(rng.integers(len(x)))]
     number = lambda n: "".join(str(int(d)) for d in rng.integers(0, 10, n))
 
-    def filler() -> str:
-        w = "".join(pick(plain) for _ in range(int(rng.integers(1, 4))))
-        kind = int(rng.integers(0, 30))
-        w = w.capitalize() if kind == 0 else w.upper() if kind == 1 else w
-        return w + ("," if kind == 2 else "." if kind == 3 else "###" if kind == 4 else "&&&" if kind == 5 else "!!" if kind == 6 else "")
-
-    def entity() -> tuple[list[str], str]:
-        kind = int(rng.integers(0, 8))
-        if kind in (0, 1):
-            return [f"{filler().strip('.,#&!')}{pick(['.', '_', ''])}{number(2)}@{pick(['mail', 'post'])}{number(1)}.{pick(['example.com', 'example.org', 'test.net'])}"], "email"
-        if kind == 2:
+    def checked(n: int, valid: bool) -> str:
+        head = number(n - 1)
+        return next(x for x in (head + str(d) for d in range(10)) if luhn(x) == valid)
+
+    def value(kind: str) -> tuple[list[str], str]:
+        if kind == "email":
+            return [f"{pick(['anna', 'j.smith', 'office', 'maria', 'b_lee', 'info', 'karl'])}{pick(['', number(2)])}@{pick(['example', 'mail', 'post', 'my-firm'])}{pick(['', number(1)])}.{pick(['com', 'org', 'net', 'co.uk'])}"], "email"
+        if kind == "ip":
             return [".".join(str(int(x)) for x in rng.integers(0, 256, 4))], "ip"
-        if kind in (3, 4):
-            head = number(15)
-            return [next(x for x in (head + str(d) for d in range(10)) if luhn(x))], "card"
-        if kind == 5:
+        if kind == "card":
+            return [checked(16, True)], "card"
+        if kind == "phone":
             return [f"+{number(1)}", f"({number(3)})", f"{number(3)}-{number(4)}"], "phone"
-        if kind == 6:
+        if kind == "local":
             return [f"({number(3)})", f"{number(3)}-{number(4)}"], "phone"
-        quote = pick(['"', ""])
-        return [quote + "".join(pick("0123456789abcdef") for _ in range(40)) + quote], "secret"
+        if kind == "secret":
+            return ["".join(pick("0123456789abcdef") for _ in range(40))], "secret"
+        return [checked(16, False)], "O"
 
     rows = []
-    for k in range(480):
-        words, labels = [], []
-        for _ in range(int(rng.integers(0, 12))):
-            words.append(filler())
-            labels.append("O")
-        if k % 4 == 0:  # numbers that are nobody's
-            words += [pick([number(1), number(2), number(4), f"{number(1)}.{number(2)}", f"{number(2)}%", f"{number(4)}-{number(2)}", f"=={number(1)}", ".".join(str(int(x)) for x in rng.integers(200, 999, 4)), "@", next(x for x in (number(16) for _ in range(99)) if not luhn(x))])]
-            labels += ["O"]
-        else:
-            found, label = entity()
-            if label == "secret":
-                words += ["token", "="]
-                labels += ["O", "O"]
-            words += found[:-1] + [found[-1] + pick(["", "", ".", ","])]
-            labels += [label] * len(found)
-        for _ in range(int(rng.integers(0, 8))):
-            words.append(filler())
-            labels.append("O")
+    for sentence in SENTENCES.strip().splitlines() * rounds:
+        words: list[str] = []
+        labels: list[str] = []
+        for w in sentence.split():
+            if m := re.fullmatch(r"(\W*)\{(\w+)\}(\W*)", w):
+                found, label = value(m[2])
+                words += [m[1] + found[0], *found[1:]] if m[1] else found
+                words[-1] += m[3] or pick(["", "", ".", ","])
+                labels += [label] * len(found)
+            else:
+                words.append(w)
+                labels.append("O")
         rows.append((words, labels))
     return rows
 

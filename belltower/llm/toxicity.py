@@ -167,7 +167,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
         x = np.where(half == 0, evidence(shared.value[1], found), evidence(shared.value[0], found))
         return pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x)], names=["toxic", "x"])
 
-    fit = by_batch(chosen, f, "toxic int, x double").orderBy("x", "toxic").toPandas()
+    fit = by_batch(chosen, f, "toxic int, x double").toPandas().sort_values(["x", "toxic"])
     y = fit["toxic"].to_numpy(float)
     model.bias, model.slope = logistic(fit["x"].to_numpy(), y)
     # the sample has its own share of toxic texts; the score speaks of the share in all labels

@@ -145,19 +145,31 @@ def line_rows():
     for i in range(60):
         lines = []
         for _ in range(rng.randint(1, 5)):
-            x = "".join(rng.choice("ab ") for _ in range(rng.choice((5, 23, 24, 30)))) if rng.random() < 0.3 else f"a common line of the corpus number {rng.randint(0, 6)} which is long"
+            x = "".join(rng.choice("ab ") for _ in range(rng.choice((5, 11, 12, 13, 23, 24, 30)))) if rng.random() < 0.3 else f"a common line of the corpus number {rng.randint(0, 6)} which is long"
             for _ in range(rng.randint(0, 2)):
                 p = rng.randrange(len(x))
                 x = x[:p] + rng.choice(["", "z", x[p] + "y"]) + x[p + 1 :]
             lines.append(x)
         rows.append((i, "\n".join(lines)))
+    long = [f"v{rng.randint(0, 99)}" for _ in range(33)]
+    for i in range(60, 95):
+        now = long[: rng.choice((31, 32, 33))] + long[: rng.choice((0, 0, 2))]
+        for _ in range(rng.randint(0, 3)):
+            now[rng.randrange(len(now))] = rng.choice(["", "another", "two words"])
+        rows.append((i, " ".join(" ".join(now).split())))
     return rows + [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (104, "  " + rows[1][1])]
 
 
 def brute_lines(rows):
     seen = [(i, k, x) for i, t in rows for k, x in enumerate(line_dedup.lines_of(t or "")) if x]
     distinct = sorted({x for _, _, x in seen})
-    links = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if min(len(a), len(b)) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    def near(a, b):
+        v, w, n = a.split(), b.split(), min(len(a), len(b))
+        by_words = min(len(v), len(w)) >= 32 and abs(len(v) - len(w)) <= 3 and distance(v, w) <= 3
+        edits = 0 if n < 12 else 1 if n < 24 else 2
+        return by_words or max(len(v), len(w)) < 35 and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
+    links = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if near(a, b)]
     of = components_of(distinct, links)
     groups = {}
     for i, k, x in seen:
@@ -174,6 +186,8 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
         for i, _ in rows:
             want = ",".join(f"{k}:{lead}" for (d, k), lead in sorted(gone.items()) if d == i)
             assert (out[i]["duplicates"], out[i]["n_lines"]) == (want, sum(d == i for d, _, _ in seen))
+            led = [x.split("=") for x in out[i]["classes"].split(",") if x]
+            assert all((int(of.split(":")[0]) == gone[i, int(k)]) if (i, int(k)) in gone else of == f"{i}:{k}" for k, of in led)
     kept = {r["doc_id"]: r for r in line_dedup.without_duplicates(documents(spark, rows)).collect()}
     for i, t in rows:
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
@@ -202,13 +216,13 @@ def brute_contamination(rows, items):
             for k in range(len(w) - n + 1 if n else 0):
                 if tuple(w[k : k + n]) in wins:
                     hit |= set(range(k, k + n))
-                    found.add(str(item))
-        out.append((i, len(w), len(hit) if i is not None else 0, len(found) if i is not None else 0))
+                    found |= {str(item)} if item is not None else set()
+        out.append((i, len(w), len(hit), len(found)))
     return out
 
 
 def test_decontamination_equals_brute_force(spark):
-    items = [(1, BASE), (2, "Quick brown"), (3, None), (4, ""), (10, BASE + " again"), (5, "É ñ"), (6, "the the the the the the the the the the the")]
+    items = [(1, BASE), (2, "Quick brown"), (3, None), (4, ""), (10, BASE + " again"), (5, "É ñ"), (6, "the the the the the the the the the the the"), (None, "nothing of the kind")]
     rows = [*HARD, (30, "prefix " + " ".join(BASE.split()[3:16]) + " suffix quick, BROWN!"), (31, "the " * 14), (32, "nothing of the kind here at all")]
     d = documents(spark, rows)
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id", "'x' AS word")
@@ -216,7 +230,9 @@ def test_decontamination_equals_brute_force(spark):
     key = lambda x: (x[0] is None, *map(lambda v: v or 0, x))
     assert sorted(got, key=key) == sorted(brute_contamination(rows, items), key=key)
     clean = decontaminate.clean_only(d, b)
-    assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == {1, 2, 6, 7, 9, 32, None}
+    assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == {1, 2, 6, 7, 9}
+    clash = d.selectExpr("*", "true AS contaminated", "1 AS n_words", "2 AS starts", "3 AS __row", "4 AS hit_items")
+    assert {r["doc_id"] for r in decontaminate.clean_only(clash, b).collect()} == {1, 2, 6, 7, 9} and decontaminate.query(clash, b).count() == len(rows)
     assert decontaminate.query(d, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.query(documents(spark, []), b).count() == 0
 

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -77,6 +80,22 @@ def test_pattern_spans():
     assert pii.pattern_spans("") == []
 
 
+OLD = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("a1.@- ", max_size=30))
+def test_linear_patterns_find_what_the_plain_ones_do(text):
+    assert pii.emails(text) == [m.span() for m in re.finditer(OLD["email"], text)]
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(OLD["ip"], text)]
+
+
+def test_hostile_texts_end(spark):
+    rows = [(1, "a" * 200_000 + " @"), (2, "9" * 200_000 + ".1 1." + "8" * 5000 + ".1.1"), (3, "1.2.3." + "7" * 6000), (4, "+" + "1 " * 50_000), (5, "@" * 50_000), (6, "0" * 9000 + "1.2.3.4")]
+    out = {r["doc_id"]: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert [out[i]["n_ip"] for i in range(1, 7)] == [0, 0, 0, 0, 0, 1] and pii.personal_data(documents(spark, [])).count() == 0
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     move = rng.normal(size=(3, 3))
@@ -247,6 +266,21 @@ def test_shards_are_even_and_gapless(spark, rows):
         assert len(sizes) == 16 and sizes.max() - sizes.min() <= 120
 
 
+def test_equal_texts_share_a_shard_and_sizes_stay_near(spark):
+    rng = random.Random(12)
+    texts = [f"t{k} " * rng.randint(1, 60) for k in range(900)]
+    rows = [(i, rng.choice(texts)) for i in range(3000)] + [(5000 + k, "a large group of equal texts " * 4) for k in range(60)] + [(7000 + k, "the hot one " * 9) for k in range(900)]
+    out = sharding.query(documents(spark, rows)).toPandas()
+    assert len(out) == len(rows)
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == 16 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
+    for _, part in out.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    by_group = out.groupby("text_crc32")["shard"].nunique()
+    hot = zlib.crc32(("the hot one " * 9).encode())
+    assert by_group[by_group > 1].index.tolist() == [hot]  # alone larger than a shard
+
+
 def test_written_shards_hold_every_row(spark, tmp_path):
     docs = documents(spark, HARD)
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
