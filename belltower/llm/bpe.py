@@ -6,10 +6,10 @@ texts give equal rows; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
-import heapq
 import json
 from functools import cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -20,7 +20,7 @@ from belltower.llm.common import by_batch, sha256, texts
 #: Fixed values of the vocabulary file's own pre-tokenizer: contractions, words, numbers, other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What the pieces that a worker remembers may weigh, in bytes; beyond it the memory starts anew. Longer pieces aren't remembered.
-MEMORY, WEIGHT, LONGEST = 80_000_000, 350, 64
+MEMORY, WEIGHT, LONGEST = 160_000_000, 350, 64
 
 
 def byte_letters() -> list[str]:
@@ -45,10 +45,12 @@ class Codec:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.first = [vocab[c] for c in letters]  # id of each single byte
         self.strings = {i: bytes(of_letter[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in added.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids, packed in one number
+        self.made: list[int] = []  # what the pair of each rank becomes
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.added = added
         self.split_added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.pieces = regex.compile(PATTERN)
@@ -60,34 +62,36 @@ class Codec:
         self.held = 0
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """BPE of one piece. Symbols are a doubly linked list; the queue holds (rank, place, left id, right id) and an entry whose ids no longer stand there is stale."""
+        """BPE of one piece. Symbols are a doubly linked list; the queue holds ranks and places packed in one number, and an entry whose rank is no longer that of the pair at its place is stale."""
         ids = [self.first[b] for b in data]
         n = len(ids)
         if n < 2:
             return tuple(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges, queue = self.merges.get, []
-        for i in range(n - 1):
-            if found := merges((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(queue)
-
-        def offer(i: int, j: int) -> None:
-            if found := merges((ids[i], ids[j])):
-                heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
-
+        ranks, made, none = self.ranks.get, self.made, -1
+        now = [ranks(a << 32 | b, none) for a, b in pairwise(ids)]  # of the pair that begins at each place
+        now.append(none)
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        queue = [r << bits | i for i, r in enumerate(now) if r >= 0]
+        heapify(queue)
+        before, after = list(range(-1, n)), list(range(1, n + 1))
         while queue:
-            _, i, a, b, made = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            x = heappop(queue)
+            i = x & place
+            if now[i] != x >> bits:
                 continue  # stale
-            ids[i], ids[j] = made, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                offer(i, after[j])
-            if before[i] >= 0:
-                offer(before[i], i)
+            j = after[i]
+            k = after[j]
+            ids[i] = a = made[x >> bits]
+            ids[j] = now[j] = none
+            after[i], before[k] = k, i
+            now[i] = r = ranks(a << 32 | ids[k], none) if k < n else none
+            if r >= 0:
+                heappush(queue, r << bits | i)
+            if (h := before[i]) >= 0:
+                now[h] = r = ranks(ids[h] << 32 | a, none)
+                if r >= 0:
+                    heappush(queue, r << bits | h)
         return tuple(x for x in ids if x >= 0)
 
     def learn(self, piece: str) -> None:
