@@ -151,30 +151,38 @@ def active_rms(samples: DataFrame, rate: int = RATE, within_db: float = 30.0) ->
 # ---- renderings of one clip's samples
 
 
+def grain_places(x: np.ndarray, size: int, step: int, reach: int, speed: float) -> list[int]:
+    """Where the grains of a stretched clip are taken from: each near its place at this speed, and there where it is most like what would have followed the one before."""
+    places: list[int] = []
+    pieces = np.lib.stride_tricks.sliding_window_view(x, size)
+    for k in range(int((len(x) - size - reach) / (step * speed))):
+        around = round(k * step * speed)
+        near = pieces[max(around - reach, 0) : around + reach + 1]
+        follows = places[-1] + step if places else 0
+        if follows >= len(pieces) or not len(near):
+            break
+        places.append(max(around - reach, 0) + int((near @ pieces[follows]).argmax()) if places else 0)
+    return places
+
+
 def stretched(x: np.ndarray, rate: int, speed: float) -> np.ndarray:
-    """At another tempo and the same pitch: overlapping pieces of 30 ms, each taken within 8 ms of its place where it continues the one before best."""
+    """At another tempo and the same pitch: grains of 30 ms that overlap by half, each taken within 8 ms of its place."""
     if not (math.isfinite(speed) and speed > 0):
         raise ValueError("speed must be positive")
-    size, reach = int(0.03 * rate) // 2 * 2, int(0.008 * rate)
-    step = size // 2
-    if abs(speed - 1) < 0.01 or len(x) < 3 * size:
+    step = int(0.03 * rate) // 2
+    if abs(speed - 1) < 0.01 or len(x) < 6 * step:
         return x
-    places = [0][: max(int((len(x) - size - reach) / (step * speed)), 0)]
-    for k in range(1, int((len(x) - size - reach) / (step * speed))):
-        goal, near = places[-1] + step, round(k * step * speed)
-        low, high = max(near - reach, 0), min(near + reach, len(x) - size)
-        if goal + size > len(x) or low > high:
-            break
-        likeness = np.lib.stride_tricks.sliding_window_view(x[low : high + size], size) @ x[goal : goal + size]
-        places.append(low + int(likeness.argmax()))
+    places = grain_places(x, 2 * step, step, int(0.008 * rate), speed)
     if not places:
         return x[:0]
-    window = np.hanning(size)
-    total, weight = np.zeros((2, (len(places) - 1) * step + size))
-    for k, p in enumerate(places):
-        total[k * step : k * step + size] += window * x[p : p + size]
-        weight[k * step : k * step + size] += window
-    return np.divide(total, weight, out=total, where=weight > 1e-3)
+    window = np.hanning(2 * step)
+    grains = x[np.add.outer(places, np.arange(2 * step))] * window
+    # a row of the result is the second half of one grain and the first half of the next
+    rows, weight = np.zeros((2, len(places) + 1, step))
+    rows[:-1], weight[:-1] = grains[:, :step], window[:step]
+    rows[1:] += grains[:, step:]
+    weight[1:] += window[step:]
+    return np.divide(rows, weight, out=rows, where=weight > 1e-3).ravel()
 
 
 def loudness(x: np.ndarray, rate: int, within_db: float = 30.0) -> float:

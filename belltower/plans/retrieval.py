@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from belltower.functions import speech
 from belltower.functions import text as T
 from belltower.functions.chunking import chunk_column
 from belltower.operators import lexical as L
@@ -14,6 +15,7 @@ from belltower.sources.tables import table
 STOP = ("a", "an", "and", "are", "is", "of", "on", "the", "to", "with")
 SUBJECT = ("that", "this", "onth", "ing")
 SYNONYMS = (("that", "this"), ("onth", "ones"), ("inst", "erth"))
+MARKERS, ALIASES = ("th",), ("of the",)
 #: Queries are the rows whose id is divisible by this, against all rows.
 QUESTIONS = 20
 
@@ -23,8 +25,8 @@ def terms(c: F.Column) -> F.Column:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of the query items, one of them misspelt."""
-    q = table(spark, d, "benchmark").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), F.slice(terms(F.col("text")), 1, 5).alias("t"))
+    """The words of the query items, and their first one misspelt."""
+    q = table(spark, d, "benchmark").where(F.col("item_id") % QUESTIONS == 0).select(F.col("item_id").alias("query_id"), terms(F.col("text")).alias("t"))
     q = q.withColumn("t", F.concat("t", F.array(F.concat(F.element_at("t", 1), F.lit("qx")))))
     return q.select("query_id", F.explode("t").alias("term")).distinct()
 
@@ -38,13 +40,31 @@ def synonyms(spark: SparkSession) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> L.Index:
-    return L.Index(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), terms(F.col("text")))
+    return L.Index(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), F.split(T.canonical(F.col("text"), F.lower), " "), STOP)
+
+
+def matched(hits: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    """hits (query_id, chunk_id) with how well each chunk's text matches its query's terms, and whether strongly. A vector's id is that of the item or document it stands for."""
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), T.alias_terms(F.col("text"), STOP, MARKERS, ALIASES, F.lower).alias("terms"))
+    c = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), T.search_text(F.col("text"), F.lower).alias("text"))
+    both = hits.join(q, "query_id").join(c, "chunk_id")
+    return both.withColumn("match", T.match_score(F.col("text"), F.col("terms"))).withColumn("strong", T.strong_match(F.col("text"), F.col("terms"))).drop("text", "terms")
 
 
 def both_channels(s: SparkSession, d: str) -> DataFrame:
-    v = vectors.self_top_k(table(s, d, "embeddings"), QUESTIONS, 16).select("query_id", F.col("vec_id").alias("chunk_id"), "similarity", F.lit(0.5).alias("match"), (F.col("vec_id") % 7 == 0).alias("strong"))
+    v = vectors.self_top_k(table(s, d, "embeddings"), QUESTIONS, 16).select("query_id", F.col("vec_id").alias("chunk_id"), "similarity")
     x = L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s))
-    return L.fused(v, x.select("query_id", "chunk_id", "coverage"), 0.3, 4)
+    return L.fused(matched(v, s, d), x.select("query_id", "chunk_id", "coverage"), 0.3, 4)
+
+
+def lexical_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a word of a query item, those nearest to it first."""
+    ix = index(s, d)
+    own = questions(s, d).join(ix.postings, "term").select("query_id", "chunk_id").distinct()
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    a, b = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    like = F.round(vectors.dot(F.col("q"), F.col("v")) / (vectors.norm(F.col("q")) * vectors.norm(F.col("v"))), 6)
+    return L.matching_nearest(own.join(a, "query_id").join(b, "chunk_id").select("query_id", "chunk_id", like.alias("similarity")))
 
 
 def doc_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -70,13 +90,17 @@ QUERIES = {
     "content_hash": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")),
     "document_chunks": lambda s, d: doc_chunks(s, d).select("doc_id", "chunk_index", "page_number", "text"),
     "contexts": contexts,
-    "spoken_text": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", T.spoken_text("text").alias("spoken"), F.size(T.speech_chunks("text")).cast("long").alias("parts")),
-    "number_words": lambda s, d: table(s, d, "part").select("p_partkey", T.number_in_words(F.col("p_retailprice").cast("long") * 1234).alias("words")),
+    "spoken_text": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", speech.spoken_text("text").alias("spoken"), F.size(speech.speech_chunks("text")).cast("long").alias("parts")),
+    "number_words": lambda s, d: table(s, d, "part").select("p_partkey", speech.number_in_words(F.col("p_retailprice").cast("long") * 1234).alias("words")),
     "bm25_statistics": lambda s, d: index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s)),
     "intent_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s), L.asked_for(intents(s, d), "[aeiouAEIOU]th", ("this", "that"))),
     "topic_words": lambda s, d: table(s, d, "benchmark").select("item_id", T.topic_words(F.col("text"), SUBJECT, F.lower).alias("w")).select("item_id", (F.size("w") > 0).alias("named"), F.array_join("w", " ").alias("words")),
     "hybrid_search": both_channels,
+    "lexical_candidates": lexical_candidates,
+    "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.alias_terms(F.col("text"), STOP, MARKERS, ALIASES, F.lower), ",").alias("terms")),
+    "answer_sources": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s)).join(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id").groupBy("query_id", "source").agg(F.min("rank").alias("first")).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "source"))), lambda x: x["source"]), ",").alias("sources")),
+    "tts_text": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", speech.tts_text(F.col("text"), {"OK": "ठीक है"}).alias("voiced")).withColumn("unspoken", F.array_join(speech.unspoken_latin(F.col("voiced")), " ")),
 }
 FORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 TERMS = "list_filter(string_split(translate(replace(replace({0}, '़', ''), 'ँ', 'ं'), 'ीूईऊॉऑ०१२३४५६७८९', 'िुइउाआ0123456789'), ' '), lambda w : len(w) > 1 AND w NOT IN ('" + "','".join(STOP) + "'))"
@@ -86,10 +110,11 @@ def _terms(c: str) -> str:
     return TERMS.format(FORM.format(c))
 
 
+QUERY_TERMS = f"SELECT item_id, list_filter(w, lambda x, i : len(x) > 1 AND x NOT IN ('" + "','".join(STOP) + f"') AND list_position(w, x) = i) AS own, contains(f, 'th') AS marked FROM (SELECT item_id, f, string_split(f, ' ') AS w FROM (SELECT item_id, {FORM.format('text')} AS f FROM benchmark))"
 BM25 = f"""t AS (SELECT doc_id AS chunk_id, {_terms('text')} AS t FROM documents), tot AS (SELECT count(*) AS chunks, avg(len(t)) AS average FROM t),
 po AS (SELECT chunk_id, n, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL),
 te AS (SELECT term, df, ln(1 + (chunks - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM po GROUP BY 1), tot),
-qt AS (SELECT item_id AS query_id, {_terms('text')}[1:5] AS t FROM benchmark WHERE item_id % {QUESTIONS} = 0), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt),
+qt AS (SELECT item_id AS query_id, {_terms('text')} AS t FROM benchmark WHERE item_id % {QUESTIONS} = 0), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt),
 sy(term, synonym) AS (VALUES {', '.join(f"('{a}','{b}')" for g in SYNONYMS for a in g for b in g if a != b)}),
 ex AS (SELECT query_id, q.term, te.term AS variant, 1.0::DOUBLE AS weight, idf FROM q JOIN te USING (term) UNION ALL SELECT query_id, q.term, te.term, 0.8, idf FROM q JOIN sy ON sy.term = q.term JOIN te ON te.term = sy.synonym),
 lost AS (SELECT * FROM q WHERE len(term) >= 3 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = q.query_id AND ex.term = q.term)),
@@ -121,8 +146,15 @@ s2 AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(c)
 SELECT query_id, chunk_id, score, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s2 WHERE coverage >= 0.34) WHERE rank <= 4""",
     "topic_words": r"""WITH w AS (SELECT item_id, row_number() OVER () AS r, string_split_regex(text, '\s+') AS w FROM benchmark), v AS (SELECT item_id, list_filter(list_transform(w, lambda x : trim(x, '?!.,;:।॥''"()[]{}–—…“”‘’-')), lambda x : lower(x) IN ('that', 'this', 'onth', 'ing')) AS v FROM w)
 SELECT item_id, len(v) > 0 AS named, array_to_string(v, ' ') AS words FROM v""",
+    "query_terms": f"SELECT item_id, array_to_string(list_concat(own, CASE WHEN marked THEN list_filter(['of the', 'of', 'the'], lambda w : NOT list_contains(own, w)) ELSE [] END), ',') AS terms FROM ({QUERY_TERMS})",
+    "answer_sources": f"WITH {BM25}, s AS (SELECT query_id, source, min(rank) AS first FROM lx JOIN documents ON doc_id = chunk_id GROUP BY ALL) SELECT query_id, string_agg(source, ',' ORDER BY first, source) AS sources FROM s GROUP BY 1",
+    "lexical_candidates": f"""WITH {BM25}, own AS (SELECT DISTINCT query_id, chunk_id FROM q JOIN po USING (term)), s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM own JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id)::INTEGER AS rank FROM s) WHERE rank <= 50""",
     "hybrid_search": f"""WITH {BM25}, em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM em a, em b WHERE a.vec_id % {QUESTIONS} = 0 AND a.vec_id <> b.vec_id),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM s) WHERE r <= 16 AND (similarity >= 0.3 OR chunk_id % 7 = 0)),
-f AS (SELECT query_id, chunk_id, round(CASE WHEN k.similarity IS NULL THEN 0.35 + 0.65 * coverage WHEN coverage IS NULL THEN k.similarity + 0.075 ELSE greatest(k.similarity + 0.075, 0.35 + 0.65 * coverage) + 0.05 END, 6) AS score, round(coalesce(k.similarity, 0.35 + 0.65 * coverage), 6) AS similarity FROM k FULL JOIN lx USING (query_id, chunk_id)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS r FROM s) WHERE r <= 16),
+qw AS ({QUERY_TERMS}), dw AS (SELECT doc_id AS chunk_id, {FORM.format('text')} AS x FROM documents WHERE doc_id IN (SELECT chunk_id FROM near)),
+mt AS (SELECT query_id, chunk_id, similarity, marked AND contains(x, 'of the') AS strong, CASE WHEN marked THEN list_distinct(list_concat(own, ['of', 'the'])) ELSE own END AS single, x FROM near JOIN qw ON item_id = query_id JOIN dw USING (chunk_id)),
+k AS (SELECT query_id, chunk_id, similarity, 0.15 * CASE WHEN x = '' OR len(single) = 0 THEN 0 WHEN strong THEN 1 ELSE len(list_intersect(single, string_split(x, ' '))) / len(single) END::DOUBLE AS m FROM mt WHERE similarity >= 0.3 OR strong),
+f AS (SELECT query_id, chunk_id, round(CASE WHEN k.similarity IS NULL THEN 0.35 + 0.65 * coverage WHEN coverage IS NULL THEN k.similarity + m ELSE greatest(k.similarity + m, 0.35 + 0.65 * coverage) + 0.05 END, 6) AS score, round(coalesce(k.similarity, 0.35 + 0.65 * coverage), 6) AS similarity FROM k FULL JOIN lx USING (query_id, chunk_id)),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, chunk_id)::INTEGER AS rank FROM f) SELECT query_id, chunk_id, score, similarity, rank FROM z WHERE rank <= 4""",
 }

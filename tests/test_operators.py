@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from belltower import registry
-from belltower.functions import signal, text, voice
+from belltower.functions import signal, speech, voice
 from belltower.functions.chunking import chunked
 from belltower.operators import reporting, sequences, vectors
 from belltower.sources import packets
@@ -40,17 +40,17 @@ def test_equals_its_sql(spark, name):
 
 
 def test_spoken_text_and_parts():
-    assert text.spoken("# Head\n- **one** item\n1. two.\nSee [this](http://x.y) at www.z.com  !!") == "Head one item। two. See this at!"
-    assert text.spoken("| a | b |\n> quote `x` ✅ , done") == "quote x, done"
-    assert text.spoken(None) == ""
-    parts = text.speech_parts("Short. This sentence is clearly long enough to be a part. Tail")
+    assert speech.spoken("# Head\n- **one** item\n1. two.\nSee [this](http://x.y) at www.z.com  !!") == "Head one item। two. See this at!"
+    assert speech.spoken("| a | b |\n> quote `x` ✅ , done") == "quote x, done"
+    assert speech.spoken(None) == ""
+    parts = speech.speech_parts("Short. This sentence is clearly long enough to be a part. Tail")
     assert parts == ["Short. This sentence is clearly long enough to be a part. Tail"]
-    assert text.speech_parts("A first sentence of some length. And unfinished", cut_off=True) == ["A first sentence of some length."]
+    assert speech.speech_parts("A first sentence of some length. And unfinished", cut_off=True) == ["A first sentence of some length."]
 
 
 @pytest.mark.parametrize(("n", "words"), [(0, "शून्य"), (21, "इक्कीस"), (120, "एक सौ बीस"), (2500, "दो हज़ार पाँच सौ"), (-7, "ऋण सात"), (10_000_000, "एक करोड़")])
 def test_number_words(n, words):
-    assert text.number_words(n) == words
+    assert speech.number_words(n) == words
 
 
 def test_chunks():
