@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belltower.operators.sequences import failure_runs, in_order
+from belltower.operators.sequences import failure_runs, first_after, in_order
 
 FAILURES, SILENT_SECONDS, CALL_SECONDS = 3, 20.0, 900.0
 
@@ -38,6 +38,6 @@ def call_ends(turns: DataFrame, key: str, order: str, t: str, heard: Column, aud
 def live_chunks(chunks: DataFrame, interruptions: DataFrame, key: str) -> DataFrame:
     """The chunks (key, reply, t, seconds) that still play: an interruption (key, t) while a reply plays drops the rest of that reply; the welcome (reply 0) can't be interrupted, and without a reply there is nothing to drop."""
     replies = chunks.where("reply > 0").groupBy(key, "reply").agg(F.min("t").alias("__from"), F.max(F.col("t") + F.col("seconds")).alias("__to"))
-    cut = interruptions.select(key, F.col("t").alias("__at")).join(replies, key).where((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to")))
-    first = cut.groupBy(key, "reply").agg(F.min("__at").alias("__at"))
-    return chunks.join(first, [key, "reply"], "left").where(F.col("__at").isNull() | (F.col("t") <= F.col("__at"))).drop("__at")
+    next_cut = first_after(replies, interruptions, key, "__from", "t").distinct()
+    cut = replies.join(next_cut, [key, "__from"]).where(F.col("first_after") < F.col("__to")).select(key, "reply", F.col("first_after").alias("__at"))
+    return chunks.join(cut, [key, "reply"], "left").where(F.col("__at").isNull() | (F.col("t") <= F.col("__at"))).drop("__at")

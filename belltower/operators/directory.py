@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from belltower.functions.text import directory_form
 
 
-def named_centres(texts: DataFrame, centres: DataFrame, key: str, longest: int = 4) -> DataFrame:
+def named_centres(texts: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """(key, ordinal, name): the first listed centre whose district or alias is in the text as whole words.
 
-    Word runs of a text meet the aliases by an equi-join; no text is compared with every centre.
+    Word runs of a text, of the lengths that listed names have, meet the names by an
+    equi-join; no text is compared with every centre.
     """
     alias = centres.select("ordinal", "name", F.explode(F.concat(F.array("district"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a"))
     alias = alias.select("ordinal", "name", directory_form(F.col("a")).alias("run")).where("run <> ''").distinct()
-    w = texts.select(key, F.split(directory_form(F.col("text")), " ").alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    lengths = alias.agg(F.collect_set(F.size(F.split("run", " "))).alias("lengths"))  # one row, of as many numbers as names have lengths
+    w = texts.select(key, F.split(directory_form(F.col("text")), " ").alias("w")).crossJoin(F.broadcast(lengths))
+    runs = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))))
     hits = w.select(key, F.explode(F.array_distinct(runs)).alias("run")).join(alias, "run")
     return hits.groupBy(key).agg(F.min(F.struct("ordinal", "name")).alias("c")).select(key, "c.ordinal", "c.name")

@@ -47,22 +47,35 @@ def pacing(packets: DataFrame, key: str, seconds: Column, *order: str) -> DataFr
     return g.groupBy(key).agg(F.round(F.percentile("gap", 0.5), 2).alias("median"), F.round(F.percentile("gap", 0.95), 2).alias("p95"), F.round(F.max("gap"), 1).alias("maximum"))
 
 
-def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int = 8000) -> DataFrame:
-    """Final and greatest interarrival jitter in ms: j += (|d| - j) / 16, a fold over the packets of a flow in time order.
+def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int = 8000, run: int = 4096) -> DataFrame:
+    """Final and greatest interarrival jitter in ms: j += (|d| - j) / 16 over the packets of a flow in time order.
 
-    A linear recurrence needs its flow in one place; flows are calls, bounded by a call's length.
+    A flow is cut into runs of at most `run` packets. A run takes j to (15/16)**n j + e, whatever
+    j is: first every e is found, then where each run starts, then the greatest value inside it,
+    so no flow need be held in one place but for one number for each of its runs.
     """
-    one = F.sort_array(F.collect_list(F.struct(seconds.alias("t"), F.col(stamp).cast("double").alias("s"))))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("j"), F.lit(0.0).alias("most"))
-
-    def step(a: Column, p: Column) -> Column:
-        d = F.abs((p["t"] - a["t"]) * clock - F.pmod(p["s"] - a["s"], F.lit(float(1 << 32))))
-        j = F.when(a["t"].isNull(), F.lit(0.0)).otherwise(a["j"] + (d - a["j"]) / 16)
-        return F.struct(p["t"].alias("t"), p["s"].alias("s"), j.alias("j"), F.greatest(a["most"], j).alias("most"))
-
+    p = packets.select(key, seconds.alias("__t"), F.col(stamp).cast("double").alias("__s"))
+    w = in_order(key, "__t", "__s")
+    d = F.abs((F.col("__t") - F.lag("__t").over(w)) * clock - F.pmod(F.col("__s") - F.lag("__s").over(w), F.lit(float(1 << 32))))
+    p = p.select(key, d.alias("d"), F.row_number().over(w).alias("i"))
+    runs = p.groupBy(key, F.floor((F.col("i") - 1) / run).alias("run")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("d"))
+
+    def steps(start: Column) -> Column:
+        first = F.struct(start.alias("j"), start.alias("most"))
+
+        def step(a: Column, d: Column) -> Column:
+            j = F.when(d.isNull(), F.lit(0.0)).otherwise(a["j"] + (d - a["j"]) / 16)
+            return F.struct(j.alias("j"), F.greatest(a["most"], j).alias("most"))
+
+        return F.aggregate("d", first, step)
+
+    alone = runs.select(key, "run", F.struct("run", F.size("d").alias("n"), steps(F.lit(0.0))["j"].alias("e")).alias("r"))
+    none = F.array().cast("array<double>")
+    chained = F.aggregate("r", F.struct(F.lit(0.0).alias("j"), none.alias("starts")), lambda a, r: F.struct((F.pow(F.lit(15 / 16), r["n"]) * a["j"] + r["e"]).alias("j"), F.concat(a["starts"], F.array(a["j"])).alias("starts")))
+    starts = alone.groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("r")).select(key, F.posexplode(chained["starts"]).alias("run", "start"))
+    found = runs.join(starts, [key, "run"]).select(key, "run", steps(F.col("start")).alias("a"))
     per_ms = 1000 / clock
-    folded = packets.groupBy(key).agg(one.alias("p")).select(key, F.aggregate("p", start, step).alias("r"))
-    return folded.select(key, F.round(F.col("r.j") * per_ms, 2).alias("jitter"), F.round(F.col("r.most") * per_ms, 2).alias("jitter_max"))
+    return found.groupBy(key).agg(F.round(F.max_by("a.j", "run") * per_ms, 2).alias("jitter"), F.round(F.max("a.most") * per_ms, 2).alias("jitter_max"))
 
 
 def type_histogram(packets: DataFrame, key: str, kind: str, seconds: Column) -> DataFrame:
@@ -100,9 +113,15 @@ def near_any(left: DataFrame, right: DataFrame, key: str, t: str, within: float)
 
 
 def talk_over(packets: DataFrame, talks: DataFrame, key: str, delay: float = 0.5, seconds: float = 0.02) -> DataFrame:
-    """Seconds of packets after a talk's start plus delay and up to its end. Talks are joined by key; the range is a filter of the join."""
-    hit = talks.join(packets, key).where((F.col("t") > F.col("talk_start") + delay) & (F.col("t") <= F.col("talk_end")))
-    return hit.groupBy(key, "talk_start").agg(F.count("*").alias("packets"), F.round(F.count("*") * seconds, 2).alias("overlap_s"))
+    """Seconds of packets after a talk's start plus delay and up to its end: packets and both ends of the talks are merged in order, and the running counts at the ends are subtracted, so nothing is joined row by row."""
+    none = F.lit(None).cast("double")
+    p = packets.select(key, F.col("t").alias("__t"), F.lit(0).alias("__sign"), none.alias("talk_start"))
+    ends = talks.select(key, "talk_start", F.explode(F.array(F.struct((F.col("talk_start") + delay).alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("talk_end").alias("t"), F.lit(1).alias("sign")))).alias("e"))
+    both = p.unionByName(ends.select(key, F.col("e.t").alias("__t"), F.col("e.sign").alias("__sign"), "talk_start"))
+    w = Window.partitionBy(key).orderBy("__t", F.abs("__sign")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("__n", F.count_if(F.col("__sign") == 0).over(w)).where("__sign <> 0")
+    found = counted.groupBy(key, "talk_start").agg(F.sum(F.col("__n") * F.col("__sign")).alias("packets")).where("packets > 0")
+    return found.select(key, "talk_start", "packets", F.round(F.col("packets") * seconds, 2).alias("overlap_s"))
 
 
 def first_after(anchors: DataFrame, stages: DataFrame, key: str, anchor: str, t: str) -> DataFrame:
@@ -114,10 +133,17 @@ def first_after(anchors: DataFrame, stages: DataFrame, key: str, anchor: str, t:
     return both.where("__stage = 0").select(key, F.col("__t").alias(anchor), "first_after")
 
 
-def worst_between(intervals: DataFrame, samples: DataFrame, key: str) -> DataFrame:
-    """The greatest value of samples within each interval; without samples null."""
-    hit = intervals.join(samples, (intervals[key] == samples[key]) & (samples["t"] >= intervals["a"]) & (samples["t"] <= intervals["b"]), "left").drop(samples[key])
-    return hit.groupBy(key, "a", "b").agg(F.max("value").alias("worst"))
+def worst_between(intervals: DataFrame, samples: DataFrame, key: str, cell: float) -> DataFrame:
+    """The greatest value of samples within each interval; without samples null. Cells of time that an interval covers whole are met by their greatest value, and only those at its ends sample by sample; cell: about a tenth of an interval."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    s = samples.select(key, "t", "value", at("t").alias("__c"))
+    i = intervals.select(key, "a", "b").distinct()
+    inner = i.where(at("b") - at("a") > 1).withColumn("__c", F.explode(F.sequence(at("a") + 1, at("b") - 1)))
+    covered = inner.join(s.groupBy(key, "__c").agg(F.max("value").alias("value")), [key, "__c"]).select(key, "a", "b", "value")
+    edge = i.withColumn("__c", F.explode(F.array_distinct(F.array(at("a"), at("b"))))).join(s, [key, "__c"])
+    edge = edge.where((F.col("t") >= F.col("a")) & (F.col("t") <= F.col("b"))).select(key, "a", "b", "value")
+    worst = covered.unionByName(edge).groupBy(key, "a", "b").agg(F.max("value").alias("worst"))
+    return intervals.join(worst, [key, "a", "b"], "left").select(key, "a", "b", "worst")
 
 
 def bounded_history(messages: DataFrame, key: str, order: str, n: int, roles: tuple[str, ...]) -> DataFrame:
@@ -134,13 +160,13 @@ def turn_numbers(messages: DataFrame, key: str, order: str, role: str) -> DataFr
     return messages.withColumn("turn_number", 1 + F.coalesce(F.count_if(F.col("role") == role).over(w), F.lit(0)))
 
 
-def carried_subject(messages: DataFrame, key: str, order: str, subject: Column, words: Column, text: str = "text") -> DataFrame:
-    """A short message without a subject is prefixed with the last subject named before, else the last message of more than two words, else the last one."""
+def carried_subject(messages: DataFrame, key: str, order: str, subject: Column, words: Column, text: str = "text", least_words: int = 2) -> DataFrame:
+    """A message of at most so many words without a subject is prefixed with the last subject named before, else the last longer message, else the last one."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     m = messages.withColumn("__s", subject).withColumn("__w", words)
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    earlier = F.coalesce(last(F.col("__s")), last(F.when(F.col("__w") > 2, F.col(text))), last(F.col(text)))
-    stand = F.col("__s").isNotNull() | (F.col("__w") > 2) | earlier.isNull()
+    earlier = F.coalesce(last(F.col("__s")), last(F.when(F.col("__w") > least_words, F.col(text))), last(F.col(text)))
+    stand = F.col("__s").isNotNull() | (F.col("__w") > least_words) | earlier.isNull()
     return m.withColumn("retrieval_query", F.when(stand, F.col(text)).otherwise(F.concat_ws(" ", earlier, F.col(text)))).drop("__s", "__w")
 
 

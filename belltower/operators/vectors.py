@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose matrix and best rows a task holds at a time.
-BLOCK = 2000
+from belltower.sources.stored import settled
+
+#: Queries whose matrix and best rows the driver and a task hold at a time.
+BLOCK = 4000
 
 
 def _sum(c: Column) -> Column:
@@ -28,8 +31,10 @@ def dot(a: Column, b: Column) -> Column:
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k rows (vec_id, embedding) most similar by cosine to each query row (query_id, q), the row of the same id left out; ties go to the lesser id.
 
-    Queries are taken in blocks of about `block` rows. A block is broadcast as one matrix and
-    meets every row by a matrix product; each task keeps k rows a query and sends no others.
+    Queries are taken in blocks of about `block` rows, one after the other: a block is broadcast
+    as one matrix and meets every row by a matrix product; each task keeps k rows a query and
+    sends no others. What a block finds is written before the next is read, so that the driver
+    holds one block however many there are.
     Vectors of another size than the queries', of length zero, or null take no part.
     """
     q = queries.where(norm(F.col("q")) > 0)
@@ -39,14 +44,18 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int, block: int = BLOCK)
     found = None
     for at in range(parts):
         held = q.where((F.size("q") == (dims or 0)) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == at)).select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).toPandas()
-        near = nearest(rows, held["query_id"].to_numpy(np.int64), np.array(held["q"].tolist(), float).reshape(len(held), dims or 0), k)
-        found = near if found is None else found.unionByName(near)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity): each task's k best rows for every query."""
+        near, shared = nearest(rows, held["query_id"].to_numpy(np.int64), np.array(held["q"].tolist(), float).reshape(len(held), dims or 0), k)
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if parts > 1:
+            best = settled(best)
+            shared.destroy()
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, similarity), each task's k best rows for every query; and the block as it was broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast((ids, queries / np.linalg.norm(queries, axis=1, keepdims=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +79,7 @@ def nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> Da
         if sum(n):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for w, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "similarity"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, similarity double")
+    return rows.mapInArrow(run, "query_id long, vec_id long, similarity double"), shared
 
 
 def self_top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:

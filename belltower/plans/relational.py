@@ -86,7 +86,7 @@ def kb_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def setting_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("event_id")).alias("key"), F.when(F.col("event_id") % 5 == 0, F.lit("maybe")).when(F.col("event_id") % 5 == 1, F.lit(" YES ")).when(F.col("event_id") % 5 == 2, F.col("user_id").cast("string")).when(F.col("event_id") % 5 == 3, F.lit("NaN")).otherwise(F.col("event_type")).alias("value"))
-    kinds = table(spark, d, "events").where("event_id % 2 = 0").select(F.concat(F.lit("s"), F.col("event_id")).alias("key"), F.when(F.col("event_id") % 3 == 0, "bool").when(F.col("event_id") % 3 == 1, "int").otherwise("choice").alias("kind"), F.lit(10.0).alias("minimum"), F.lit(100.0).alias("maximum"), F.lit("click,view").alias("choices"), F.lit("default").alias("default_value"))
+    kinds = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("event_id")).alias("key"), F.when(F.col("event_id") % 3 == 0, "bool").when(F.col("event_id") % 3 == 1, "int").otherwise("choice").alias("kind"), F.lit(10.0).alias("minimum"), F.lit(100.0).alias("maximum"), F.lit("click,view").alias("choices"), F.lit("default").alias("default_value"))
     return e, kinds
 
 
@@ -99,7 +99,7 @@ QUERIES = {
     "event_timeline": lambda s, d: R.timeline(table(s, d, "events").select("event_id", "user_id", F.col("ts").alias("at"), "event_type"), F.col("user_id") == 5),
     "nested_agents": lambda s, d: R.nested_agents(departments(s, d), agents(s, d)).select("department_id", F.size("agents").cast("long").alias("n"), F.array_join(F.transform("agents", lambda a: a["name"]), ",").alias("names")),
     "routing_plan": lambda s, d: R.routing_plan(departments(s, d), agents(s, d)),
-    "menu_digits": lambda s, d: R.menu_digits(departments(s, d).where("department_id % 2 = 0").select("dtmf_digit", "name"), {"0": "operator", "9": "assistant"}),
+    "menu_digits": lambda s, d: R.menu_digits(departments(s, d).select("dtmf_digit", "name"), {"0": "operator", "9": "assistant"}),
     "attempt_events": lambda s, d: R.attempt_events(attempts(s, d), calls(s, d).withColumnRenamed("id", "call_id")).select("call_id", "event_type", F.get_json_object("detail", "$.result").alias("result"), F.get_json_object("detail", "$.attempt").alias("attempt")),
     "answered_calls": lambda s, d: R.answered_calls(calls(s, d), attempts(s, d)).select("id", "status", "routed_to_staff_number"),
     "dial_status": lambda s, d: table(s, d, "events").select("event_id", R.dial_status(F.when(F.col("event_id") % 4 == 0, "ANSWER").when(F.col("event_id") % 4 == 1, "NOANSWER").when(F.col("event_id") % 4 == 2, F.upper("event_type"))).alias("result")),
@@ -130,14 +130,14 @@ SELECT d.department_id, dtmf_digit, 0 AS last, priority, a.name AS agent, agent_
 UNION ALL SELECT d.department_id, dtmf_digit, 0, priority, a.name, agent_id, 1, backup_number, a.name || ' (backup)', 'agent_backup' FROM departments d JOIN agents a USING (department_id) WHERE enabled AND active AND coalesce(backup_number, '') <> ''
 UNION ALL SELECT department_id, dtmf_digit, 1, NULL, NULL, NULL, 0, fallback_number, name || ' fallback', 'department_fallback' FROM departments WHERE enabled AND no_answer_action = 'fallback_number' AND fallback_number IS NOT NULL)
 SELECT department_id, dtmf_digit, row_number() OVER (PARTITION BY department_id ORDER BY last, priority, agent, agent_id, side)::INTEGER AS position, number, label, kind, agent_id FROM t""",
-    "menu_digits": f"WITH {DEPARTMENTS}, o AS (SELECT dtmf_digit, name FROM departments WHERE department_id % 2 = 0) SELECT * FROM o UNION ALL SELECT * FROM (VALUES ('0', 'operator'), ('9', 'assistant')) v(dtmf_digit, name) WHERE dtmf_digit NOT IN (SELECT dtmf_digit FROM o)",
+    "menu_digits": f"WITH {DEPARTMENTS}, o AS (SELECT dtmf_digit, name FROM departments) SELECT * FROM o UNION ALL SELECT * FROM (VALUES ('0', 'operator'), ('9', 'assistant')) v(dtmf_digit, name) WHERE dtmf_digit NOT IN (SELECT dtmf_digit FROM o)",
     "attempt_events": f"WITH {CALLS}, {ATTEMPTS} SELECT id AS call_id, 'routing_attempt' AS event_type, result, attempt::VARCHAR AS attempt FROM attempts JOIN calls USING (channel_id)",
     "answered_calls": f"WITH {CALLS}, {ATTEMPTS}, w AS (SELECT channel_id, max_by(number, attempt) AS won FROM attempts WHERE result = 'answered' GROUP BY 1) SELECT id, CASE WHEN won IS NULL THEN status ELSE 'answered_by_staff' END AS status, coalesce(won, routed_to_staff_number) AS routed_to_staff_number FROM calls LEFT JOIN w USING (channel_id)",
     "dial_status": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'answered' WHEN 1 THEN 'noanswer' WHEN 2 THEN lower(event_type) ELSE 'failed' END AS result FROM events",
     "index_status": f"WITH {KB} SELECT document_id, status, chunk_count, embedded_count, reason IS NOT NULL AS stale, coalesce(reason, 'up to date') AS reason FROM st",
     "health_summary": f"WITH {KB} SELECT count(*) AS documents, count(*) FILTER (reason IS NOT NULL) AS stale, count(*) FILTER (reason IS NULL AND status = 'ready') AS searchable, coalesce(bool_and(reason IS NULL), true) AS healthy FROM st",
     "settings_overlay": """WITH st AS (SELECT 's' || event_id AS key, CASE event_id % 5 WHEN 0 THEN 'maybe' WHEN 1 THEN ' YES ' WHEN 2 THEN user_id::VARCHAR WHEN 3 THEN 'NaN' ELSE event_type END AS value FROM events),
-sp AS (SELECT 's' || event_id AS key, CASE event_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' ELSE 'choice' END AS kind FROM events WHERE event_id % 2 = 0),
+sp AS (SELECT 's' || event_id AS key, CASE event_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' ELSE 'choice' END AS kind FROM events),
 g AS (SELECT key, CASE kind WHEN 'bool' THEN CASE WHEN lower(trim(value)) IN ('true', '1', 'yes', 'on') THEN 'true' WHEN lower(trim(value)) IN ('false', '0', 'no', 'off') THEN 'false' END
 WHEN 'int' THEN CASE WHEN try_cast(trim(value) AS BIGINT) BETWEEN 10 AND 100 THEN trim(value) END ELSE CASE WHEN trim(value) IN ('click', 'view') THEN trim(value) END END AS o FROM st JOIN sp USING (key))
 SELECT sp.key, kind, coalesce(o, 'default') AS value, o IS NOT NULL AS overridden FROM sp LEFT JOIN g USING (key)""",

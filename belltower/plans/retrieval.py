@@ -10,6 +10,7 @@ from belltower.functions import text as T
 from belltower.functions.chunking import chunk_column
 from belltower.operators import lexical as L
 from belltower.operators import vectors
+from belltower.operators.directory import named_centres
 from belltower.sources.tables import table
 
 STOP = ("a", "an", "and", "are", "is", "of", "on", "the", "to", "with")
@@ -77,7 +78,15 @@ def contexts(s: SparkSession, d: str) -> DataFrame:
     return T.context(r, "conv_id", "turn", F.concat(F.lit("[Source: "), F.col("role"), F.lit("]")), F.col("text"), 700)
 
 
+CENTRES = ((0, "of the and that", "first", ("the and of",)), (1, "and the", "second", ("for with", "is to")), (2, "to", "third", None))
+
+
+def listed_centres(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(list(CENTRES), "ordinal int, district string, name string, aliases array<string>")
+
+
 QUERIES = {
+    "centre_match": lambda s, d: named_centres(table(s, d, "documents").select("doc_id", "text"), listed_centres(s), "doc_id"),
     "normalized_text": lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.normalized(F.col("text")).cast("binary")).alias("digest")),
     "search_text": lambda s, d: table(s, d, "benchmark").select("item_id", T.search_text(F.col("text"), F.lower).alias("t")),
     "search_text_nfkc": lambda s, d: table(s, d, "documents").select("doc_id", T.search_text(F.col("text")).alias("t")),
@@ -126,7 +135,10 @@ ev AS (SELECT q.query_id, q.term, coalesce(base, unseen) AS base FROM q JOIN un
 pt AS (SELECT query_id, chunk_id, e.term, sum(weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))) AS s, max(weight) AS w FROM e JOIN po ON po.term = variant, tot GROUP BY ALL),
 sc AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(base * w) / any_value(whole), 1.0), 6) AS coverage FROM pt JOIN ev USING (query_id, term) JOIN wh USING (query_id) GROUP BY ALL),
 lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sc WHERE coverage >= 0.34) WHERE rank <= 4)"""
+NAMES = ", ".join(f"({o}, '{n}', '{x}')" for o, x0, n, more in CENTRES for x in (x0, *(more or ())))
 ORACLE_SQL = {
+    "centre_match": rf"""WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS f FROM documents), h AS (SELECT DISTINCT doc_id, ordinal::INTEGER AS ordinal, name FROM f JOIN (VALUES {NAMES}) v(ordinal, name, x) ON contains(f, ' ' || x || ' '))
+SELECT doc_id, min(ordinal) AS ordinal, min_by(name, ordinal) AS name FROM h GROUP BY 1""",
     "normalized_text": r"SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t\x0B\f\r]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E'\n'), lambda x : trim(x)), E'\n'), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
     "search_text": f"SELECT item_id, {FORM.format('text')} AS t FROM benchmark",
     "content_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",

@@ -27,6 +27,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 EVENTS = "ev AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type, value FROM events)"
 GAP = 40_000.0
+#: What names a subject, and up to how many words a message may lean on an earlier one.
+SUBJECT, WORDS = "nt", 30
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
@@ -51,10 +53,10 @@ QUERIES = {
     "comfort_noise_overlap": lambda s, d: S.near_any(events(s, d).where("event_type = 'click'"), events(s, d).where("event_type = 'view'"), "user_id", "t", 20_000.0).groupBy("user_id").agg(F.count("*").alias("overlapping")),
     "talk_over": lambda s, d: S.talk_over(events(s, d).where("event_type = 'view'").select("user_id", "t"), events(s, d).where("event_type = 'click'").select("user_id", F.col("t").alias("talk_start"), (F.col("t") + 90_000).alias("talk_end")), "user_id").select("user_id", "packets", "overlap_s"),
     "first_stage_after": lambda s, d: S.first_after(events(s, d).where("event_type = 'click'"), events(s, d).where("event_type = 'purchase'"), "user_id", "t", "t").select("user_id", F.round("t", 3).alias("t"), F.round("first_after", 3).alias("first_after")),
-    "worst_in_interval": lambda s, d: S.worst_between(events(s, d).where("event_type = 'click'").select("user_id", F.col("t").alias("a"), (F.col("t") + 50_000).alias("b")), events(s, d).where("event_type = 'view'").select("user_id", "t", "value"), "user_id").select("user_id", F.round("a", 3).alias("a"), "worst"),
+    "worst_in_interval": lambda s, d: S.worst_between(events(s, d).where("event_type = 'click'").select("user_id", F.col("t").alias("a"), (F.col("t") + 50_000).alias("b")), events(s, d).where("event_type = 'view'").select("user_id", "t", "value"), "user_id", 5_000.0).select("user_id", F.round("a", 3).alias("a"), "worst"),
     "bounded_history": lambda s, d: S.bounded_history(messages(s, d), "conv_id", "turn", 4, ("user", "assistant")).select("conv_id", "turn", "role"),
     "turn_numbers": lambda s, d: S.turn_numbers(messages(s, d), "conv_id", "turn", "assistant").select("conv_id", "turn", F.col("turn_number").cast("long").alias("turn_number")),
-    "follow_up_rewrite": lambda s, d: S.carried_subject(messages(s, d).select("conv_id", "turn", F.expr("substring(text, 1, CASE WHEN turn % 2 = 0 THEN 9 ELSE 40 END)").alias("text")), "conv_id", "turn", F.when(F.contains("text", F.lit("th")), F.lit("subject")), F.size(F.split(F.trim("text"), " ")).cast("long")).select("conv_id", "turn", "retrieval_query"),
+    "follow_up_rewrite": lambda s, d: S.carried_subject(messages(s, d).select("conv_id", "turn", "text"), "conv_id", "turn", F.when(F.contains("text", F.lit(SUBJECT)), F.lit("subject")), F.size(F.split(F.trim("text"), " ")).cast("long"), least_words=WORDS).select("conv_id", "turn", "retrieval_query"),
     "failure_runs": lambda s, d: S.failure_runs(events(s, d), "user_id", "event_id", F.col("value") > 10).select("event_id", F.col("failures").cast("long").alias("failures")),
     "polls_until_failures": lambda s, d: C.until_failures(events(s, d), "user_id", "event_id", F.col("value") > 10).select("event_id"),
     "silence_runs": lambda s, d: C.silence_runs(events(s, d), "user_id", "event_id", F.col("event_type") == "click", F.lit(5.0), (F.col("event_id") % 9).cast("double")).select("event_id", "silent_seconds"),
@@ -82,9 +84,9 @@ ORACLE_SQL = {
     "worst_in_interval": f"WITH {EVENTS} SELECT c.user_id, round(c.t, 3) AS a, (SELECT max(v.value) FROM ev v WHERE v.user_id = c.user_id AND v.event_type = 'view' AND v.t BETWEEN c.t AND c.t + 50000) AS worst FROM ev c WHERE c.event_type = 'click'",
     "bounded_history": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 AND role IN ('user', 'assistant') AND coalesce(trim(text), '') <> ''",
     "turn_numbers": "SELECT conv_id, turn, 1 + count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn_number FROM conversations",
-    "follow_up_rewrite": """WITH m AS (SELECT conv_id, turn, x AS text, CASE WHEN contains(x, 'th') THEN 'subject' END AS s, len(string_split(trim(x), ' ')) AS w FROM (SELECT *, substr(text, 1, CASE WHEN turn % 2 = 0 THEN 9 ELSE 40 END) AS x FROM conversations)),
-e AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER p, last_value(CASE WHEN w > 2 THEN text END IGNORE NULLS) OVER p, last_value(text IGNORE NULLS) OVER p) AS earlier FROM m WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn, CASE WHEN s IS NOT NULL OR w > 2 OR earlier IS NULL THEN text ELSE earlier || ' ' || text END AS retrieval_query FROM e""",
+    "follow_up_rewrite": f"""WITH m AS (SELECT conv_id, turn, text, CASE WHEN contains(text, '{SUBJECT}') THEN 'subject' END AS s, len(string_split(trim(text), ' ')) AS w FROM conversations),
+e AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER p, last_value(CASE WHEN w > {WORDS} THEN text END IGNORE NULLS) OVER p, last_value(text IGNORE NULLS) OVER p) AS earlier FROM m WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, CASE WHEN s IS NOT NULL OR w > {WORDS} OR earlier IS NULL THEN text ELSE earlier || ' ' || text END AS retrieval_query FROM e""",
     "failure_runs": f"WITH {EVENTS}, r AS (SELECT *, count(*) FILTER (value > 10) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM ev) SELECT event_id, count(*) FILTER (NOT value > 10) OVER (PARTITION BY user_id, run ORDER BY event_id) AS failures FROM r",
     "polls_until_failures": f"WITH {EVENTS}, {RUNS}, s AS (SELECT *, min(CASE WHEN failures >= 3 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM f) SELECT event_id FROM s WHERE stop IS NULL OR event_id <= stop",
     "silence_runs": f"WITH {EVENTS}, {RUNS} SELECT event_id, silent_seconds FROM f",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from belltower.functions import signal as G
 from belltower.functions import voice as V
+from belltower.sources import audio as A
 from belltower.sources import packets as P
 from belltower.sources.tables import table
 from belltower.streaming import turns
@@ -34,7 +35,14 @@ def clip_arrays(s: SparkSession, clips: int, samples: int, rate: int) -> DataFra
     return G.test_tone(s, clips, samples, rate).groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
 
 
+def wav_files(s: SparkSession, d: str) -> DataFrame:
+    """An order's lines as a short clip, written as a WAV file."""
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount"))), lambda r: r["l_discount"]).alias("x"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("path"), A.wav_bytes(F.col("x"), G.RATE).alias("content"))
+
+
 QUERIES = {
+    "wav_round_trip": lambda s, d: A.sample_rows(A.clips(wav_files(s, d))).select(F.col("clip_id").cast("long").alias("l_orderkey"), F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x")),
     "voice_roughness": lambda s, d: V.roughness(G.test_tone(s, 12, 4000)),
     "voice_description": lambda s, d: V.described(G.test_tone(s, 12, 4000)),
     "active_loudness": lambda s, d: V.active_rms(G.test_tone(s, 30, 4000)).select("clip_id", F.round("rms", 6).alias("rms")),
@@ -56,6 +64,7 @@ QUERIES = {
 }
 _U = "(CASE WHEN v >= 128 THEN -1 ELSE 1 END * (((v & 15) * 8 + 132) * (1 << ((v >> 4) & 7)) - 132))::INTEGER"
 ORACLE_SQL = {
+    "wav_round_trip": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) - 1 AS i, round(round(l_discount * 32767) / 32768, 9)::DOUBLE AS x FROM lineitem",
     "alaw_round_trip": "SELECT event_id, (event_id % 256)::INTEGER AS b FROM events",
     "silent_clips": "SELECT l_orderkey % 50 AS clip_id, floor(sqrt(avg((trunc(l_quantity * l_linenumber)::INTEGER)::DOUBLE ** 2))) < 120 AS silent FROM lineitem GROUP BY 1",
     "active_loudness": """WITH s AS (SELECT (i // 4000) AS c, i % 4000 AS k FROM range(120000) r(i)), x AS (SELECT c, k, CASE WHEN c % 3 = 0 AND k >= 2000 THEN 0 ELSE sin(2 * 3.141592653589793 * (200 + 10 * c) * k / 8000) * (c % 10 + 1) / 11 END AS x FROM s),

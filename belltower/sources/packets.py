@@ -1,4 +1,4 @@
-"""Packet sources: classic pcap files, UDP datagrams, RTP headers; timing lines of logs; JSON events and lists."""
+"""Packet sources: classic pcap files, UDP datagrams, RTP headers; timing lines of logs; JSON events."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # First bytes of a classic pcap file -> byte order, fractions a second; and bytes before the IP header by link type (None: see the header).
@@ -93,17 +93,3 @@ def json_events(lines: DataFrame, schema: str, column: str = "value") -> DataFra
     """Events of JSON lines; lines that aren't JSON objects are skipped."""
     parsed = lines.withColumn("__e", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
     return parsed.where(F.get_json_object(column, "$").isNotNull() & F.trim(column).startswith("{")).select("__e.*")
-
-
-def synonym_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(term, synonym) of a JSON file with {"groups": [[...], ...]}: every word of a group stands for each other one."""
-    groups = spark.read.schema("groups array<array<string>>").json(path, multiLine=True).select(F.explode("groups").alias("g"))
-    pairs = groups.select(F.explode("g").alias("term"), "g").select("term", F.explode("g").alias("synonym"))
-    return pairs.where("term <> synonym").distinct()
-
-
-def centres(spark: SparkSession, path: str) -> DataFrame:
-    """District, name, phone, address and aliases of a JSON directory; rows without a district or name are dropped."""
-    rows = spark.read.schema("centres array<struct<district:string,name:string,phone:string,address:string,aliases:array<string>>>").json(path, multiLine=True)
-    c = rows.select(F.posexplode("centres").alias("ordinal", "c")).select("ordinal", "c.*")
-    return c.where((F.coalesce(F.trim("district"), F.lit("")) != "") & (F.coalesce(F.trim("name"), F.lit("")) != ""))

@@ -69,23 +69,43 @@ class Turn:
                     self.last_voice = e.t
 
 
-def advance(turn: Turn, events: pd.DataFrame, last: float | None = None) -> tuple[str, float, int, float] | None:
-    """Takes the events in time order; the first decision due before one of them (or by `last`) ends the turn."""
-    for e in events.sort_values(["t", "kind"], kind="stable").itertuples():
-        if (found := turn.decide(e.t)) and not (found[3] == e.t and e.kind == "started"):
-            return found
-        turn.take(e)
-    return turn.decide(last) if last is not None else None
+def decided_by(turn: Turn, e) -> tuple[str, float, int, float] | None:
+    """The decision that falls due before an event, which is taken if there is none."""
+    found = turn.decide(e.t)
+    if found and not (found[3] == e.t and e.kind == "started"):
+        return found
+    turn.take(e)
+    return None
 
 
-def ends_of_turns(events: DataFrame, tail: float = 3600.0) -> DataFrame:
-    """Over a finished table: each channel's decision, with silence after its last event. A channel is one call, bounded by a call's length."""
+def advance(turn: Turn, events: pd.DataFrame) -> tuple[str, float, int, float] | None:
+    """Takes the events in time order; the first decision due before one of them ends the turn."""
+    return next((found for e in events.sort_values(["t", "kind"], kind="stable").itertuples() if (found := decided_by(turn, e))), None)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = advance(Turn(), pdf, pdf["t"].max() + tail)
-        return pd.DataFrame([(pdf["channel_id"].iloc[0], *found)] if found else [], columns=["channel_id", "reason", "last_speech_at", "speech_ms", "decided_at"])
 
-    return events.groupBy("channel_id").applyInPandas(run, OUTPUT)
+def ends_of_turns(events: DataFrame, tail: float = 3600.0) -> DataFrame:
+    """Over a finished table: each channel's decision, with silence after its last event. Rows come sorted by channel and time, and a task holds the state of one channel alone, however long it is."""
+    names = ["channel_id", "reason", "last_speech_at", "speech_ms", "decided_at"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, turn, last = None, Turn(), 0.0
+        for pdf in batches:
+            out = []
+            for e in pdf.itertuples():
+                if e.channel_id != now:
+                    if now is not None and not turn.ended and (found := turn.decide(last + tail)):
+                        out.append((now, *found))
+                    now, turn = e.channel_id, Turn()
+                last = e.t
+                if not turn.ended and (found := decided_by(turn, e)):
+                    turn.ended = True
+                    out.append((now, *found))
+            yield pd.DataFrame(out, columns=names)
+        if now is not None and not turn.ended and (found := turn.decide(last + tail)):
+            yield pd.DataFrame([(now, *found)], columns=names)
+
+    held = events.where("channel_id IS NOT NULL").select(*[x.split()[0] for x in INPUT.split(", ")])
+    return held.repartition("channel_id").sortWithinPartitions("channel_id", "t", "kind").mapInPandas(run, OUTPUT)
 
 
 def streamed_ends(events: DataFrame, watermark: str = "2 seconds") -> DataFrame:

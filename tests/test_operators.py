@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from belltower import registry
 from belltower.functions import signal, speech, voice
 from belltower.functions.chunking import chunked
-from belltower.operators import reporting, sequences, vectors
-from belltower.sources import packets
+from belltower.operators import directory, lexical, reporting, sequences, vectors
+from belltower.sources import audio, lists, packets, pdf
 from belltower.streaming import turns
 
 SF = "/root/testdata/sf0.001"
@@ -213,3 +214,100 @@ def test_top_k_in_blocks_equals_one_block(spark):
     for block in (2000, 4):
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in vectors.top_k(rows, q, 3, block).collect()} == want
     assert vectors.top_k(rows, q.limit(0), 3).count() == 0
+
+
+def made_pdf(pages, packed):
+    """A PDF of one text line for each entry of each page."""
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} >>"]
+    out = [b"%PDF-1.4\n"]
+    for k, lines in enumerate(pages):
+        stream = b"BT /F1 12 Tf 72 720 Td " + b" 0 -14 Td ".join(b"(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252") + b") Tj" for x in lines) + b" ET" if lines else b"q Q"
+        body, how = (zlib.compress(stream), "/Filter /FlateDecode ") if packed else (stream, "")
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R >>", b"<< " + how.encode() + f"/Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream"]
+    for n, x in enumerate(objects, 1):
+        out.append(f"{n} 0 obj\n".encode() + (x if isinstance(x, bytes) else x.encode()) + b"\nendobj\n")
+    return b"".join([*out, b"trailer << /Root 1 0 R >>\n%%EOF"])
+
+
+def test_pdf_pages(spark, tmp_path):
+    text = [["First (page) of a file", "its second   line"], ["Page two: caf\xe9 \\ 5"], []]
+    (tmp_path / "a.pdf").write_bytes(made_pdf(text, False))
+    (tmp_path / "b.pdf").write_bytes(made_pdf(text, True))
+    (tmp_path / "c.pdf").write_bytes(b"no pdf at all")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4\n%%EOF")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-1.4\n3 0 obj << /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >> endobj 4 0 obj << >>\nstream\nBT /F1 9 Tf [<0001> -300 <00020001>] TJ T* (x) Tj ET\nendstream endobj 5 0 obj << /ToUnicode 6 0 R >> endobj 6 0 obj << >>\nstream\n1 beginbfchar <0001> <0905> endbfchar 1 beginbfrange <0002> <0003> <0041> endbfrange\nendstream endobj")
+    out = {}
+    for r in pdf.pages(spark.read.format("binaryFile").load(str(tmp_path / "*.pdf"))).collect():
+        out.setdefault(r["path"][-5], []).append((r["page_number"], r["text"], r["error"]))
+    want = [(1, "First (page) of a file\nits second line", None), (2, "Page two: caf\xe9 \\ 5", None), (3, "", None)]
+    assert sorted(out["a"]) == sorted(out["b"]) == want
+    assert out["c"] == [(None, None, "no PDF header")] and out["d"] == [(None, None, "no pages")]
+    assert out["e"] == [(1, "\u0905 A\u0905", None)]
+
+
+def test_wav_files_and_broken_ones(spark, tmp_path):
+    x = np.sin(np.arange(1000) / 9) * 0.5
+    made = spark.createDataFrame([("a", x.tolist())], "path string, v array<double>").select("path", audio.wav_bytes(F.col("v"), 8000).alias("content"))
+    rows = made.unionByName(spark.createDataFrame([("b", bytearray(b"RIFFxx")), ("c", bytearray(b""))], "path string, content binary"))
+    out = {r["path"]: r for r in audio.clips(rows).collect()}
+    assert np.abs(np.array(out["a"]["samples"]) - x).max() < 1e-4 and out["a"]["rate"] == 8000 and out["b"]["error"] and out["c"]["error"]
+    assert np.allclose(audio.mono(bytes([0, 0, 64, 0, 0, 192]), 3, 2), [0.0]) and np.allclose(audio.mono(bytes([128, 255]), 1, 1), [0, 127 / 128])
+
+
+def test_json_lists(spark, tmp_path):
+    files = {"bare": '[["a", "b"], ["c"], 7, ["b", "d"]]', "named": '{"groups": [["a", "b"], ["b", "d"]]}', "broken": '{"groups": [["a"', "other": '{"x": 1}'}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    found = {n: {(r["term"], r["synonym"]) for r in lists.synonym_groups(spark, str(tmp_path / n)).collect()} for n in [*files, "missing"]}
+    assert found["bare"] == found["named"] == {("a", "b"), ("b", "a"), ("b", "d"), ("d", "b")} and not found["broken"] and not found["other"] and not found["missing"]
+    centre = '{"district": " North Side of the Old Town ", "name": "N", "aliases": ["one two three four five six"]}, {"district": "", "name": "x"}, {"district": "South", "name": "S"}'
+    (tmp_path / "c1").write_text(f"[{centre}]")
+    (tmp_path / "c2").write_text('{"centres": [' + centre + "]}")
+    one, two = (lists.centres(spark, str(tmp_path / n)) for n in ("c1", "c2"))
+    assert [r["name"] for r in one.orderBy("ordinal").collect()] == ["N", "S"] == [r["name"] for r in two.orderBy("ordinal").collect()]
+    texts = spark.createDataFrame([(1, "to One, two three FOUR five six!"), (2, "southern"), (3, "the south of north side of the old town"), (4, None)], "k long, text string")
+    assert {(r["k"], r["name"]) for r in directory.named_centres(texts, one, "k").collect()} == {(1, "N"), (3, "N")}
+
+
+def test_jitter_over_many_runs(spark):
+    rng = np.random.default_rng(2)
+    t = np.cumsum(rng.uniform(0.01, 0.03, 500))
+    rows = spark.createDataFrame([("a", float(x), 160 * k) for k, x in enumerate(t)] + [("b", 1.0, 0)], "k string, t double, s long")
+    whole, parts = ({tuple(r) for r in sequences.jitter(rows, "k", F.col("t"), "s", run=n).collect()} for n in (4096, 7))
+    assert whole == parts and ("b", 0.0, 0.0) in whole
+
+
+def test_worst_between_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    samples = [("a", float(t), float(v)) for t, v in zip(rng.uniform(0, 100, 200).round(2), rng.normal(size=200), strict=True)]
+    spans = [("a", float(a), float(a + n)) for a, n in zip(rng.uniform(-5, 100, 60).round(2), rng.choice([0.0, 0.5, 3.0, 40.0], 60), strict=True)]
+    got = {(r["a"], r["b"]): r["worst"] for r in sequences.worst_between(spark.createDataFrame(spans, "k string, a double, b double"), spark.createDataFrame(samples, "k string, t double, value double"), "k", 2.0).collect()}
+    assert got == {(a, b): max((v for _, t, v in samples if a <= t <= b), default=None) for _, a, b in spans}
+
+
+@pytest.mark.parametrize(("text", "said"), [
+    ("5-10 days", "पाँच से दस days"), ("10 mg", "दस मिलीग्राम"), ("2.5% off", "दो दशमलव पाँच प्रतिशत off"), ("₹1,200 only", "एक हज़ार दो सौ रुपये only"), ("Rs. 50/day", "पचास रुपये day"),
+    ("CT (head)", "सी टी, head,"), ("98°F", "अट्ठानवे डिग्री फ़ारेनहाइट"), ("a1 b", "a1 b"), ("१२", "बारह"), ("x & y", "x और y"), ("OK then", "ठीक है then"), ("कुछ नहीं", "कुछ नहीं"), (None, None), ("", ""),
+])
+def test_voiced(text, said):
+    assert speech.voiced(text, {"OK": "ठीक है"}) == said
+
+
+def test_first_claims_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", 2, 12), ("b", 1, 13)], "channel_id string, seq long, s long").selectExpr("channel_id", "seq", "timestamp_seconds(s) AS at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel_id string, seq long, at timestamp").parquet(str(tmp_path / "in"))
+    q = turns.first_claims(stream).writeStream.format("memory").queryName("claims").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["channel_id"], r["seq"]) for r in spark.table("claims").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_recall_on_answerable_and_unanswerable_questions(spark):
+    topics = {"fever": "high fever and shivering last three days", "teeth": "brush your teeth twice a day with soft paste", "diet": "eat fruit greens and drink plenty of water", "bones": "a broken bone needs a plaster for six weeks"}
+    chunks = spark.createDataFrame([(k, t) for k, t in topics.items()], "chunk_id string, text string")
+    index = lexical.Index(chunks, F.split(F.lower("text"), " "), ["a", "and", "the", "your", "of", "with", "for"])
+    asked = {1: ("fever", "shivering fever"), 2: ("teeth", "soft paste teeth"), 3: ("bones", "plaster broken"), 4: ("diet", "fruit watar")}
+    q = spark.createDataFrame([(k, w) for k, (_, t) in asked.items() for w in t.split()] + [(9, "parliament"), (9, "election")], "query_id long, term string")
+    found = {r["query_id"]: r["chunk_id"] for r in lexical.search(index, q, 1).collect()}
+    assert found == {k: c for k, (c, _) in asked.items()}
+    none = spark.createDataFrame([(1, "x")], "query_id long, term string").limit(0)
+    assert lexical.search(lexical.Index(chunks.limit(0), F.split(F.lower("text"), " "), ["a"]), q, 1).count() == 0 and lexical.search(index, none, 1).count() == 0
