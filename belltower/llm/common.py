@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,44 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MARKED: set[str] = set()
+from belltower.sources.stored import settled as settled
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session may do without the setting: it gets a folder of its own machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"{tempfile.gettempdir()}/belltower-checkpoints"
-    return found.rstrip("/")
-
-
-def session_dir(spark: SparkSession) -> str:
-    """This session's own folder in the shared one; it goes when the session's JVM ends."""
-    context = spark.sparkContext
-    folder = f"{shared_dir(spark)}/belltower-{context.applicationId}"
-    if folder not in _MARKED:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _MARKED.add(folder)
-    return folder
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(names: list[str], wanted: str) -> str:
     """The wanted column name, lengthened until no column has it."""
     taken = {n.lower() for n in names}

@@ -198,6 +198,9 @@ def test_line_dedup_hard_rows(spark):
     assert line_dedup.query(documents(spark, HARD)).count() == len(HARD)
     assert line_dedup.query(documents(spark, [])).count() == 0
     assert line_dedup.without_duplicates(documents(spark, [])).count() == 0
+    clash = documents(spark, [(1, "one line of some length here\nand more of it"), (2, "one line of some length here\nother things")]).selectExpr("*", "1 AS __row", "2 AS __gone", "3 AS lead", "4 AS class", "5 AS line", "6 AS leads")
+    out = line_dedup.without_duplicates(clash)
+    assert out.columns == clash.columns and {r["doc_id"]: (r["text"], r["__gone"]) for r in out.collect()} == {1: ("one line of some length here\nand more of it", 2), 2: ("other things", 2)}
 
 
 def words_of(t):

@@ -214,6 +214,11 @@ def test_language_model_learns_from_what_lies_beyond_a_sample(spark):
     assert out and all(r["score"] > r["base_score"] for r in out)
 
 
+def test_empty_tables(spark):
+    assert language_model.scored(documents(spark, [])).count() == 0 and media.digest(documents(spark, [])).count() == 0
+    assert pii.personal_data(documents(spark, [])).count() == 0 and sharding.query(documents(spark, [])).count() == 0
+
+
 def test_gradients_match_differences():
     net = language_model.trained([[b"a", b"b", b"c"] * 3])
     rng = np.random.default_rng(1)
