@@ -1,4 +1,12 @@
-"""A training-corpus pipeline over `documents`: each stage works on what the one before kept."""
+"""A training-corpus pipeline over `documents`: each stage works on what the one before kept.
+
+Cases: a null or empty text passes every stage (it isn't toxic, has no lines, links with
+nothing and holds no window) and ends with 0 tokens; a document whose lines all repeat
+earlier ones stays with an empty text; of repeated rows and of texts that link the one of the
+least doc_id stays (a null doc_id only where there is no other); ties between lines go to the
+least doc_id and line number; without labels of both classes nothing is toxic; empty tables
+give an empty result; columns beside those of documents pass through to the last stage.
+"""
 
 from __future__ import annotations
 
