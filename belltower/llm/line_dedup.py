@@ -4,7 +4,7 @@ Lines are trimmed; empty ones take no part. Equal lines are one class, and so ar
 are within an allowance of edits, which goes by the shorter line:
 
 * under 12 code points none, from there on 1, from 24 code points on 2 edits of code points;
-* lines of 32 words and more: 3 edits of words (lines up to 34 words are compared by code
+* lines of 32 words and more: 2 edits of words (lines up to 33 words are compared by code
   points as well, so that no length is judged by one unit alone where two lines differ).
 
 Lines are cut into one segment more than they have edits, of which two such lines must share
@@ -27,7 +27,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from belltower.llm.jaccard import Powers
 
 #: Edits of code points by the least length that they are allowed from; edits of words, and from how many words on.
 ALLOWED = ((12, 1), (24, 2))
-LONG, WORD_EDITS = 32, 3
+LONG, WORD_EDITS = 32, 2
 #: Lines of an index entry that one task compares; beyond, the entry is cut into blocks.
 BLOCK = 1_000
 MAX_BROADCAST = 24_000_000
@@ -128,14 +127,26 @@ class Runs:
         return mix64((self.total[end] - self.total[start]) * self.down[start] + size.astype(np.uint64) + np.uint64(salt * 0xA24BAED4963EE407 % 2**64))
 
 
+#: Which code points separate words, as str.split does; those beyond the table don't.
+BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def codes(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+
+
 def of_chars(lines: list[str]) -> Runs:
-    raw = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return Runs(raw, np.array([len(x) for x in lines], np.int64))
+    return Runs(codes(lines).astype(np.uint64), np.array([len(x) for x in lines], np.int64))
 
 
-def of_words(lines: list[list[str]]) -> Runs:
-    raw = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in lines for w in x), np.uint64)
-    return Runs(raw, np.array([len(x) for x in lines], np.int64))
+def of_words(lines: list[str], chars: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the lines, in order, and the lines they are of."""
+    blank = BLANK[np.minimum(codes(lines), len(BLANK) - 1)]
+    edge = np.zeros(len(blank) + 1, bool)
+    edge[chars.starts] = edge[-1] = True
+    begin = np.flatnonzero(~blank & (edge[:-1] | np.append(True, blank[:-1])))
+    end = np.flatnonzero(~blank & (edge[1:] | np.append(blank[1:], True))) + 1
+    return mix64((chars.total[end] - chars.total[begin]) * chars.down[begin] + (end - begin).astype(np.uint64)), np.searchsorted(chars.starts, begin, side="right") - 1
 
 
 def line_keys(lines: list[str]) -> np.ndarray:
@@ -193,16 +204,16 @@ def probes(runs: Runs, edits: int, own: np.ndarray, meets: list[np.ndarray], uni
 def entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(entry, line, probing) of distinct lines."""
     found: list[tuple[np.ndarray, np.ndarray, bool]] = []
-    split = [x.split() for x in lines]
-    words = np.array([len(w) for w in split], np.int64)
     chars = of_chars(lines)
+    symbols, of = of_words(lines, chars)
+    words = np.bincount(of, minlength=len(lines))
     short = words < LONG + WORD_EDITS
     for _, edits in ALLOWED:
         meets = [np.flatnonzero(short & (allowance(chars.n - less) == edits)) for less in range(edits + 1)]
         found += probes(chars, edits, meets[0], meets, 0)
     at = np.flatnonzero(words >= LONG)
     if len(at):
-        runs = of_words([split[i] for i in at])
+        runs = Runs(symbols[words[of] >= LONG], words[at])
         meets = [np.flatnonzero(runs.n - less >= LONG) for less in range(WORD_EDITS + 1)]
         found += [(e, at[who], probing) for e, who, probing in probes(runs, WORD_EDITS, meets[0], meets, 1)]
     return tuple(np.concatenate(x) for x in zip(*((e, who, np.full(len(who), probing)) for e, who, probing in found), strict=True))

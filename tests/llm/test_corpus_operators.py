@@ -165,9 +165,9 @@ def brute_lines(rows):
     distinct = sorted({x for _, _, x in seen})
     def near(a, b):
         v, w, n = a.split(), b.split(), min(len(a), len(b))
-        by_words = min(len(v), len(w)) >= 32 and abs(len(v) - len(w)) <= 3 and distance(v, w) <= 3
+        by_words = min(len(v), len(w)) >= 32 and abs(len(v) - len(w)) <= 2 and distance(v, w) <= 2
         edits = 0 if n < 12 else 1 if n < 24 else 2
-        return by_words or max(len(v), len(w)) < 35 and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+        return by_words or max(len(v), len(w)) < 34 and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
 
     links = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if near(a, b)]
     of = components_of(distinct, links)
