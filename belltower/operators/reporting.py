@@ -109,6 +109,17 @@ def health_summary(status: DataFrame) -> DataFrame:
     return status.agg(F.count("*").alias("documents"), F.count_if("stale").alias("stale"), F.count_if(ready).alias("searchable"), F.coalesce(F.bool_and(~F.col("stale")), F.lit(True)).alias("healthy"))
 
 
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """Names of the rules that a row breaks, in their order; a rule without an answer is broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+
+
+def sections(parts: dict[str, Column]) -> Column:
+    """A prompt of titled sections, parted by blank lines; parts that are null or blank are left out."""
+    held = [F.when(F.trim(c) != "", F.concat(F.lit(f"{title}:\n") if title else F.lit(""), F.trim(c))) for title, c in parts.items()]
+    return F.concat_ws("\n\n", *held)
+
+
 def checks_ok(checks: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per row, whether every check that isn't null holds."""
     return checks.withColumn("ok", F.forall(F.array(*names), lambda x: F.coalesce(x, F.lit(True))))

@@ -90,7 +90,16 @@ def setting_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e, kinds
 
 
+def department_rules() -> dict[str, F.Column]:
+    return {
+        "digit": F.col("dtmf_digit").rlike("^[0-9]$"), "timeout": F.col("ring_timeout_seconds").between(22, 40),
+        "action": F.col("no_answer_action").isin("fallback_number", "ai"), "fallback": (F.col("no_answer_action") != "fallback_number") | F.col("fallback_number").isNotNull(),
+    }
+
+
 QUERIES = {
+    "department_rules": lambda s, d: departments(s, d).select("department_id", F.array_join(R.broken_rules(department_rules()), ",").alias("broken")),
+    "prompt_sections": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.md5(R.sections({"": F.lit("Answer briefly."), "Context": F.when(F.col("turn") % 2 == 0, F.col("text")), "Question": F.col("text")})).alias("digest")),
     "scan_calls": lambda s, d: calls(s, d).select("id", "status", "duration_seconds"),
     "point_lookup": lambda s, d: calls(s, d).where("id = 7").select("id", "status"),
     "status_counts": lambda s, d: R.status_counts(R.since(calls(s, d), ANCHOR, HOURS)),
@@ -118,6 +127,8 @@ QUERIES = {
     "checks_ok": lambda s, d: R.checks_ok(table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 1000).alias("a"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus") != "P").alias("b")), ["a", "b"]).select("o_orderkey", "ok"),
 }
 ORACLE_SQL = {
+    "department_rules": f"WITH {DEPARTMENTS} SELECT department_id, concat_ws(',', CASE WHEN NOT regexp_matches(dtmf_digit, '^[0-9]$') THEN 'digit' END, CASE WHEN NOT ring_timeout_seconds BETWEEN 22 AND 40 THEN 'timeout' END, CASE WHEN no_answer_action NOT IN ('fallback_number', 'ai') THEN 'action' END, CASE WHEN no_answer_action = 'fallback_number' AND fallback_number IS NULL THEN 'fallback' END) AS broken FROM departments",
+    "prompt_sections": "SELECT conv_id, turn, md5(concat_ws(chr(10) || chr(10), 'Answer briefly.', CASE WHEN turn % 2 = 0 AND trim(text) <> '' THEN 'Context:' || chr(10) || trim(text) END, CASE WHEN trim(text) <> '' THEN 'Question:' || chr(10) || trim(text) END)) AS digest FROM conversations",
     "scan_calls": f"WITH {CALLS} SELECT id, status, duration_seconds FROM calls",
     "point_lookup": f"WITH {CALLS} SELECT id, status FROM calls WHERE id = 7",
     "status_counts": f"WITH {CALLS} SELECT status, count(*) AS calls FROM calls WHERE started_at >= TIMESTAMP '{ANCHOR}' - INTERVAL {HOURS} HOUR GROUP BY status",

@@ -13,7 +13,7 @@ from belltower import registry
 from belltower.functions import signal, speech, voice
 from belltower.functions.chunking import chunked
 from belltower.operators import directory, lexical, reporting, sequences, vectors
-from belltower.sources import audio, lists, packets, pdf
+from belltower.sources import audio, lists, packets, pdf, sinks
 from belltower.streaming import turns
 
 SF = "/root/testdata/sf0.001"
@@ -311,3 +311,29 @@ def test_recall_on_answerable_and_unanswerable_questions(spark):
     assert found == {k: c for k, (c, _) in asked.items()}
     none = spark.createDataFrame([(1, "x")], "query_id long, term string").limit(0)
     assert lexical.search(lexical.Index(chunks.limit(0), F.split(F.lower("text"), " "), ["a"]), q, 1).count() == 0 and lexical.search(index, none, 1).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a|b", None), (2, "two\nlines", 0.5)], "k long, text string, v double")
+    for _ in range(2):
+        sinks.append(rows, str(tmp_path / "t"), ("k",))
+        sinks.json_lines(rows, str(tmp_path / "j"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("k = 2").count() == 2
+    assert spark.read.schema(rows.schema).json(str(tmp_path / "j")).where("v IS NULL").count() == 2
+    sinks.markdown(rows, str(tmp_path / "m"), ["k"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["| k | text | v |", "| --- | --- | --- |", "| 1 | a\\|b |  |", "| 2 | two lines | 0.5 |"]
+    line = rows.select(sinks.timing_line({"call": F.col("k"), "v_ms": F.col("v")}).alias("value"))
+    assert {(r["fields"]["call"], r["fields"]["v_ms"]) for r in packets.timing_lines(line).collect()} == {("1", None), ("2", "0.5")}
+    q = sinks.streamed(spark.readStream.schema(rows.schema).json(str(tmp_path / "j")), str(tmp_path / "s"), str(tmp_path / "c"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 4
+
+
+def test_clip_report(spark):
+    t = np.arange(4800) / 48000
+    x = np.concatenate([np.zeros(4800), 0.25 * np.sin(2 * np.pi * 300 * t)])
+    y = voice.rendered(x, 48000, 1.0, "peak")
+    rows = lambda v: spark.createDataFrame([(1, i, float(s)) for i, s in enumerate(v)], "clip_id long, i long, x double")
+    r = signal.clip_report(rows(x), rows(y), "peak", 48000).first()
+    assert abs(r["peak_dbfs"] + 3) < 0.2 and abs(r["source_peak_dbfs"] + 12.04) < 0.2 and abs(r["gain_db"] - 9) < 0.3 and r["resampled"] and not r["tempo_applied"]
+    assert abs(r["trimmed_s"] - (0.2 - len(y) / 8000)) < 1e-6 and r["final_rate"] == 8000
