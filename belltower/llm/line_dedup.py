@@ -121,10 +121,10 @@ class Runs:
         self.total = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(mix64(symbols + np.uint64(1)) * self.up[: len(symbols)], out=self.total[1:])
 
-    def hash(self, who: np.ndarray, at: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    def part(self, who: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A number for a part of each line, equal for equal parts; its bits are not spread yet."""
         start = self.starts[who] + at
-        end = start + size
-        return mix64((self.total[end] - self.total[start]) * self.down[start] + size.astype(np.uint64) + np.uint64(salt * 0xA24BAED4963EE407 % 2**64))
+        return (self.total[start + size] - self.total[start]) * self.down[start] + size.astype(np.uint64)
 
 
 #: Which code points separate words, as str.split does; those beyond the table don't.
@@ -152,7 +152,7 @@ def of_words(lines: list[str], chars: Runs) -> tuple[np.ndarray, np.ndarray]:
 def line_keys(lines: list[str]) -> np.ndarray:
     """64-bit keys of lines."""
     runs = of_chars(lines)
-    return runs.hash(np.arange(len(lines)), np.zeros(len(lines), np.int64), runs.n, 0)
+    return mix64(runs.part(np.arange(len(lines)), np.zeros(len(lines), np.int64), runs.n))
 
 
 def in_parts(lines: list[str], chars: int = 100_000) -> Iterator[list[str]]:
@@ -183,7 +183,8 @@ def segments(n: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]
 
 def entry_key(length: np.ndarray, k: int, part: np.ndarray, unit: int) -> np.ndarray:
     """An entry's number; its last bit tells the unit of its edits (0: code points, 1: words)."""
-    return mix64(part ^ mix64(length.astype(np.uint64) * np.uint64(64) + np.uint64(2 * k + unit))) & ~np.uint64(1) | np.uint64(unit)
+    place = (length.astype(np.uint64) * np.uint64(64) + np.uint64(2 * k + unit)) * np.uint64(0xA24BAED4963EE407)
+    return mix64(part ^ place) & ~np.uint64(1) | np.uint64(unit)
 
 
 def probes(runs: Runs, edits: int, own: np.ndarray, meets: list[np.ndarray], unit: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -191,14 +192,14 @@ def probes(runs: Runs, edits: int, own: np.ndarray, meets: list[np.ndarray], uni
     for k in range(edits + 1):
         n = runs.n[own]
         s, size = segments(n, k, edits)
-        yield entry_key(n, k, runs.hash(own, s, size, k), unit), own, False
+        yield entry_key(n, k, runs.part(own, s, size), unit), own, False
         for less, who in enumerate(meets):
             n = runs.n[who] - less
             s, size = segments(n, k, edits)
             # left bound: at most k edits lie before segment k; right bound: at most edits - k behind it
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
                 ok = (s + shift >= 0) & (s + shift + size <= runs.n[who])
-                yield entry_key(n[ok], k, runs.hash(who[ok], (s + shift)[ok], size[ok], k), unit), who[ok], True
+                yield entry_key(n[ok], k, runs.part(who[ok], (s + shift)[ok], size[ok]), unit), who[ok], True
 
 
 def entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
