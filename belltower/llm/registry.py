@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, decontaminate, html_text, jaccard, language_model, line_dedup, media, pii, sharding, toxicity
+from belltower.llm import bpe, decontaminate, fill_middle, html_text, jaccard, language_model, line_dedup, media, pii, sharding, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, d: jaccard.query(read(spark, d, "documents")),
     "op9_html_text": lambda spark, d: html_text.main_text(read(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op11_fill_middle": lambda spark, d: fill_middle.query(read(spark, d, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL}
