@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from belltower.llm import bpe, decontaminate, fill_middle, html_text, jaccard, language_model, line_dedup, media, pii, resampling, sharding, toxicity
+from belltower.llm import bpe, decontaminate, fill_middle, html_text, jaccard, language_model, line_dedup, media, pii, quality, resampling, sharding, toxicity
 from belltower.llm.common import read
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_html_text": lambda spark, d: html_text.main_text(read(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op11_fill_middle": lambda spark, d: fill_middle.query(read(spark, d, "documents")),
+    "op12_quality": lambda spark, d: quality.query(read(spark, d, "documents"), read(spark, d, "labels")),
     "op13_resampling": lambda spark, d: resampling.query(read(spark, d, "documents"), read(spark, d, "benchmark")),
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op11_fill_middle": fill_middle.ORACLE_SQL}
