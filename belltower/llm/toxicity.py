@@ -1,19 +1,22 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff counts.
 
-Each class has a bigram model that backs off to its own continuation counts (in how many
-distinct contexts a word occurs), and these to continuation counts shared by both classes,
-which are brought to one size first. The discount of a class count is a constant and a
-multiple of the shared count: what a class doesn't hold clearly beyond its share (rare
-expressions, and those that only follow the classes' mix of languages) backs off to the
-shared counts in both models and weighs nothing. A text's evidence is the difference of its
-log-likelihoods under both models, divided by its number of tokens. A logistic curve that
-rises with it turns it into a score; it is fitted on labelled texts, each half with the
-evidence that models of the other half give.
-
-Labels are learned from at most `max_rows` texts of each class (documented bound, the first
+Each class has an interpolated bigram model with one absolute discount. A bigram backs off to
+the class's continuation counts (after how many distinct words a word occurs), and these to
+continuation counts of both classes together, which back off to all words alike; each level
+gets what the discount and the cutoff take from the one above, so that every distribution
+sums to one. Cutoff: an expression that too small a share of a class's texts holds, or not
+clearly more of them than of the other class's, has no probability of its own in the class's
+model and is smoothed through the shared counts. (Without cutoff the models are the textbook's;
+on texts of mostly rare words the difference of their likelihoods is then little but noise,
+see README.) A text's evidence is the difference of its log-likelihoods under both models,
+divided by its number of tokens. A logistic curve that rises with it turns it into a score; it
+is fitted on labelled texts, each half with the evidence that models of the other half give.
+
+An expression counts once for each distinct text. Labels are learned from at most `max_rows` texts of each class (documented bound, the first
 by a hash of doc_id); the share of toxic labels is taken over all of them.
 
-Cases: a null or empty text has no tokens and gets the score of zero evidence; a null label
+Cases: a null or empty text has no tokens and gets the score of one that holds only what is
+left to shared counts; a null label
 or doc_id teaches nothing; of repeated labels of a doc_id the largest counts; repeated rows
 give repeated results; without labels of both classes the score is 0; empty tables give
 empty results; other columns are not read.
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 from belltower.llm.common import by_batch, fresh, settled, texts
 
 WORD = re.compile(r"\w+")
-#: Discounts of shared, of class and of class bigram counts; the multiple of the shared count in the latter two.
-SHARED, DISCOUNT, PAIR_DISCOUNT, EXCESS = 0.75, 1.0, 3.0, 1.5
-#: Weight of backing off, the same in both classes: what neither holds has ratio one.
-BACKOFF = 0.9
+#: The absolute discount of all counts.
+DISCOUNT = 0.75
+#: Cutoff: the least share of a class's texts and the least numbers of texts that hold a word and a bigram, and how many times as many as of the other class's, brought to one size.
+SHARE, TEXTS, PAIR_TEXTS, TIMES = 0.02, 4, 12, 3.0
 #: Least slope of the logistic curve for a hundredth of evidence: the score always rises with it.
 SLOPE = 1e-3
 MAX_ROWS = 3000
@@ -46,10 +49,12 @@ FOLDS, HELD = 5, 0
 
 @dataclass
 class Model:
-    """Log ratios, toxic to ordinary, of the words and word pairs that a class holds beyond the shared counts; all others have ratio one."""
+    """Log ratios, toxic to ordinary: of what both models leave to shared counts (base), what a word adds to it, what a word pair adds to its word, and what a word changes in all that follows it in no listed pair."""
 
+    base: float
     word: dict[str, float]
     pair: dict[tuple[str, str], float]
+    after: dict[str, float]
     bias: float = 0.0
     slope: float = SLOPE
 
@@ -60,14 +65,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def evidence(model: Model, docs: list[str]) -> np.ndarray:
     """Hundredths of difference of the log-likelihoods for each token of each text."""
-    word, pair = model.word.get, model.pair
-    out = np.zeros(len(docs))
+    word, pair, after = model.word.get, model.pair, model.after
+    out = np.full(len(docs), 100 * model.base)
     for k, text in enumerate(docs):
         w = WORD.findall(text.lower())
         if w:
-            total = sum(r for x in w if (r := word(x)))
-            if pair:  # a pair's ratio stands in for its word's
-                total += sum(pair[x] - word(x[1], 0.0) for x in zip(w, w[1:], strict=False) if x in pair)
+            total = len(w) * model.base + sum(r for x in w if (r := word(x)))
+            if pair:
+                total += sum(pair[x] if x in pair else after.get(x[0], 0.0) for x in zip(["", *w], w, strict=False) if x[0] in after)
             out[k] = 100 * total / len(w)
     return out
 
@@ -86,13 +91,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(previous, word, o0, t0, o1, t1): in how many distinct texts of each class (ordinary, toxic) and half a bigram occurs."""
+    """(previous, word, o0, t0, o1, t1): in how many texts of each class (ordinary, toxic) and half a bigram occurs; previous is empty for a first word, and null where the word itself is counted."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         v, w, c, h = [], [], [], []
         for text, toxic, half in zip(texts(b.column("text")), b.column("toxic").to_pylist(), b.column("half").to_pylist(), strict=True):
             words = WORD.findall(text.lower())
-            found = set(zip(["", *words], words, strict=False))
+            found = [*set(zip(["", *words], words, strict=False)), *((None, x) for x in set(words))]
             v += [x for x, _ in found]
             w += [x for _, x in found]
             c += [toxic] * len(found)
@@ -103,46 +108,60 @@ def counted(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("previous", "word").agg(*(F.count_if((F.col("toxic") == t) & (F.col("half") == h)).alias(f"{'ot'[t]}{h}") for h in (0, 1) for t in (0, 1)))
 
 
-def models(counts: DataFrame) -> list[Model | None]:
-    """The models of the first half, of the second, and of both; None where a class has no counts. What a class holds is chosen by Spark, and it alone comes to the driver."""
-    made: list[Model | None] = []
-    for o, t, share in (("o0", "t0", 0.5), ("o1", "t1", 0.5), ("o0 + o1", "t0 + t1", 1.0)):
-        pairs = counts.select("previous", "word", F.expr(o).alias("o"), F.expr(t).alias("t")).where("o + t > 0")
-        words = settled(pairs.groupBy("word").agg(F.count_if(F.col("o") > 0).alias("o"), F.count_if(F.col("t") > 0).alias("t")))
-        total = words.agg(F.sum("o").alias("o"), F.sum("t").alias("t"), F.count("*").alias("n")).first()
-        if not total["o"] or not total["t"]:
-            made.append(None)
-            continue
-        size = min(total["o"], total["t"])
-        kept, both = held(words, total, DISCOUNT * share)
-        covered = both.agg(F.sum(F.greatest(F.col("m") - SHARED, F.lit(0.0)))).first()[0]
-        rest = (size - covered) / (total["n"] + 1)  # what the shared discount leaves for each word
-        rows = kept.collect()
-        sums = [max(sum(r[c] for r in rows), 1e-9) for c in ("ho", "ht")]
-        shared = lambda m: BACKOFF * (max(m - SHARED, 0) + rest) / size
-        lower = {r["word"]: [shared(r["m"]) + (1 - BACKOFF) * r[c] / s for c, s in zip(("ho", "ht"), sums, strict=True)] for r in rows}
-        model = Model({w: float(np.log(p[1] / p[0])) for w, p in lower.items()}, {})
-        pair_total = pairs.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
-        found = held(pairs.where("previous <> ''"), pair_total, PAIR_DISCOUNT * share)[0].join(words.select("word", F.col("o").alias("wo"), F.col("t").alias("wt")), "word").collect()
-        after: dict[str, list[float]] = {}
-        for r in found:
-            s = after.setdefault(r["previous"], [0.0, 0.0])
-            s[0], s[1] = s[0] + r["ho"], s[1] + r["ht"]
-        for r in found:
-            m = (r["wo"] * size / total["o"] + r["wt"] * size / total["t"]) / 2
-            p = [BACKOFF * q + (1 - BACKOFF) * r[c] / max(s, 1e-9) for q, c, s in zip(lower.get(r["word"], [shared(m)] * 2), ("ho", "ht"), after[r["previous"]], strict=True)]
-            model.pair[r["previous"], r["word"]] = float(np.log(p[1] / p[0]))
-        made.append(model)
-    return made
+def kept(size: tuple[int, int], share: float, least: tuple[int, int], times: float) -> tuple[Column, Column]:
+    """Whether the ordinary (o) and the toxic (t) count of an expression stays, of classes of so many texts."""
+    low = F.when(F.col("previous").isNull(), max(least[0], share * min(size))).otherwise(max(least[1], share * min(size)))
+    o, t = (F.col(c) * (min(size) / n) for c, n in zip("ot", size, strict=True))
+    return (F.col("o") > 0) & (o >= low + times * t), (F.col("t") > 0) & (t >= low + times * o)
+
 
+def model_of(counts: DataFrame, size: tuple[int, int], share: float = SHARE, least: tuple[int, int] = (TEXTS, PAIR_TEXTS), times: float = TIMES) -> Model | None:
+    """The models of counts (previous, word, o, t) from so many ordinary and toxic texts; None where a class has none.
 
-def held(rows: DataFrame, total: dict, discount: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of counts o and t brought to the smaller class's size, with the shared count m and what the discount leaves each class (ho, ht): those where it leaves something, and all."""
-    size = min(total["o"], total["t"])
-    scaled = rows.withColumn("so", F.col("o") * (size / total["o"])).withColumn("st", F.col("t") * (size / total["t"]))
-    both = scaled.withColumn("m", (F.col("so") + F.col("st")) / 2)
-    left = both.withColumn("ho", F.greatest(F.col("so") - discount - EXCESS * F.col("m"), F.lit(0.0))).withColumn("ht", F.greatest(F.col("st") - discount - EXCESS * F.col("m"), F.lit(0.0)))
-    return left.where("ho > 0 OR ht > 0"), both
+    Sums and cutoffs are Spark's; the driver gets what the cutoff leaves, which is at most the
+    expressions of a text divided by the share, with their words' shared counts.
+    """
+    if not all(size):
+        return None
+    keep_o, keep_t = kept(size, share, least, times)
+    held = counts.where(keep_o | keep_t).select("previous", "word", F.when(keep_o, F.col("o")).otherwise(0).alias("o"), F.when(keep_t, F.col("t")).otherwise(0).alias("t"))
+    held = settled(held)
+    pairs = counts.where("previous IS NOT NULL AND o + t > 0")
+    # continuation counts of every word, and those of words that the driver needs
+    lower = settled(pairs.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("o") > 0).alias("o"), F.count_if(F.col("t") > 0).alias("t")))
+    total = lower.agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("o").alias("o"), F.sum("t").alias("t")).first()
+    told = {r["word"]: r for r in lower.join(held.select("word").distinct(), "word", "left_semi").collect()}
+    listed = held.where("previous IS NOT NULL").collect()
+    heads = pairs.join(held.where("previous IS NOT NULL").select("previous").distinct(), "previous", "left_semi").groupBy("previous").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).collect()
+    context = {r["previous"]: r for r in heads}
+    each = DISCOUNT * total["kinds"] / (total["kinds"] + 1)  # of the discounted mass, for every known word and for all unknown ones
+    shared = lambda w: (told[w]["n"] - DISCOUNT + each) / total["n"]
+    words = held.where("previous IS NULL").collect()
+    own = [{r["word"]: (told[r["word"]][c] - DISCOUNT) / total[c] for r in words if r[c]} for c in "ot"]
+    left = [1 - sum(p.values()) for p in own]
+    # where nothing is cut off, all of a word's mass is the class's own and what is left is what the discount took
+    base = float(np.log(left[1] / left[0]))
+    below = lambda k, w: own[k].get(w, 0.0) + left[k] * shared(w)
+    model = Model(base, {w: float(np.log(below(1, w) / below(0, w))) - base for w in own[0] | own[1]}, {}, {})
+    above: list[dict] = [{(r["previous"], r["word"]): (r[c] - DISCOUNT) / context[r["previous"]][c] for r in listed if r[c]} for c in "ot"]
+    rest: list[dict[str, float]] = [dict.fromkeys(context, 1.0), dict.fromkeys(context, 1.0)]
+    for k in (0, 1):
+        for (v, _), p in above[k].items():
+            rest[k][v] -= p
+    model.after = {v: float(np.log(rest[1][v] / rest[0][v])) for v in context}
+    for v, w in above[0] | above[1]:
+        p = [above[k].get((v, w), 0.0) + rest[k][v] * below(k, w) for k in (0, 1)]
+        model.pair[v, w] = float(np.log(p[1] / p[0])) - base - model.word.get(w, 0.0)
+    return model
+
+
+def models(counts: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Model | None]:
+    """The models of the first half, of the second, and of both; sizes: texts by (class, half)."""
+    made = []
+    for o, t, halves in (("o0", "t0", (0,)), ("o1", "t1", (1,)), ("o0 + o1", "t0 + t1", (0, 1))):
+        size = tuple(sum(sizes.get((c, h), 0) for h in halves) for c in (0, 1))
+        made.append(model_of(counts.select("previous", "word", F.expr(o).alias("o"), F.expr(t).alias("t")).where("o + t > 0"), size))
+    return made
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
@@ -157,7 +176,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
     chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id").where(F.length("text") > 0)
     # one row for each distinct text, so that copies neither count twice nor sit in both halves
     chosen = settled(chosen.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.pmod("key", F.lit(2)).cast("int").alias("half")))
-    *halves, model = models(settled(counted(chosen)))
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in chosen.groupBy("toxic", "half").count().collect()}
+    *halves, model = models(settled(counted(chosen)), sizes)
     if model is None or None in halves:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(halves)

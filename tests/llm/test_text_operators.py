@@ -141,43 +141,95 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 2000").count() == 1
 
 
-def brute_ratios(rows, share=1.0):
-    """Log ratios of all words by both models, straight from their definition."""
-    import math
-    pairs = [set(), set()]
-    for text, toxic in rows:
-        w = toxicity.WORD.findall(text.lower())
-        pairs[toxic] |= set(zip(["", *w], w, strict=False))
-    counts = [{}, {}]
-    for c in (0, 1):
-        for _, w in pairs[c]:
-            counts[c][w] = counts[c].get(w, 0) + 1
-    total = [sum(x.values()) for x in counts]
-    size, every = min(total), set(counts[0]) | set(counts[1])
-    scaled = [{w: counts[c].get(w, 0) * size / total[c] for w in every} for c in (0, 1)]
-    both = {w: (scaled[0][w] + scaled[1][w]) / 2 for w in every}
-    over = [{w: max(scaled[c][w] - share * toxicity.DISCOUNT - toxicity.EXCESS * both[w], 0) for w in every} for c in (0, 1)]
-    rest = (size - sum(max(m - toxicity.SHARED, 0) for m in both.values())) / (len(every) + 1)
-    p = [{w: toxicity.BACKOFF * (max(both[w] - toxicity.SHARED, 0) + rest) / size + (1 - toxicity.BACKOFF) * over[c][w] / max(sum(over[c].values()), 1e-9) for w in every} for c in (0, 1)]
-    return {w: math.log(p[1][w] / p[0][w]) for w in every}
-
-
-def test_toxicity_models_equal_brute_force_and_scores_rise(spark, monkeypatch):
+class Textbook:
+    """Interpolated Kneser-Ney of one class, from its distinct bigrams of texts, with shared continuation counts below; no cutoff."""
+
+    def __init__(self, own, every):
+        self.times, self.d = own, 0.75
+        self.after = {}
+        for (v, w), n in own.items():
+            self.after.setdefault(v, {})[w] = n
+        self.before = {w: sum(x == w for _, x in own) for w in {w for _, w in own}}
+        self.shared = {w: sum(x == w for _, x in every) for w in {w for _, w in every}}
+
+    def lowest(self, w):
+        n, kinds = sum(self.shared.values()), len(self.shared)
+        return max(self.shared.get(w, 0) - self.d, 0) / n + self.d * kinds / n / (kinds + 1)
+
+    def middle(self, w):
+        n = sum(self.before.values())
+        return max(self.before.get(w, 0) - self.d, 0) / n + self.d * len(self.before) / n * self.lowest(w)
+
+    def chance(self, v, w):
+        if v not in self.after:
+            return self.middle(w)
+        n = sum(self.after[v].values())
+        return max(self.after[v].get(w, 0) - self.d, 0) / n + self.d * len(self.after[v]) / n * self.middle(w)
+
+
+def class_texts():
     rng = random.Random(2)
-    rows = [(" ".join(rng.choice([f"w{k}" for k in range(30)] + ["foul"] * 4 * (i % 3 == 0)) for _ in range(25)), int(i % 3 == 0)) for i in range(60)]
-    counts = toxicity.counted(spark.createDataFrame([(t, y, 0) for t, y in rows], "text string, toxic int, half int"))
-    first, second, both = toxicity.models(counts)
-    assert second is None and first.word["foul"] > 1
-    want = brute_ratios(rows)
-    assert set(both.word) == {w for w, r in want.items() if abs(r) > 1e-12}
-    assert all(abs(both.word[w] - r) < 1e-9 for w, r in want.items() if w in both.word)
+    return [(" ".join(rng.choice([f"w{k}" for k in range(30)] + ["foul"] * 4 * (i % 3 == 0)) for _ in range(25)), int(i % 3 == 0)) for i in range(60)]
+
+
+def bigrams(text):
+    w = toxicity.WORD.findall(text.lower())
+    return list(zip(["", *w], w, strict=False))
+
+
+def test_toxicity_models_without_cutoff_are_textbook_kneser_ney(spark):
+    import math
+    from collections import Counter
+
+    rows = class_texts()
+    times = [Counter(x for t, y in rows if y == c for x in set(bigrams(t))) for c in (0, 1)]
+    o, t = (Textbook(times[c], set(times[0]) | set(times[1])) for c in (0, 1))
+    words = {*o.shared, "never seen"}
+    for m in (o, t):
+        assert all(abs(sum(m.chance(v, w) for w in words) - 1) < 1e-9 for v in ["", "w1", "foul", "never seen"])
+    counts = toxicity.counted(spark.createDataFrame([(x, y, 0) for x, y in rows], "text string, toxic int, half int"))
+    model = toxicity.model_of(counts.select("previous", "word", F.col("o0").alias("o"), F.col("t0").alias("t")), (40, 20), 0.0, (0, 0), 0.0)
+    for text in [rows[0][0], rows[1][0], "w1 w2 foul " * 3, "never w3 seen foul foul", "w9"]:
+        want = sum(math.log(t.chance(v, w) / o.chance(v, w)) for v, w in bigrams(text)) / len(bigrams(text))
+        assert abs(toxicity.evidence(model, [text])[0] - 100 * want) < 1e-9
+
+
+def test_toxicity_models_with_cutoff_sum_to_one_and_smooth_rare_expressions(spark):
+    import math
+    from collections import Counter
+
+    rows = [*class_texts(), *((f"foul w3 w{k}", 1) for k in range(20)), ("rare w1 foul", 1), ("w2 scarce", 0)]
+    size = (41, 41)
+    times = [Counter(x for t, y in rows if y == c for x in set(bigrams(t))) for c in (0, 1)]
+    held = [Counter(w for t, y in rows if y == c for w in set(toxicity.WORD.findall(t))) for c in (0, 1)]
+    o, t = (Textbook(times[c], set(times[0]) | set(times[1])) for c in (0, 1))
+
+    def stays(n, c, x, least=toxicity.TEXTS):  # the cutoff, from its definition
+        scaled = [n[k][x] * min(size) / size[k] for k in (0, 1)]
+        return n[c][x] > 0 and scaled[c] >= max(least, toxicity.SHARE * min(size)) + toxicity.TIMES * scaled[1 - c]
+
+    def chance(m, c, v, w):
+        n = sum(m.before.values())
+        own = {x: (k - m.d) / n for x, k in m.before.items() if stays(held, c, x)}
+        lower = own.get(w, 0) + (1 - sum(own.values())) * m.lowest(w)
+        after = {x: (k - m.d) / sum(m.after[v].values()) for x, k in m.after.get(v, {}).items() if stays(times, c, (v, x), toxicity.PAIR_TEXTS)}
+        return after.get(w, 0) + (1 - sum(after.values())) * lower
+
+    words = {*o.shared, "never seen"}
+    assert all(abs(sum(chance(m, c, v, w) for w in words) - 1) < 1e-9 for c, m in ((0, o), (1, t)) for v in ("", "foul", "w3"))
+    counts = toxicity.counted(spark.createDataFrame([(x, y, 0) for x, y in rows], "text string, toxic int, half int"))
+    first, second, both = toxicity.models(counts, {(0, 0): 41, (1, 0): 41})
+    assert second is None and first.word["foul"] > 0.5 and not {"rare", "scarce"} & set(both.word) and both.pair
+    for text in [rows[0][0], "w1 w2 foul " * 3, "rare scarce never seen", "foul foul w3 foul"]:
+        want = sum(math.log(chance(t, 1, v, w) / chance(o, 0, v, w)) for v, w in bigrams(text)) / len(bigrams(text))
+        assert abs(toxicity.evidence(both, [text])[0] - 100 * want) < 1e-9
     both.slope = 0.5
     texts = ["w1 w2 " * 10, "w1 w2 foul " * 3 + "w1 " * 11, "foul " * 20, ""]
-    x = toxicity.evidence(toxicity.Model(both.word, {}), texts)
-    assert abs(x[1] - 100 * sum(want[w] for w in texts[1].split()) / 20) < 1e-9
-    docs = documents(spark, list(enumerate(texts)))
-    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, both).collect()}
-    assert score[0] < score[1] < score[2] and score[0] >= 0 and abs(score[3] - 0.5) < 1e-9
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(documents(spark, list(enumerate(texts))), both).collect()}
+    assert score[0] < score[1] < score[2] and score[0] >= 0 and score[3] < 0.5
+
+
+def test_toxicity_slope_and_empty_tables(spark):
     assert toxicity.logistic(np.array([1.0, 2, 3, 0]), np.array([0.0, 0, 0, 1]))[1] == toxicity.SLOPE
     assert toxicity.query(documents(spark, []), spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 0
 
