@@ -1,20 +1,33 @@
-"""Ordered-stream analytics: packet sequences, bursts, overlaps, message histories."""
+"""Ordered-stream analytics: packet sequences, bursts, overlaps, message histories.
+
+What runs along a flow goes through `scan`, so that a flow (or user, or call) of very many rows is cut into pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belltower.operators.scan import MOST, PIECE, counted, last, pieced, previous, running, scanned
+
+
+def beside(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of told, which has at most one row for each key; a null key is a key."""
+    return rows.join(told.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
-def in_order(key: str, *order: str) -> Window:
-    return Window.partitionBy(key).orderBy(*order)
 
+def with_previous(rows: DataFrame, key: str, values: dict[str, str | Column], order: tuple[str, ...], most: int = MOST) -> DataFrame:
+    """rows and, by name, what a value was in the row before; null in a flow's first row."""
+    found = scanned(pieced(rows, key, order[0], most), key, order, {n: previous(F.col(c) if isinstance(c, str) else c) for n, c in values.items()})
+    return found.select(*(c for c in found.columns if c not in values), *(F.col(n)["v"].alias(n) for n in values))
 
-def unwrapped(packets: DataFrame, key: str, seq: str, *order: str, modulus: int = 65536, jump: int = 30000) -> DataFrame:
+
+def unwrapped(packets: DataFrame, key: str, seq: str, *order: str, modulus: int = 65536, jump: int = 30000, most: int = MOST) -> DataFrame:
     """`extended`: the sequence number plus a turn of the counter for every fall of more than `jump`."""
-    w = in_order(key, *order)
-    wrap = (F.lag(seq).over(w) - F.col(seq) > jump).cast("long")
-    return packets.withColumn("__wrap", F.coalesce(wrap, F.lit(0))).withColumn("extended", F.col(seq) + modulus * F.sum("__wrap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__wrap")
+    names = packets.columns
+    p = with_previous(packets, key, {"__before": seq}, order, most)
+    p = scanned(p, key, order, {"__turns": counted(F.coalesce(F.col("__before") - F.col(seq) > jump, F.lit(False)))})
+    return p.select(*names, (F.col(seq) + modulus * F.col("__turns")).alias("extended"))
 
 
 def loss(packets: DataFrame, key: str, seq: str) -> DataFrame:
@@ -25,29 +38,32 @@ def loss(packets: DataFrame, key: str, seq: str) -> DataFrame:
     return out.select(key, "expected", "received", lost.alias("lost"), F.round(100 * lost / F.col("expected"), 3).alias("loss_percent"), (F.col("n") - F.col("received")).alias("duplicates"))
 
 
-def reordered(packets: DataFrame, key: str, seq: str, *order: str) -> DataFrame:
+def reordered(packets: DataFrame, key: str, seq: str, *order: str, most: int = MOST) -> DataFrame:
     """How often a packet's number is below that of the one before."""
-    falls = packets.select(key, (F.col(seq) < F.lag(seq).over(in_order(key, *order))).alias("f"))
-    return falls.groupBy(key).agg(F.count_if("f").alias("reordered"))
+    falls = with_previous(packets, key, {"__before": seq}, order, most)
+    return falls.groupBy(key).agg(F.count_if(F.col(seq) < F.col("__before")).alias("reordered"))
 
 
-def timestamp_steps(packets: DataFrame, key: str, stamp: str, *order: str, usual: int = 160) -> DataFrame:
+def timestamp_steps(packets: DataFrame, key: str, stamp: str, *order: str, usual: int = 160, most: int = MOST) -> DataFrame:
     """Share of usual steps between media timestamps (modulo 2**32), and the first eight other steps."""
-    step = F.col(stamp) - F.lag(stamp).over(in_order(key, *order))
-    d = packets.select(key, F.pmod(step, F.lit(1 << 32)).alias("step")).where("step IS NOT NULL")
-    other = F.sort_array(F.collect_set(F.when(F.col("step") != usual, F.col("step"))))
-    return d.groupBy(key).agg(F.round(100 * F.avg((F.col("step") == usual).cast("double")), 1).alias("usual_percent"), F.slice(other, 1, 8).alias("other_steps"))
+    step = F.col(stamp) - F.col("__before")
+    d = with_previous(packets, key, {"__before": stamp}, order, most).select(key, F.pmod(step, F.lit(1 << 32)).alias("step")).where("step IS NOT NULL")
+    # steps of one size are counted first, so that few rows of a flow meet
+    sizes = d.groupBy(key, "step").agg(F.count("*").alias("n")).withColumn("other", F.col("step") != usual)
+    first = sizes.where("other").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("step"))).where("r <= 8").groupBy(key).agg(F.sort_array(F.collect_list("step")).alias("other_steps"))
+    shares = sizes.groupBy(key).agg(F.round(100 * F.sum(F.when(F.col("other"), 0).otherwise(F.col("n"))) / F.sum("n"), 1).alias("usual_percent"))
+    return beside(shares, first, key).select(key, "usual_percent", F.coalesce("other_steps", F.array().cast("array<long>")).alias("other_steps"))
 
 
-def pacing(packets: DataFrame, key: str, seconds: Column, *order: str) -> DataFrame:
+def pacing(packets: DataFrame, key: str, seconds: Column, *order: str, most: int = MOST) -> DataFrame:
     """Median, 95th percentile and maximum of the milliseconds between arrivals."""
-    p = packets.withColumn("__t", seconds)
-    gap = (F.col("__t") - F.lag("__t").over(in_order(key, *order))) * 1000
-    g = p.select(key, gap.alias("gap")).where("gap IS NOT NULL")
-    return g.groupBy(key).agg(F.round(F.percentile("gap", 0.5), 2).alias("median"), F.round(F.percentile("gap", 0.95), 2).alias("p95"), F.round(F.max("gap"), 1).alias("maximum"))
+    p = with_previous(packets.withColumn("__t", seconds), key, {"__before": "__t"}, order, most)
+    g = p.select(key, ((F.col("__t") - F.col("__before")) * 1000).alias("gap")).where("gap IS NOT NULL")
+    found = quantiles(g, key, "gap", {"median": 0.5, "p95": 0.95, "maximum": 1.0})
+    return found.select(key, F.round("median", 2).alias("median"), F.round("p95", 2).alias("p95"), F.round("maximum", 1).alias("maximum"))
 
 
-def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int = 8000, run: int = 4096) -> DataFrame:
+def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int = 8000, run: int = 4096, most: int = MOST) -> DataFrame:
     """Final and greatest interarrival jitter in ms: j += (|d| - j) / 16 over the packets of a flow in time order.
 
     A flow is cut into runs of at most `run` packets. A run takes j to (15/16)**n j + e, whatever
@@ -55,9 +71,10 @@ def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int
     so no flow need be held in one place but for one number for each of its runs.
     """
     p = packets.select(key, seconds.alias("__t"), F.col(stamp).cast("double").alias("__s"))
-    w = in_order(key, "__t", "__s")
-    d = F.abs((F.col("__t") - F.lag("__t").over(w)) * clock - F.pmod(F.col("__s") - F.lag("__s").over(w), F.lit(float(1 << 32))))
-    p = p.select(key, d.alias("d"), F.row_number().over(w).alias("i"))
+    order = ("__t", "__s")
+    p = scanned(with_previous(p, key, {"__bt": "__t", "__bs": "__s"}, order, most), key, order, {"i": running(F.lit(1))})
+    d = F.abs((F.col("__t") - F.col("__bt")) * clock - F.pmod(F.col("__s") - F.col("__bs"), F.lit(float(1 << 32))))
+    p = p.select(key, d.alias("d"), "i")
     runs = p.groupBy(key, F.floor((F.col("i") - 1) / run).alias("run")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("d"))
 
     def steps(start: Column) -> Column:
@@ -80,27 +97,26 @@ def jitter(packets: DataFrame, key: str, seconds: Column, stamp: str, clock: int
 
 def type_histogram(packets: DataFrame, key: str, kind: str, seconds: Column) -> DataFrame:
     """Packets of every type, with first and last second since the flow began."""
-    p = packets.withColumn("__t", seconds)
-    begun = p.withColumn("__t", F.col("__t") - F.min("__t").over(Window.partitionBy(key)))
-    return begun.groupBy(key, kind).agg(F.count("*").alias("packets"), F.round(F.min("__t"), 2).alias("first_s"), F.round(F.max("__t"), 2).alias("last_s"))
+    each = packets.withColumn("__t", seconds).groupBy(key, kind).agg(F.count("*").alias("packets"), F.min("__t").alias("a"), F.max("__t").alias("b"))
+    begun = F.min("a").over(Window.partitionBy(key))  # over a row for each type
+    return each.select(key, kind, "packets", F.round(F.col("a") - begun, 2).alias("first_s"), F.round(F.col("b") - begun, 2).alias("last_s"))
 
 
 def size_histogram(packets: DataFrame, key: str, size: Column) -> DataFrame:
     return packets.groupBy(key, size.alias("size")).agg(F.count("*").alias("packets"))
 
 
-def bursts(packets: DataFrame, key: str, t: str, min_gap: float) -> DataFrame:
+def bursts(packets: DataFrame, key: str, t: str, min_gap: float, most: int = MOST) -> DataFrame:
     """Runs of packets; one begins where the gap is at least min_gap (an equal gap separates)."""
-    w = in_order(key, t)
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) >= min_gap).cast("long"), F.lit(0))
-    marked = packets.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w))
+    p = with_previous(packets.select(key, t), key, {"__before": t}, (t,), most)
+    marked = scanned(p, key, (t,), {"burst": counted(F.coalesce(F.col(t) - F.col("__before") >= min_gap, F.lit(False)))})
     return marked.groupBy(key, "burst").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("packets"))
 
 
-def burst_gaps(found: DataFrame, key: str) -> DataFrame:
+def burst_gaps(found: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """Milliseconds from the end of each burst to the next's start."""
-    w = in_order(key, "start")
-    return found.select(key, "burst", F.round((F.col("start") - F.lag("end").over(w)) * 1000, 3).alias("gap_ms")).where("gap_ms IS NOT NULL")
+    g = with_previous(found, key, {"__end": "end"}, ("start",), most)
+    return g.select(key, "burst", F.round((F.col("start") - F.col("__end")) * 1000, 3).alias("gap_ms")).where("gap_ms IS NOT NULL")
 
 
 def near_any(left: DataFrame, right: DataFrame, key: str, t: str, within: float) -> DataFrame:
@@ -112,24 +128,24 @@ def near_any(left: DataFrame, right: DataFrame, key: str, t: str, within: float)
     return hit.drop("__cell").distinct()
 
 
-def talk_over(packets: DataFrame, talks: DataFrame, key: str, delay: float = 0.5, seconds: float = 0.02) -> DataFrame:
+def talk_over(packets: DataFrame, talks: DataFrame, key: str, delay: float = 0.5, seconds: float = 0.02, most: int = MOST) -> DataFrame:
     """Seconds of packets after a talk's start plus delay and up to its end: packets and both ends of the talks are merged in order, and the running counts at the ends are subtracted, so nothing is joined row by row."""
     none = F.lit(None).cast("double")
     p = packets.select(key, F.col("t").alias("__t"), F.lit(0).alias("__sign"), none.alias("talk_start"))
     ends = talks.select(key, "talk_start", F.explode(F.array(F.struct((F.col("talk_start") + delay).alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("talk_end").alias("t"), F.lit(1).alias("sign")))).alias("e"))
     both = p.unionByName(ends.select(key, F.col("e.t").alias("__t"), F.col("e.sign").alias("__sign"), "talk_start"))
-    w = Window.partitionBy(key).orderBy("__t", F.abs("__sign")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("__n", F.count_if(F.col("__sign") == 0).over(w)).where("__sign <> 0")
-    found = counted.groupBy(key, "talk_start").agg(F.sum(F.col("__n") * F.col("__sign")).alias("packets")).where("packets > 0")
+    both = both.withColumn("__end", F.abs("__sign"))
+    counts = scanned(pieced(both, key, "__t", most), key, ("__t", "__end"), {"__n": counted(F.col("__sign") == 0)}).where("__sign <> 0")
+    found = counts.groupBy(key, "talk_start").agg(F.sum(F.col("__n") * F.col("__sign")).alias("packets")).where("packets > 0")
     return found.select(key, "talk_start", "packets", F.round(F.col("packets") * seconds, 2).alias("overlap_s"))
 
 
-def first_after(anchors: DataFrame, stages: DataFrame, key: str, anchor: str, t: str) -> DataFrame:
+def first_after(anchors: DataFrame, stages: DataFrame, key: str, anchor: str, t: str, most: int = MOST) -> DataFrame:
     """For every anchor the first stage time at or after it: both are merged in order and the next stage time is carried back, so nothing is joined row by row."""
     a = anchors.select(key, F.col(anchor).alias("__t"), F.lit(0).alias("__stage"))
     s = stages.select(key, F.col(t).alias("__t"), F.lit(1).alias("__stage"))
-    w = Window.partitionBy(key).orderBy("__t", "__stage").rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(s).withColumn("first_after", F.first(F.when(F.col("__stage") == 1, F.col("__t")), ignorenulls=True).over(w))
+    both = pieced(a.unionByName(s), key, "__t", most)
+    both = scanned(both, key, ("__t", "__stage"), {"first_after": last(F.when(F.col("__stage") == 1, F.col("__t")), before=False)}, backwards=True)
     return both.where("__stage = 0").select(key, F.col("__t").alias(anchor), "first_after")
 
 
@@ -146,6 +162,22 @@ def worst_between(intervals: DataFrame, samples: DataFrame, key: str, cell: floa
     return intervals.join(worst, [key, "a", "b"], "left").select(key, "a", "b", "worst")
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value by key, between neighbours as SQL has them, with no key's values in one place: equal values are counted, running counts tell places, and the neighbours of each wanted place are taken out. Nulls don't count."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
+    each = scanned(pieced(each, key, value), key, (value,), {"__to": running(F.col("__n"))})
+    total = each.groupBy(key).agg(F.max("__to").alias("__all"))
+    both = beside(each, total, key)
+    found = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("__all") - 1)
+        first, next_ = F.floor(at), F.ceil(at)
+        holds = lambda place: (F.col("__to") > place) & (F.col("__to") - F.col("__n") <= place)
+        a, b = F.max(F.when(holds(first), F.col(value))), F.max(F.when(holds(next_), F.col(value)))
+        found.append((a + (b - a) * F.max(at - first)).alias(name))
+    return both.groupBy(key).agg(*found)
+
+
 def bounded_history(messages: DataFrame, key: str, order: str, n: int, roles: tuple[str, ...]) -> DataFrame:
     """The last n messages (all if n is not positive), then of these the ones of the roles with text."""
     if n > 0:
@@ -154,27 +186,28 @@ def bounded_history(messages: DataFrame, key: str, order: str, n: int, roles: tu
     return messages.where(F.col("role").isin(*roles) & (F.coalesce(F.trim("text"), F.lit("")) != ""))
 
 
-def turn_numbers(messages: DataFrame, key: str, order: str, role: str) -> DataFrame:
+def turn_numbers(messages: DataFrame, key: str, order: str, role: str, most: int = MOST) -> DataFrame:
     """One plus the messages of the role before."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("turn_number", 1 + F.coalesce(F.count_if(F.col("role") == role).over(w), F.lit(0)))
+    m = scanned(pieced(messages, key, order, most), key, (order,), {"turn_number": counted(F.col("role") == role, before=True)})
+    return m.select(*messages.columns, (1 + F.coalesce("turn_number", F.lit(0))).alias("turn_number"))
 
 
-def carried_subject(messages: DataFrame, key: str, order: str, subject: Column, words: Column, text: str = "text", least_words: int = 2) -> DataFrame:
+def carried_subject(messages: DataFrame, key: str, order: str, subject: Column, words: Column, text: str = "text", least_words: int = 2, most: int = MOST) -> DataFrame:
     """A message of at most so many words without a subject is prefixed with the last subject named before, else the last longer message, else the last one."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    m = messages.withColumn("__s", subject).withColumn("__w", words)
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    earlier = F.coalesce(last(F.col("__s")), last(F.when(F.col("__w") > least_words, F.col(text))), last(F.col(text)))
+    m = pieced(messages.withColumn("__s", subject).withColumn("__w", words), key, order, most)
+    m = scanned(m, key, (order,), {"__1": last(F.col("__s")), "__2": last(F.when(F.col("__w") > least_words, F.col(text))), "__3": last(F.col(text))})
+    earlier = F.coalesce("__1", "__2", "__3")
     stand = F.col("__s").isNotNull() | (F.col("__w") > least_words) | earlier.isNull()
-    return m.withColumn("retrieval_query", F.when(stand, F.col(text)).otherwise(F.concat_ws(" ", earlier, F.col(text)))).drop("__s", "__w")
+    return m.select(*messages.columns, F.when(stand, F.col(text)).otherwise(F.concat_ws(" ", earlier, F.col(text))).alias("retrieval_query"))
 
 
-def failure_runs(rows: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
-    """`failures`: consecutive failures up to each row, back to 0 at a success."""
-    w = in_order(key, order)
-    r = rows.withColumn("__ok", ok).withColumn("__run", F.count_if("__ok").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.withColumn("failures", F.count_if(~F.col("__ok")).over(Window.partitionBy(key, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).drop("__ok", "__run")
+def failure_runs(rows: DataFrame, key: str, order: str, ok: Column, most: int = MOST) -> DataFrame:
+    """`failures`: consecutive failures up to each row, back to 0 at a success. Keeps the number of a row's piece, if `rows` has one."""
+    r = rows if PIECE in rows.columns else pieced(rows, key, order, most)
+    r = scanned(r.withColumn("__ok", ok), key, (order,), {"__all": counted(~F.col("__ok"))})
+    # failures since the last success are all so far less those up to it
+    r = scanned(r, key, (order,), {"__then": last(F.when(F.col("__ok"), F.col("__all")), before=False)})
+    return r.withColumn("failures", F.col("__all") - F.coalesce("__then", F.lit(0))).drop("__ok", "__all", "__then", *([] if PIECE in rows.columns else [PIECE]))
 
 
 def large_flows(packets: DataFrame, key: str, t: str, least: int = 20) -> DataFrame:
