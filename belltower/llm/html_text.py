@@ -84,12 +84,16 @@ def parse(page: str) -> list[Node]:
     """The page's elements in their order, the root first: parents come before their children. Never fails, and takes time in proportion to the page."""
     nodes = [Node("#root", "", ROOT, -1, -1)]
     stack, opened, endless, at, n = [0], Counter(), set(), 0, len(page)
+    # places in the stack that a tag that opens can close or must stop at; only a few are ever passed
+    marks: list[int] = []
     ends = {}
 
     def close(k: int) -> None:
         for i in stack[k:]:
             opened[nodes[i].tag] -= 1
         del stack[k:]
+        while marks and marks[-1] >= k:
+            marks.pop()
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -111,7 +115,7 @@ def parse(page: str) -> list[Node]:
             values = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(m[3])}
             names = " ".join(values[a] for a in ("class", "id", "role") if values.get(a))
             if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in reversed(marks):
                     tag = nodes[stack[k]].tag
                     if tag in CLOSES[name]:
                         close(k)
@@ -135,6 +139,8 @@ def parse(page: str) -> list[Node]:
                     nodes[-1].children.append(page[at : end.start()])
                     at = end.end()
             elif name not in VOID and not m[3].rstrip().endswith("/"):
+                if name in BLOCK or name == "option":
+                    marks.append(len(stack))
                 stack.append(len(nodes) - 1)
                 opened[name] += 1
     summed(nodes)

@@ -12,8 +12,9 @@ scored whole: windows of steps, with the state carried from window to window.
 Counting: words outside a bounded list of frequent ones go as (word hash, row, times)
 through one shuffle by word hash; each task adds up its words and sends back its sums for
 the rows, packed by row hash, and a second shuffle adds these. Frequent words are summed
-inside the tasks first, so that none is a hot key. The list is taken from a part of the
-texts: it decides which way a word is counted, and no result depends on it.
+inside the tasks first, so that none is a hot key. Their list comes from bounded summaries
+of all training texts, one for each task, that are added up: every word of more than one in
+FREQUENT tokens is in it, and with it every word that can have a symbol in such a corpus.
 
 Cases: a null or empty text is one end token; a null doc_id is a training text; repeated
 rows count each and get equal results; an empty table gives an empty result; ties in
@@ -38,11 +39,7 @@ from pyspark.sql import functions as F
 
 from belltower.llm.common import partitions, settled, slices, utf8
 
-#: About how many texts the list of frequent words is taken from.
-LISTED_TEXTS = 2000
-#: Values of the hash that these texts are taken by.
-PLACES = 1 << 40
-#: Words with a symbol of their own; words counted inside the tasks.
+#: Words with a symbol of their own; words counted inside the tasks, which is also what a task's summary of words holds at least.
 VOCABULARY, FREQUENT = 2000, 60_000
 HIDDEN, CLASSES = 24, 40
 STREAMS, STEPS = 256, 32
@@ -305,18 +302,29 @@ def log_likelihoods(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     return out / np.log(10)
 
 
-def hot_words(docs: DataFrame, n_train: int) -> list[bytes]:
-    """The FREQUENT most frequent words of a part of the training texts."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) < F.lit(min(PLACES, -(-LISTED_TEXTS * PLACES // max(n_train, 1))))
+def shortened(counts: Counter, size: int) -> Counter:
+    """The `size` most frequent, less what the next one has, so that a word of more than one in `size` of all tokens is never lost."""
+    first = counts.most_common(size + 1)
+    cut = first[size][1] if len(first) > size else 0
+    return Counter({w: n - cut for w, n in first[:size] if n > cut})
+
+
+def hot_words(docs: DataFrame, size: int = FREQUENT) -> list[bytes]:
+    """The frequent words of all training texts, by their counts in the tasks' summaries; ties by bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[bytes] = Counter()
         for b in batches:
             for some in slices(b):
-                n = Counter(w for t in utf8(some.column("text")) for w in t.lower().split())
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+                for t in utf8(some.column("text")):
+                    n.update(t.lower().split())
+                if len(n) > 8 * size:
+                    n = shortened(n, size)
+        n = shortened(n, size)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.where(~held_out() & part).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    counts = docs.where(~held_out()).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def fitted(encoded: DataFrame, net: Network) -> Network:
@@ -450,7 +458,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     n_train = docs.where(~held_out()).count()
-    frequent = {w: i for i, w in enumerate(hot_words(docs, n_train))}
+    frequent = {w: i for i, w in enumerate(hot_words(docs))}
     table = counted(docs, frequent)
     c = np.zeros(len(frequent))
     for r in table.where("kind = 1").groupBy("id").agg(F.sum("known").alias("n")).collect():  # at most FREQUENT rows

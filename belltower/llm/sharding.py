@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belltower.llm.common import partitions, settled
+from belltower.llm.common import fresh, partitions, settled
 
 BITS = 5
 #: Groups above this part of a shard's bytes, or of this part of all rows, are placed one by one: at most shards / LARGE + 1 / MANY groups, with at least SOME rows each in the latter case.
@@ -119,11 +119,11 @@ def placed(large: list, before: dict[int, int], target: float, shards: int) -> t
     return out, [max(x, 0.0) for x in room]
 
 
-def assigned(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of every row."""
+def assigned(docs: DataFrame, shards: int = 16, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard and slot of every row; more: also row_key, a hash of its id and text."""
     spark, group = docs.sparkSession, ["key", "text_crc32", "size"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = settled(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
+    rows = settled(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *([F.xxhash64("doc_id", "text").alias("row_key")] if more else [])))
     # one point for each group of equal texts; partial sums keep a large group from meeting in one task
     groups = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     points = groups.withColumn("a", quantised(F.col("lang"))).withColumn("b", quantised(F.col("source"))).withColumn("c", levels(F.col("size"))).select(*group, "n", "a", "b", "c")
@@ -142,10 +142,10 @@ def assigned(docs: DataFrame, shards: int = 16) -> DataFrame:
     run = settled(run.withColumn("shard", F.least(F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c <= middle)), F.lit(shards - 1))))
     heads = {r["shard"]: r for r in run.groupBy("shard").agg(F.min("row").alias("first"), F.sum("n").alias("n")).collect()}
     first = spark.createDataFrame([(s, r["first"]) for s, r in heads.items()], "shard int, first long")
-    small = rows.select("doc_id", *group).join(run.join(F.broadcast(first), "shard"), group)
+    small = rows.select("doc_id", *group, *more).join(run.join(F.broadcast(first), "shard"), group)
     # groups of one row need no order, and the others here are of a bounded number of rows
     index = F.when(F.col("n") > 1, F.row_number().over(Window.partitionBy(*group).orderBy("doc_id")) - 1).otherwise(0)
-    small = small.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("row") - F.col("first") + index).alias("slot"))
+    small = small.select("doc_id", "size", "text_crc32", *more, "curve", "shard", (F.col("row") - F.col("first") + index).alias("slot"))
     if not large:
         return small
     names = F.broadcast(spark.createDataFrame([(r["key"], r["text_crc32"], r["size"], r["curve"], i) for i, r in enumerate(large)], "key long, text_crc32 long, size long, curve long, number int"))
@@ -155,9 +155,9 @@ def assigned(docs: DataFrame, shards: int = 16) -> DataFrame:
         slots.append((i, start, start + n, s, used.get(s, 0)))
         used[s] = used.get(s, 0) + n
     where = F.broadcast(spark.createDataFrame(slots, "number int, start long, stop long, shard int, base long"))
-    numbered = ordered(rows.join(names, group).select("doc_id", "size", "text_crc32", "curve", "number"), ["doc_id"], {"index": F.lit(1)}, "number")
+    numbered = ordered(rows.join(names, group).select("doc_id", "size", "text_crc32", *more, "curve", "number"), ["doc_id"], {"index": F.lit(1)}, "number")
     told = numbered.join(where, "number").where((F.col("index") >= F.col("start")) & (F.col("index") < F.col("stop")))
-    return small.unionByName(told.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("base") + F.col("index") - F.col("start")).alias("slot")))
+    return small.unionByName(told.select("doc_id", "size", "text_crc32", *more, "curve", "shard", (F.col("base") + F.col("index") - F.col("start")).alias("slot")))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,14 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Writes docs as one folder for each shard, rows in curve order, each in as many files as ranges of slots, so that readers prune folders and files by lang, source and size."""
-    at = assigned(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    rows = docs.join(at, (docs["doc_id"].eqNullSafe(at["__id"])) & (F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == at["__crc"])).drop("__id", "__crc")
-    rows.repartitionByRange(max(shards, partitions(docs.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes docs with all their columns as one folder for each shard, rows in curve order, each in as many files as ranges of slots, so that readers prune folders and files by lang, source and size.
+
+    The folders' column is called shard, or the next free name if docs has that. Rows of one id
+    and text are alike to the curve: they go to the shard and slot of one of them.
+    """
+    names = docs.columns
+    key, shard, slot = (fresh(names, n) for n in ("__key", "shard", "__slot"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    at = assigned(docs, shards, ("row_key",)).groupBy(F.col("row_key").alias(key)).agg(F.min(F.struct("shard", "slot")).alias("p")).select(key, F.col("p.shard").alias(shard), F.col("p.slot").alias(slot))
+    rows = keyed.join(at, key).drop(key)
+    rows.repartitionByRange(max(shards, partitions(docs.sparkSession)), shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)

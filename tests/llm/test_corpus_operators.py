@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from belltower.llm import decontaminate, graph, html_text, jaccard, line_dedup
+from belltower.llm import decontaminate, graph, html_text, jaccard, line_dedup, sharding
 from tests.llm.helpers import BASE, HARD, documents
 
 
@@ -352,6 +352,32 @@ def test_deep_and_hostile_pages(spark):
     assert out[1] == "deep text" and out[3].startswith("x") and out[4].count("a") == 9000 and out[5].endswith("y" * 300_000) and out[5].startswith("\U0001F600 & &nosuch;")
 
 
+def test_parsing_takes_time_in_proportion_to_the_page():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        html_text.parse(page)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<b>" * n + "<p></p>" * n, lambda n: "<li><ul>" + "<b>" * n + "<li></li>" * n, lambda n: "<table><tr><td>" + "<i>" * n + "<p><option>" * n):
+        took(make(1000))
+        assert took(make(16_000)) < 12 * took(make(4000)) + 0.2
+    nodes = html_text.parse("<ul><li>a<b>x<li>b</ul><p>c<i>d<div>e<dl><dt>f<dd>g<dt>h")
+    up = [(n.tag, nodes[n.up].tag if n.up >= 0 else "") for n in nodes[1:]]
+    assert up == [("ul", "#root"), ("li", "ul"), ("b", "li"), ("li", "ul"), ("p", "#root"), ("i", "p"), ("div", "#root"), ("dl", "div"), ("dt", "dl"), ("dd", "dl"), ("dt", "dl")]
+
+
+def test_shards_are_written_whole_beside_columns_that_clash(spark, tmp_path):
+    rows = [(i, f"text {i % 9} " * (i % 5 + 1), "en", f"s{i % 3}", "mine", i, "x") for i in range(120)] + [(7, None, None, None, "mine", 1, "y"), (7, None, None, None, "mine", 2, "z"), (None, "no id", "en", "s", "mine", 3, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard string, slot int, __id string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "shard_"}
+    assert sorted(map(tuple, back.select(*docs.columns).collect()), key=str) == sorted(rows, key=str)
+    assert back.select("shard_").distinct().count() == 4
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(21)
     rows = near_rows()[:60] + [(500, BASE + " one two three"), (501, "clean text " + " ".join(f"u{k}" for k in range(30))), (502, None), (503, "")]

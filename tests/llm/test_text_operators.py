@@ -234,6 +234,17 @@ def test_toxicity_slope_and_empty_tables(spark):
     assert toxicity.query(documents(spark, []), spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_frequent_words_come_from_all_training_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc"]) if rng.random() < 0.5 else f"x{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(300)]
+    found = language_model.hot_words(documents(spark, list(enumerate(texts))).repartition(7), 20)
+    assert set(found[:3]) == {b"aa", b"bb", b"cc"} and len(found) <= 20
+    from collections import Counter
+
+    kept = language_model.shortened(Counter({b"a": 9, b"b": 5, b"c": 5, b"d": 1}), 2)
+    assert kept == Counter({b"a": 4}) and language_model.shortened(Counter({b"a": 2}), 5) == Counter({b"a": 2})
+
+
 def test_language_model_base_and_normalisation(spark):
     docs = documents(spark, HARD + [(k, f"alpha beta gamma{k % 3} delta.") for k in range(30, 60)])
     out = language_model.scored(docs).collect()
