@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from belltower.llm.common import by_batch, sha256, texts
+from belltower.llm.common import by_batch, keeps, sha256, texts
 
 #: Fixed values of the vocabulary file's own pre-tokenizer: contractions, words, numbers, other signs, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,7 +127,8 @@ class Codec:
 
 @cache
 def codec(path: str) -> Codec:
-    """One codec for each worker process and file."""
+    """One codec for each worker process and file, until the process works for another operator."""
+    keeps("bpe", codec.cache_clear)
     return Codec(path)
 
 
@@ -141,7 +142,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     kept = docs.select(*dict.fromkeys((*keep, text)))
     types = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keep)
-    return by_batch(kept, f, f"{types}, ids array<int>, decoded string")
+    return by_batch(kept, f, f"{types}, ids array<int>, decoded string", "bpe")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -157,4 +158,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             of_text.append(sha256(c.decode(ids).encode()))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return by_batch(docs.select("doc_id", "text"), f, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_batch(docs.select("doc_id", "text"), f, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")

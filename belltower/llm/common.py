@@ -31,10 +31,26 @@ def slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, rows)
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies f to the rows in Arrow batches of a few hundred."""
+#: What this worker process keeps between tasks, by operator: how it is let go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """Says that this process keeps memory for the tasks of an operator."""
+    _KEPT[operator] = forget
+
+
+def lets_go(operator: str | None = None) -> None:
+    """Lets go of what this process keeps for other operators than the one whose task begins."""
+    for name in [n for n in _KEPT if n != operator]:
+        _KEPT.pop(name)()
+
+
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, operator: str | None = None) -> DataFrame:
+    """Applies f to the rows in Arrow batches of a few hundred. operator: whose kept memory f uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lets_go(operator)
         for b in batches:
             for part in slices(b):
                 if (out := f(part)) is not None and out.num_rows:

@@ -42,6 +42,16 @@ def test_bpe_query_and_general_form(spark):
     assert bpe.digest(documents(spark, []), PATH).count() == 0
 
 
+def test_a_worker_lets_go_of_what_other_operators_keep():
+    from belltower.llm import common
+
+    bpe.codec(PATH).encode("some words")
+    common.lets_go("bpe")
+    assert bpe.codec(PATH).known
+    common.lets_go()
+    assert not bpe.codec(PATH).known
+
+
 def test_netpbm_and_bmp_round_trips():
     rng = np.random.default_rng(2)
     g = rng.integers(0, 256, (5, 7), dtype=np.uint8)
