@@ -9,7 +9,7 @@ from belltower.functions import speech
 from belltower.functions import text as T
 from belltower.functions.chunking import chunk_column
 from belltower.operators import lexical as L
-from belltower.operators import vectors
+from belltower.operators import impacts, vectors
 from belltower.operators.directory import named_centres
 from belltower.sources.tables import table
 
@@ -58,6 +58,12 @@ def both_channels(s: SparkSession, d: str) -> DataFrame:
     return L.fused(matched(v, s, d), x.select("query_id", "chunk_id", "coverage"), 0.3, 4)
 
 
+def turns(s: SparkSession, d: str) -> DataFrame:
+    """The words of every message, as a query of its own."""
+    t = table(s, d, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"), F.explode(F.split(T.canonical(F.col("text"), F.lower), " ")).alias("w"))
+    return t.where((F.length("w") > 1) & ~F.col("w").isin(*STOP)).select("query_id", T.stem(F.col("w")).alias("term")).distinct()
+
+
 def lexical_candidates(s: SparkSession, d: str) -> DataFrame:
     """Documents that hold a word of a query item, those nearest to it first."""
     ix = index(s, d)
@@ -105,6 +111,7 @@ QUERIES = {
     "bm25_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s)),
     "intent_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s), L.asked_for(intents(s, d), "[aeiouAEIOU]th", ("this", "that"))),
     "topic_words": lambda s, d: table(s, d, "benchmark").select("item_id", T.topic_words(F.col("text"), SUBJECT, F.lower).alias("w")).select("item_id", (F.size("w") > 0).alias("named"), F.array_join("w", " ").alias("words")),
+    "turn_search": lambda s, d: impacts.search_many(index(s, d), turns(s, d), 4, 0.34, synonyms(s)),
     "hybrid_search": both_channels,
     "lexical_candidates": lexical_candidates,
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.alias_terms(F.col("text"), STOP, MARKERS, ALIASES, F.lower), ",").alias("terms")),
@@ -135,6 +142,8 @@ ev AS (SELECT q.query_id, q.term, coalesce(base, unseen) AS base FROM q JOIN un
 pt AS (SELECT query_id, chunk_id, e.term, sum(weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average))) AS s, max(weight) AS w FROM e JOIN po ON po.term = variant, tot GROUP BY ALL),
 sc AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(base * w) / any_value(whole), 1.0), 6) AS coverage FROM pt JOIN ev USING (query_id, term) JOIN wh USING (query_id) GROUP BY ALL),
 lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sc WHERE coverage >= 0.34) WHERE rank <= 4)"""
+#: The same for the words of every message.
+TURNS = BM25.replace(f"qt AS (SELECT item_id AS query_id, {_terms('text')} AS t FROM benchmark WHERE item_id % {QUESTIONS} = 0), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt)", f"q AS (SELECT DISTINCT conv_id * 10000 + turn AS query_id, unnest({_terms('text')}) AS term FROM conversations)")
 NAMES = ", ".join(f"({o}, '{n}', '{x}')" for o, x0, n, more in CENTRES for x in (x0, *(more or ())))
 ORACLE_SQL = {
     "centre_match": rf"""WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS f FROM documents), h AS (SELECT DISTINCT doc_id, ordinal::INTEGER AS ordinal, name FROM f JOIN (VALUES {NAMES}) v(ordinal, name, x) ON contains(f, ' ' || x || ' '))
@@ -156,6 +165,7 @@ SELECT conv_id, nullif(coalesce(string_agg(CASE WHEN before + len(e) <= 700 THEN
 p2 AS (SELECT query_id, chunk_id, s, base * w AS c FROM pt JOIN ev USING (query_id, term) UNION ALL SELECT query_id, chunk_id, 0.5 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)), 0 FROM it JOIN te USING (term) JOIN po USING (term), tot),
 s2 AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(c) / any_value(whole), 1.0), 6) AS coverage FROM p2 JOIN wh USING (query_id) GROUP BY ALL)
 SELECT query_id, chunk_id, score, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s2 WHERE coverage >= 0.34) WHERE rank <= 4""",
+    "turn_search": f"WITH {TURNS} SELECT query_id, chunk_id, score, coverage, rank FROM lx",
     "topic_words": r"""WITH w AS (SELECT item_id, row_number() OVER () AS r, string_split_regex(text, '\s+') AS w FROM benchmark), v AS (SELECT item_id, list_filter(list_transform(w, lambda x : trim(x, '?!.,;:।॥''"()[]{}–—…“”‘’-')), lambda x : lower(x) IN ('that', 'this', 'onth', 'ing')) AS v FROM w)
 SELECT item_id, len(v) > 0 AS named, array_to_string(v, ' ') AS words FROM v""",
     "query_terms": f"SELECT item_id, array_to_string(list_concat(own, CASE WHEN marked THEN list_filter(['of the', 'of', 'the'], lambda w : NOT list_contains(own, w)) ELSE [] END), ',') AS terms FROM ({QUERY_TERMS})",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from belltower.functions import signal as G
 from belltower.functions import voice as V
+from belltower.operators import reassembly as R
 from belltower.sources import audio as A
 from belltower.sources import packets as P
 from belltower.sources.tables import table
@@ -41,7 +42,19 @@ def wav_files(s: SparkSession, d: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").cast("string").alias("path"), A.wav_bytes(F.col("x"), G.RATE).alias("content"))
 
 
+def voice_packets(s: SparkSession, d: str) -> DataFrame:
+    """An order's lines as a flow of G.711 packets whose 16-bit number turns; returned lines are comfort noise, which leaves silence."""
+    kind = F.when(F.col("l_returnflag") == "R", 13).when(F.col("l_suppkey") % 2 == 0, R.PCMU).otherwise(R.PCMA)
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("flow"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.pmod(F.col("l_linenumber") + 65530, F.lit(65536)).cast("long").alias("seq"), kind.alias("payload_type"), F.unhex(F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256)).alias("media"))
+
+
+def flow_audio(s: SparkSession, d: str) -> DataFrame:
+    placed = R.placed(voice_packets(s, d), "flow", "seq", "media", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", usual=32)
+    return R.levels(R.runs(placed, "flow", "media"), "flow")
+
+
 QUERIES = {
+    "flow_audio": flow_audio,
     "wav_round_trip": lambda s, d: A.sample_rows(A.clips(wav_files(s, d))).select(F.col("clip_id").cast("long").alias("l_orderkey"), F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x")),
     "voice_roughness": lambda s, d: V.roughness(G.test_tone(s, 12, 4000)),
     "voice_description": lambda s, d: V.described(G.test_tone(s, 12, 4000)),
@@ -64,6 +77,15 @@ QUERIES = {
 }
 _U = "(CASE WHEN v >= 128 THEN -1 ELSE 1 END * (((v & 15) * 8 + 132) * (1 << ((v >> 4) & 7)) - 132))::INTEGER"
 ORACLE_SQL = {
+    "flow_audio": f"""WITH p AS (SELECT l_orderkey AS flow, l_linenumber AS o1, l_partkey AS o2, l_suppkey AS o3, l_returnflag AS o4, ((l_linenumber + 65530) % 65536)::BIGINT AS seq, CASE WHEN l_returnflag = 'R' THEN 13 WHEN l_suppkey % 2 = 0 THEN 0 ELSE 8 END AS pt, sha256(l_partkey::VARCHAR) AS h FROM lineitem),
+w AS (SELECT *, seq + 65536 * sum(CASE WHEN b - seq > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY o1, o2, o3, o4 ROWS UNBOUNDED PRECEDING) AS ext FROM (SELECT *, lag(seq) OVER (PARTITION BY flow ORDER BY o1, o2, o3, o4) AS b FROM p)),
+f AS (SELECT flow, ext, pt, h FROM (SELECT *, row_number() OVER (PARTITION BY flow, ext ORDER BY o1, o2, o3, o4) AS r FROM w WHERE pt <> 13) WHERE r = 1),
+g AS (SELECT flow, pt, h, ext - min(ext) OVER (PARTITION BY flow) AS k FROM f),
+b AS (SELECT flow, 32 * k + i AS pos, pt, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS byte FROM g, range(32) r(i)),
+l AS (SELECT flow, pos, CASE pt WHEN 0 THEN (SELECT {_U} FROM (SELECT 255 - byte AS v)) ELSE (SELECT (CASE WHEN a >= 128 THEN 1 ELSE -1 END * CASE (a & 112) >> 4 WHEN 0 THEN ((a & 15) << 4) + 8 ELSE (((a & 15) << 4) + 264) << greatest(((a & 112) >> 4) - 1, 0) END)::INTEGER FROM (SELECT xor(byte, 85) AS a)) END / 32768.0::DOUBLE AS x FROM b),
+t AS (SELECT flow, max(pos) + 1 AS n, max(abs(x)) AS p, sum(x * x) AS s, sum(x) AS dc, sum((abs(x) >= 0.999)::INT) AS c FROM l GROUP BY 1),
+fr AS (SELECT flow, pos // 160 AS f, sum(abs(x)) / 160 AS v FROM l GROUP BY 1, 2), fl AS (SELECT fr.flow, quantile_cont(v, 0.1) AS floor FROM fr JOIN t USING (flow) WHERE (f + 1) * 160 <= n GROUP BY 1)
+SELECT flow, n::BIGINT AS samples, round(n / 8000, 2) AS duration_s, round(CASE WHEN p > 1e-9 THEN 20 * log10(p) ELSE -120 END, 1) AS peak_dbfs, round(CASE WHEN sqrt(s / n) > 1e-9 THEN 20 * log10(sqrt(s / n)) ELSE -120 END, 1) AS rms_dbfs, round(CASE WHEN coalesce(floor, 0) > 1e-9 THEN 20 * log10(floor) ELSE -120 END, 1) AS noise_floor_dbfs, round(100 * c / n, 4) AS clipped_percent, round(100 * dc / n, 4) + 0.0 AS dc_offset_percent_fs FROM t LEFT JOIN fl USING (flow)""",
     "wav_round_trip": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) - 1 AS i, round(round(l_discount * 32767) / 32768, 9)::DOUBLE AS x FROM lineitem",
     "alaw_round_trip": "SELECT event_id, (event_id % 256)::INTEGER AS b FROM events",
     "silent_clips": "SELECT l_orderkey % 50 AS clip_id, floor(sqrt(avg((trunc(l_quantity * l_linenumber)::INTEGER)::DOUBLE ** 2))) < 120 AS silent FROM lineitem GROUP BY 1",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from belltower.operators.memo import Memo
 from belltower.operators.reindex import StoredIndex
+from belltower.operators.settings import as_of
 from belltower.sources.stored import session_dir
 from belltower.sources.tables import table
 
@@ -60,7 +61,19 @@ def remembered(s: SparkSession, d: str) -> DataFrame:
     return memo.looked_up(rows, "text", digests(2)).select("conv_id", "turn", "digest", "run")
 
 
-QUERIES = {"reindexed": reindexed, "keyed_results": remembered}
+NAMES, DEFAULTS = ["view", "search", "error"], {"view": "0", "error": "none"}
+
+
+def settings_at_start(s: SparkSession, d: str) -> DataFrame:
+    """A user's views, searches and errors change settings of these names; clicks begin calls."""
+    e = table(s, d, "events")
+    value = F.when(F.col("value") >= 1, F.col("event_id").cast("string"))  # a small value takes the setting back
+    calls = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    found = as_of(calls, e.select("user_id", "ts", F.col("event_type").alias("name"), value.alias("value")), "user_id", "ts", NAMES, DEFAULTS)
+    return found.select("event_id", *(F.col("settings")[n].alias(n) for n in NAMES))
+
+
+QUERIES = {"reindexed": reindexed, "keyed_results": remembered, "settings_at_start": settings_at_start}
 ORACLE_SQL = {
     "reindexed": f"""WITH l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''),
 c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (contains(line, '|')) AS refused, sum(len(line)) AS chars FROM l GROUP BY 1),
@@ -69,4 +82,9 @@ z AS (SELECT *, stale AND (n = 0 OR refused > 0) AS failed, stale AND n > 0 AND
 SELECT doc_id AS document_id, CASE WHEN failed THEN 'failed' ELSE 'ready' END AS status, CASE WHEN source IS NOT DISTINCT FROM '{OLD_SOURCE}' AND NOT renewed THEN 'a' ELSE '{SPACE}' END AS space, CASE WHEN failed THEN CASE WHEN n = 0 THEN 'no chunks' ELSE 'ValueError: refused' END END AS error, stale AS tried, n AS chunks,
 CASE WHEN renewed OR old IS NOT NULL THEN n ELSE 0 END AS embedded, CASE WHEN n = 0 THEN NULL WHEN renewed THEN chars::DOUBLE ELSE round(old * n, 3) END AS total FROM z""",
     "keyed_results": "SELECT conv_id, turn, md5(text) AS digest, CASE WHEN text IS NULL THEN NULL WHEN text IN (SELECT text FROM conversations WHERE role = 'assistant') THEN 1 ELSE 2 END AS run FROM conversations",
+    "settings_at_start": "WITH v AS (SELECT *, "
+    + ", ".join(f"last_value(CASE WHEN event_type = '{n}' THEN event_id END IGNORE NULLS) OVER w AS i_{n}" for n in NAMES)
+    + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END, CASE WHEN value >= 1 THEN event_id::VARCHAR END NULLS FIRST ROWS UNBOUNDED PRECEDING)) SELECT v.event_id, "
+    + ", ".join(f"coalesce((SELECT CASE WHEN value >= 1 THEN e.event_id::VARCHAR END FROM events e WHERE e.event_id = i_{n}), {repr(DEFAULTS[n]) if n in DEFAULTS else 'NULL'}) AS {n}" for n in NAMES)
+    + " FROM v WHERE event_type = 'click'",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from belltower.operators import reindex
 from belltower.operators.memo import Memo
+from belltower.operators.settings import as_of, spans, streamed_as_of
 
 SIZE = 2
 
@@ -121,3 +122,24 @@ def test_a_second_run_computes_nothing(spark, tmp_path):
     more = rows.unionByName(spark.createDataFrame([(100, "new")], "i int, name string"))
     assert memo.looked_up(more, "name", compute).where(F.col("n") == "new").count() == 1 and asked.value == 8
     assert memo.stored().count() == 8 and memo.missing(rows.select(F.col("name").alias("key"))).count() == 0
+
+
+def test_a_change_in_mid_call_changes_nothing_of_it(spark):
+    calls = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "a", 5), (4, "b", 20), (5, None, 7)], "call int, dept string, t long")
+    versions = spark.createDataFrame([("a", 6, "voice", "x"), ("a", 15, "voice", "y"), ("a", 20, "speed", "2"), ("a", 18, "speed", None), ("b", 21, "voice", "z"), (None, 7, "voice", "n"), ("a", 1, "other", "q")], "dept string, t long, name string, value string")
+    want = {1: {"voice": "x", "speed": "1"}, 2: {"voice": "y", "speed": "2"}, 3: {"speed": "1"}, 4: {"speed": "1"}, 5: {"voice": "n", "speed": "1"}}
+    for most in (1, 10**6):
+        out = as_of(calls, versions, "dept", "t", ["voice", "speed"], {"speed": "1"}, most)
+        assert out.columns == ["call", "dept", "t", "settings"] and {r["call"]: r["settings"] for r in out.collect()} == want
+    held = {(r["dept"], r["valid_from"], r["valid_to"]): r["settings"] for r in spans(versions, "dept", "t", ["voice", "speed"], {"speed": "1"}).collect()}
+    assert held["a", 6, 15] == {"voice": "x", "speed": "1"} and held["a", 20, None] == {"voice": "y", "speed": "2"} and held["a", 15, 18]["voice"] == "y" and (None, 7, None) in held
+    assert as_of(calls.limit(0), versions, "dept", "t", ["voice"]).count() == 0 and as_of(calls, versions.limit(0), "dept", "t", ["voice"]).where("size(settings) = 0").count() == 5
+
+
+def test_settings_of_a_stream_of_calls(spark, tmp_path):
+    versions = spark.createDataFrame([("a", 6, "voice", "x"), ("a", 15, "voice", "y")], "dept string, t long, name string, value string")
+    spark.createDataFrame([(1, "a", 10), (2, "a", 15), (3, "a", 5)], "call int, dept string, t long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("call int, dept string, t long").parquet(str(tmp_path / "in"))
+    q = streamed_as_of(stream, spans(versions, "dept", "t", ["voice"]), "dept", "t").writeStream.format("memory").queryName("asof").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r["call"]: r["settings"] for r in spark.table("asof").collect()} == {1: {"voice": "x"}, 2: {"voice": "y"}, 3: None}
