@@ -1,13 +1,16 @@
-"""Signal, packet and turn queries over generated clips and the events table."""
+"""Signal, packet and turn queries: clips, packets and turns are made from rows of events and order lines."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belltower.functions import signal as G
 from belltower.functions import voice as V
 from belltower.operators import reassembly as R
+from belltower.operators.scan import pieced, running, scanned
 from belltower.sources import audio as A
 from belltower.sources import packets as P
 from belltower.sources.tables import table
@@ -32,8 +35,22 @@ def turn_events(s: SparkSession, d: str) -> DataFrame:
 RECIPES = (("resampled", "band", 1.0, None), ("by_peak", "peak", 1.0, None), ("by_peak_faster", "peak", 1.15, None), ("by_speech", "speech", 1.0, None), ("by_speech_ulaw", "speech", 1.0, "ulaw"), ("by_speech_alaw", "speech", 1.0, "alaw"))
 
 
-def clip_arrays(s: SparkSession, clips: int, samples: int, rate: int) -> DataFrame:
-    return G.test_tone(s, clips, samples, rate).groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
+#: Samples of a clip that an event stands for.
+EACH = 60
+
+
+def clips(s: SparkSession, d: str, rate: int = G.RATE) -> DataFrame:
+    """(clip_id, i, x): a user's events as a clip, each of them some samples of the user's tone at a loudness of its own, and errors as silence."""
+    e = table(s, d, "events").select("user_id", "event_id", "event_type")
+    e = scanned(pieced(e, "user_id", "event_id"), "user_id", ("event_id",), {"n": running(F.lit(1), before=True)})
+    i = F.coalesce("n", F.lit(0)) * EACH + F.col("j")
+    rows = e.select("user_id", "event_id", "event_type", "n", F.explode(F.sequence(F.lit(0), F.lit(EACH - 1))).alias("j")).withColumn("i", i)
+    tone = F.sin(2 * math.pi * (200 + 10 * (F.col("user_id") % 30)) * F.col("i") / rate) * (F.col("event_id") % 10 + 1) / 11
+    return rows.select(F.col("user_id").alias("clip_id"), F.col("i").cast("long").alias("i"), F.when(F.col("event_type") == "error", 0.0).otherwise(tone).alias("x"))
+
+
+def clip_arrays(s: SparkSession, d: str, rate: int) -> DataFrame:
+    return clips(s, d, rate).groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x"))
 
 
 def wav_files(s: SparkSession, d: str) -> DataFrame:
@@ -56,19 +73,19 @@ def flow_audio(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "flow_audio": flow_audio,
     "wav_round_trip": lambda s, d: A.sample_rows(A.clips(wav_files(s, d))).select(F.col("clip_id").cast("long").alias("l_orderkey"), F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x")),
-    "voice_roughness": lambda s, d: V.roughness(G.test_tone(s, 12, 4000)),
-    "voice_description": lambda s, d: V.described(G.test_tone(s, 12, 4000)),
-    "active_loudness": lambda s, d: V.active_rms(G.test_tone(s, 30, 4000)).select("clip_id", F.round("rms", 6).alias("rms")),
+    "voice_roughness": lambda s, d: V.roughness(clips(s, d)),
+    "voice_description": lambda s, d: V.described(clips(s, d)),
+    "active_loudness": lambda s, d: V.active_rms(clips(s, d)).select("clip_id", F.round("rms", 6).alias("rms")),
     "silent_clips": lambda s, d: V.silent(table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("clip_id"), (F.col("l_quantity") * F.col("l_linenumber")).cast("int").alias("v")), 120),
-    "voice_renderings": lambda s, d: V.renderings(clip_arrays(s, 6, 9600, 48000), RECIPES, 48000).select("clip_id", "name", F.size("samples").cast("long").alias("samples"), F.array_max(F.transform("samples", F.abs)).alias("peak")),
-    "clip_alignment": lambda s, d: clip_arrays(s, 6, 8000, 8000).select("clip_id", V.alignment(F.slice("x", 801, 2000), F.col("x")).alias("a")).select("clip_id", F.round("a.correlation", 6).alias("correlation")),
+    "voice_renderings": lambda s, d: V.renderings(clip_arrays(s, d, 48000), RECIPES, 48000).select("clip_id", "name", F.size("samples").cast("long").alias("samples"), F.array_max(F.transform("samples", F.abs)).alias("peak")),
+    "clip_alignment": lambda s, d: clip_arrays(s, d, 8000).select("clip_id", V.alignment(F.slice("x", 801, 2000), F.col("x")).alias("a")).select("clip_id", F.round("a.correlation", 6).alias("correlation")),
     "alaw_round_trip": lambda s, d: bytes_of(s, d).select("event_id", V.alaw_of_linear(G.linear_of_alaw(F.col("b"))).alias("b")),
     "ulaw_decode": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_ulaw(F.col("b")).alias("v")),
     "alaw_decode": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_alaw(F.col("b")).alias("v")),
     "ulaw_round_trip": lambda s, d: bytes_of(s, d).select("event_id", G.linear_of_ulaw(G.ulaw_of_linear(G.linear_of_ulaw(F.col("b")))).alias("v")),
     "ulaw_snr": lambda s, d: G.round_trip_snr(table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("clip_id"), (F.col("l_extendedprice") % 32768).cast("int").alias("v"))),
-    "clip_levels": lambda s, d: G.levels(G.test_tone(s, 30, 4000)),
-    "telephone_clips": lambda s, d: G.test_tone(s, 6, 4800, 48000).groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x")).select("clip_id", F.size(G.clip_column(F.col("x"), 48000)).cast("long").alias("samples")),
+    "clip_levels": lambda s, d: G.levels(clips(s, d)),
+    "telephone_clips": lambda s, d: clip_arrays(s, d, 48000).select("clip_id", F.size(G.clip_column(F.col("x"), 48000)).cast("long").alias("samples")),
     "rtp_parse": lambda s, d: P.rtp(packet_rows(s, d)).select("event_id", "payload_type", "marker", "sequence", "timestamp", "ssrc", F.decode("media", "UTF-8").alias("media")),
     "timing_lines": lambda s, d: P.timing_lines(table(s, d, "events").select(F.concat(F.lit("INFO Turn timing call="), F.col("event_id"), F.lit(" stt_ms="), F.col("user_id"), F.lit(" llm_ms=-")).alias("value"))).select(F.element_at("fields", "call").alias("call"), F.element_at("fields", "stt_ms").alias("stt_ms"), F.element_at("fields", "llm_ms").alias("llm_ms")),
     "json_events": lambda s, d: P.json_events(table(s, d, "events").select(F.when(F.col("event_id") % 3 == 0, "not json").otherwise(F.col("props")).alias("value")), "k long").groupBy("k").agg(F.count("*").alias("n")),
@@ -76,6 +93,7 @@ QUERIES = {
     "ends_of_turns": lambda s, d: turns.ends_of_turns(turn_events(s, d)),
 }
 _U = "(CASE WHEN v >= 128 THEN -1 ELSE 1 END * (((v & 15) * 8 + 132) * (1 << ((v >> 4) & 7)) - 132))::INTEGER"
+_X = f"r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events), s AS (SELECT user_id AS c, event_id AS e, event_type, n * {EACH} + j AS k FROM r, range({EACH}) g(j)), x AS (SELECT c, k, CASE WHEN event_type = 'error' THEN 0 ELSE sin(2 * 3.141592653589793 * (200 + 10 * (c % 30)) * k / 8000) * (e % 10 + 1) / 11 END AS x FROM s)"
 ORACLE_SQL = {
     "flow_audio": f"""WITH p AS (SELECT l_orderkey AS flow, l_linenumber AS o1, l_partkey AS o2, l_suppkey AS o3, l_returnflag AS o4, ((l_linenumber + 65530) % 65536)::BIGINT AS seq, CASE WHEN l_returnflag = 'R' THEN 13 WHEN l_suppkey % 2 = 0 THEN 0 ELSE 8 END AS pt, sha256(l_partkey::VARCHAR) AS h FROM lineitem),
 w AS (SELECT *, seq + 65536 * sum(CASE WHEN b - seq > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY o1, o2, o3, o4 ROWS UNBOUNDED PRECEDING) AS ext FROM (SELECT *, lag(seq) OVER (PARTITION BY flow ORDER BY o1, o2, o3, o4) AS b FROM p)),
@@ -89,8 +107,8 @@ SELECT flow, n::BIGINT AS samples, round(n / 8000, 2) AS duration_s, round(CASE
     "wav_round_trip": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) - 1 AS i, round(round(l_discount * 32767) / 32768, 9)::DOUBLE AS x FROM lineitem",
     "alaw_round_trip": "SELECT event_id, (event_id % 256)::INTEGER AS b FROM events",
     "silent_clips": "SELECT l_orderkey % 50 AS clip_id, floor(sqrt(avg((trunc(l_quantity * l_linenumber)::INTEGER)::DOUBLE ** 2))) < 120 AS silent FROM lineitem GROUP BY 1",
-    "active_loudness": """WITH s AS (SELECT (i // 4000) AS c, i % 4000 AS k FROM range(120000) r(i)), x AS (SELECT c, k, CASE WHEN c % 3 = 0 AND k >= 2000 THEN 0 ELSE sin(2 * 3.141592653589793 * (200 + 10 * c) * k / 8000) * (c % 10 + 1) / 11 END AS x FROM s),
-f AS (SELECT c, k // 80 AS f, sum(x * x) AS p FROM x GROUP BY ALL), g AS (SELECT c, p, max(p) OVER (PARTITION BY c) AS top FROM f) SELECT c AS clip_id, round(sqrt(sum(p) / (80 * count(*))), 6) AS rms FROM g WHERE p >= top / 1000 GROUP BY 1""",
+    "active_loudness": f"""WITH {_X},
+f AS (SELECT c, k // 80 AS f, sum(x * x) AS p FROM x GROUP BY ALL HAVING count(*) = 80), g AS (SELECT c, p, max(p) OVER (PARTITION BY c) AS top FROM f) SELECT c AS clip_id, round(sqrt(sum(p) / (80 * count(*))), 6) AS rms FROM g WHERE p >= top / 1000 GROUP BY 1""",
     "ulaw_decode": f"WITH x AS (SELECT event_id, 255 - (event_id % 256)::INTEGER AS v FROM events) SELECT event_id, {_U} AS v FROM x",
     "alaw_decode": "WITH x AS (SELECT event_id, xor((event_id % 256)::INTEGER, 85) AS a FROM events), y AS (SELECT *, (a & 112) >> 4 AS g, (a & 15) << 4 AS t FROM x) SELECT event_id, (CASE WHEN a >= 128 THEN 1 ELSE -1 END * CASE g WHEN 0 THEN t + 8 ELSE (t + 264) << greatest(g - 1, 0) END)::INTEGER AS v FROM y",
     "ulaw_round_trip": f"WITH x AS (SELECT event_id, 255 - (event_id % 256)::INTEGER AS v FROM events) SELECT event_id, {_U} AS v FROM x",
@@ -98,8 +116,8 @@ f AS (SELECT c, k // 80 AS f, sum(x * x) AS p FROM x GROUP BY ALL), g AS (SELECT
     "timing_lines": "SELECT event_id::VARCHAR AS call, user_id::VARCHAR AS stt_ms, NULL::VARCHAR AS llm_ms FROM events",
     "json_events": "SELECT (props->>'$.k')::BIGINT AS k, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     "event_branches": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'talk' ELSE 'end' END AS branch, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1",
-    "clip_levels": """WITH s AS (SELECT (i // 4000) AS c, i % 4000 AS k FROM range(120000) r(i)), x AS (SELECT c, k, CASE WHEN c % 3 = 0 AND k >= 2000 THEN 0 ELSE sin(2 * 3.141592653589793 * (200 + 10 * c) * k / 8000) * (c % 10 + 1) / 11 END AS x FROM s),
-f AS (SELECT c, k // 80 AS f, sqrt(avg(x * x)) AS rms FROM x GROUP BY ALL), t AS (SELECT c, max(rms) AS top, quantile_cont(rms, 0.1) AS floor FROM f GROUP BY 1),
+    "clip_levels": f"""WITH {_X},
+f AS (SELECT c, k // 80 AS f, sqrt(avg(x * x)) AS rms FROM x GROUP BY ALL HAVING count(*) = 80), t AS (SELECT c, max(rms) AS top, quantile_cont(rms, 0.1) AS floor FROM f GROUP BY 1),
 v AS (SELECT c, min(f) AS a, max(f) AS b FROM f JOIN t USING (c) WHERE rms >= greatest(top * 0.01, pow(10, -2.75)) GROUP BY 1), l AS (SELECT c, count(*) AS n, max(abs(x)) AS p, sqrt(avg(x * x)) AS r, avg((abs(x) >= 0.999)::INT) AS clip, avg(x) AS dc FROM x GROUP BY 1)
 SELECT c AS clip_id, n / 8000 AS duration_seconds, round(20 * log10(p), 4) AS peak_dbfs, round(20 * log10(r), 4) AS rms_dbfs, round(CASE WHEN floor > 1e-9 THEN 20 * log10(floor) ELSE -120 END, 4) AS noise_floor_dbfs, round(clip, 6) AS clipped_ratio, round(100 * dc, 4) + 0.0::DOUBLE AS dc_offset_percent, a * 80 / 8000 AS leading_silence_seconds, (n - least(n, (b + 1) * 80)) / 8000 AS trailing_silence_seconds FROM l JOIN v USING (c) JOIN t USING (c)""",
 }
