@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belltower.sources.stored import settled
-
-#: Queries whose matrix and best rows the driver and a task hold at a time.
-BLOCK = 4000
+#: Queries and rows of a task; rows of one product.
+BLOCK, SHARD, PART = 4000, 100_000, 4096
 
 
 def _sum(c: Column) -> Column:
@@ -28,58 +23,55 @@ def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The k rows (vec_id, embedding) most similar by cosine to each query row (query_id, q), the row of the same id left out; ties go to the lesser id.
 
-    Queries are taken in blocks of about `block` rows, one after the other: a block is broadcast
-    as one matrix and meets every row by a matrix product; each task keeps k rows a query and
-    sends no others. What a block finds is written before the next is read, so that the driver
-    holds one block however many there are.
+    Queries in blocks meet rows in shards, each cell of the grid one matrix product in one task
+    of one job: a row is sent once for each block of queries, a query once for each shard, and a
+    cell sends k rows a query. The driver holds neither.
     Vectors of another size than the queries', of length zero, or null take no part.
     """
     q = queries.where(norm(F.col("q")) > 0)
     total, dims = q.agg(F.count("*"), F.max(F.size("q"))).first()
-    parts = max(-(-total // block), 1)
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where((F.size("embedding") == (dims or 0)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    found = None
-    for at in range(parts):
-        held = q.where((F.size("q") == (dims or 0)) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == at)).select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).toPandas()
-        near, shared = nearest(rows, held["query_id"].to_numpy(np.int64), np.array(held["q"].tolist(), float).reshape(len(held), dims or 0), k)
-        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-        best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if parts > 1:
-            best = settled(best)
-            shared.destroy()
-        found = best if found is None else found.unionByName(best)
-    return found
-
-
-def nearest(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[DataFrame, Broadcast]:
-    """(query_id, vec_id, similarity), each task's k best rows for every query; and the block as it was broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries / np.linalg.norm(queries, axis=1, keepdims=True)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            v = np.asarray(b.column("embedding").flatten()).reshape(b.num_rows, -1)
-            size = np.linalg.norm(v, axis=1)
-            v, size, own = v[size > 0], size[size > 0], np.asarray(b.column("vec_id"))[size > 0]
-            like = np.round(q @ (v / size[:, None]).T, 6)
-            for j, s in enumerate(like):
-                least = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -2.0
-                at = np.flatnonzero(s >= least)
-                at = at[own[at] != ids[j]]
-                who, sim = np.concatenate([best[j][0], own[at]]), np.concatenate([best[j][1], s[at]])
-                order = np.lexsort((who, -sim))[:k]
-                best[j] = who[order], sim[order]
-        n = [len(w) for w, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for w, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "similarity"])
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, similarity double"), shared
+    dims = dims or 0
+    blocks = max(-(-total // block), 1)
+    shards = max(-(-embeddings.count() // shard), 1 if blocks > 1 else min(embeddings.sparkSession.sparkContext.defaultParallelism, 64))
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where((F.size("embedding") == dims) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    q = q.where(F.size("q") == dims).select(F.col("query_id").cast("long"), F.col("q").cast("array<double>"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            held = best_of(*(np.asarray(t.column(c).combine_chunks()) if c.endswith("id") else matrix(t.column(c), dims) for t, c in ((left, "vec_id"), (left, "embedding"), (right, "query_id"), (right, "q"))), k)
+        return pa.table([pa.array(x) for x in held], names=["query_id", "vec_id", "similarity"])
+
+    near = rows.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(meet, "query_id long, vec_id long, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), float).reshape(-1, dims)
+
+
+def best_of(own: np.ndarray, v: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, part: int = PART) -> list[np.ndarray]:
+    """query_id, vec_id and similarity of the k best rows (own, v) for every query (ids, q), by products of parts of the rows."""
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    size = np.linalg.norm(v, axis=1)
+    own, v = own[size > 0], v[size > 0] / size[size > 0][:, None]
+    best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+    for at in range(0, len(v), part):
+        some = own[at : at + part]
+        for j, s in enumerate(np.round(q @ v[at : at + part].T, 6)):
+            least = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -2.0
+            near = np.flatnonzero(s >= least)
+            near = near[some[near] != ids[j]]
+            who, sim = np.concatenate([best[j][0], some[near]]), np.concatenate([best[j][1], s[near]])
+            order = np.lexsort((who, -sim))[:k]
+            best[j] = who[order], sim[order]
+    return [np.repeat(ids, [len(w) for w, _ in best]), np.concatenate([w for w, _ in best]), np.concatenate([s for _, s in best])]
 
 
 def self_top_k(embeddings: DataFrame, every: int, k: int) -> DataFrame:

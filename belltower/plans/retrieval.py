@@ -11,6 +11,7 @@ from belltower.functions.chunking import chunk_column
 from belltower.operators import lexical as L
 from belltower.operators import impacts, vectors
 from belltower.operators.directory import named_centres
+from belltower.sources.stored import made_once, signature
 from belltower.sources.tables import table
 
 STOP = ("a", "an", "and", "are", "is", "of", "on", "the", "to", "with")
@@ -41,7 +42,9 @@ def synonyms(spark: SparkSession) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> L.Index:
-    return L.Index(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), F.split(T.canonical(F.col("text"), F.lower), " "), STOP)
+    """The index of all documents: built and stored by the first query that asks for it, read back by the others as long as the files are the same."""
+    docs = table(spark, d, "documents")
+    return made_once(spark, f"{signature(docs)} {STOP}", lambda: L.Index(docs.select(F.col("doc_id").alias("chunk_id"), "text"), F.split(T.canonical(F.col("text"), F.lower), " "), STOP))
 
 
 def matched(hits: DataFrame, s: SparkSession, d: str) -> DataFrame:

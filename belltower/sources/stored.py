@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MARKED: set[str] = set()
+_MADE: dict[tuple[str, str], object] = {}
+T = TypeVar("T")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +44,18 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def signature(source: DataFrame) -> str:
+    """Tells the files that a scan reads: a hash of their paths, sizes and times of change."""
+    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    n, h = files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return f"{n}-{h}"
+
+
+def made_once(spark: SparkSession, key: str, make: Callable[[], T]) -> T:
+    """What make gives, made once in a Spark application for a key; for things that hold stored tables and little else."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _MADE:
+        _MADE[at] = make()
+    return _MADE[at]  # type: ignore[return-value]
