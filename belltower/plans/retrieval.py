@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from belltower.functions import speech
@@ -11,6 +11,8 @@ from belltower.functions.chunking import chunk_column
 from belltower.operators import lexical as L
 from belltower.operators import impacts, vectors
 from belltower.operators.directory import named_centres
+from belltower.operators.reporting import sections
+from belltower.operators.sequences import carried_subject
 from belltower.sources.stored import made_once, signature
 from belltower.sources.tables import table
 
@@ -67,6 +69,26 @@ def turns(s: SparkSession, d: str) -> DataFrame:
     return t.where((F.length("w") > 1) & ~F.col("w").isin(*STOP)).select("query_id", T.stem(F.col("w")).alias("term")).distinct()
 
 
+#: What names a subject, up to how many words a message leans on an earlier one, messages of history, and characters of context.
+LEANS_ON, LEAN, PAST, ROOM = "nt", 30, 4, 700
+
+
+def turn_prompts(s: SparkSession, d: str) -> DataFrame:
+    """From history to prompt, for every user's message: what it leans on is put before it, the best documents for that are searched and packed into a context, and both stand in the prompt with the messages before."""
+    m = table(s, d, "conversations").select("conv_id", "turn", "role", "text", (F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-PAST, -1)
+    said = F.concat("role", F.lit(": "), "text")
+    m = m.withColumn("history", F.array_join(F.collect_list(said).over(before), "\n"))
+    subject = F.when(F.contains("text", F.lit(LEANS_ON)), F.lit("subject"))
+    asked = carried_subject(m, "conv_id", "turn", subject, F.size(F.split(F.trim("text"), " ")), least_words=LEAN).where("role = 'user'")
+    w = asked.select("query_id", F.explode(F.split(T.canonical(F.col("retrieval_query"), F.lower), " ")).alias("w")).where((F.length("w") > 1) & ~F.col("w").isin(*STOP))
+    best = impacts.search_many(index(s, d), w.select("query_id", T.stem(F.col("w")).alias("term")), 4, 0.34, synonyms(s))
+    found = best.join(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text"), "chunk_id")
+    packed = T.context(found, "query_id", "rank", F.concat(F.lit("[Source: "), F.col("source"), F.lit("]")), F.col("text"), ROOM)
+    prompt = sections({"Conversation": F.col("history"), "Context": F.col("context"), "Question": F.col("text")})
+    return asked.join(packed, "query_id", "left").select("query_id", prompt.alias("prompt"))
+
+
 def lexical_candidates(s: SparkSession, d: str) -> DataFrame:
     """Documents that hold a word of a query item, those nearest to it first."""
     ix = index(s, d)
@@ -115,6 +137,7 @@ QUERIES = {
     "intent_search": lambda s, d: L.search(index(s, d), questions(s, d), 4, 0.34, synonyms(s), L.asked_for(intents(s, d), "[aeiouAEIOU]th", ("this", "that"))),
     "topic_words": lambda s, d: table(s, d, "benchmark").select("item_id", T.topic_words(F.col("text"), SUBJECT, F.lower).alias("w")).select("item_id", (F.size("w") > 0).alias("named"), F.array_join("w", " ").alias("words")),
     "turn_search": lambda s, d: impacts.search_many(index(s, d), turns(s, d), 4, 0.34, synonyms(s)),
+    "turn_prompts": turn_prompts,
     "hybrid_search": both_channels,
     "lexical_candidates": lexical_candidates,
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(T.alias_terms(F.col("text"), STOP, MARKERS, ALIASES, F.lower), ",").alias("terms")),
@@ -147,6 +170,10 @@ sc AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(bas
 lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sc WHERE coverage >= 0.34) WHERE rank <= 4)"""
 #: The same for the words of every message.
 TURNS = BM25.replace(f"qt AS (SELECT item_id AS query_id, {_terms('text')} AS t FROM benchmark WHERE item_id % {QUESTIONS} = 0), q AS (SELECT DISTINCT query_id, unnest(list_append(t, t[1] || 'qx')) AS term FROM qt)", f"q AS (SELECT DISTINCT conv_id * 10000 + turn AS query_id, unnest({_terms('text')}) AS term FROM conversations)")
+ASKED = f"""m AS (SELECT conv_id, turn, role, text, conv_id * 10000 + turn AS query_id, CASE WHEN contains(text, '{LEANS_ON}') THEN 'subject' END AS s, len(string_split(trim(text), ' ')) AS w FROM conversations),
+er AS (SELECT *, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {PAST} PRECEDING AND 1 PRECEDING) AS history, coalesce(last_value(s IGNORE NULLS) OVER p, last_value(CASE WHEN w > {LEAN} THEN text END IGNORE NULLS) OVER p, last_value(text IGNORE NULLS) OVER p) AS earlier FROM m WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+asked AS (SELECT *, CASE WHEN s IS NOT NULL OR w > {LEAN} OR earlier IS NULL THEN text ELSE earlier || ' ' || text END AS rq FROM er WHERE role = 'user')"""
+PROMPTS = f"{ASKED}, " + TURNS.replace(f"q AS (SELECT DISTINCT conv_id * 10000 + turn AS query_id, unnest({_terms('text')}) AS term FROM conversations)", f"q AS (SELECT DISTINCT query_id, unnest({_terms('rq')}) AS term FROM asked)")
 NAMES = ", ".join(f"({o}, '{n}', '{x}')" for o, x0, n, more in CENTRES for x in (x0, *(more or ())))
 ORACLE_SQL = {
     "centre_match": rf"""WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS f FROM documents), h AS (SELECT DISTINCT doc_id, ordinal::INTEGER AS ordinal, name FROM f JOIN (VALUES {NAMES}) v(ordinal, name, x) ON contains(f, ' ' || x || ' '))
@@ -168,6 +195,9 @@ SELECT conv_id, nullif(coalesce(string_agg(CASE WHEN before + len(e) <= 700 THEN
 p2 AS (SELECT query_id, chunk_id, s, base * w AS c FROM pt JOIN ev USING (query_id, term) UNION ALL SELECT query_id, chunk_id, 0.5 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)), 0 FROM it JOIN te USING (term) JOIN po USING (term), tot),
 s2 AS (SELECT query_id, chunk_id, round(sum(s), 6) AS score, round(least(sum(c) / any_value(whole), 1.0), 6) AS coverage FROM p2 JOIN wh USING (query_id) GROUP BY ALL)
 SELECT query_id, chunk_id, score, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM s2 WHERE coverage >= 0.34) WHERE rank <= 4""",
+    "turn_prompts": f"""WITH {PROMPTS}, en AS (SELECT query_id, rank, '[Source: ' || source || ']' || chr(10) || text AS e FROM lx JOIN documents ON doc_id = chunk_id), be AS (SELECT *, coalesce(sum(len(e)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM en),
+cx AS (SELECT query_id, string_agg(CASE WHEN before + len(e) <= {ROOM} THEN e WHEN {ROOM} - before > 50 THEN rtrim(e[1:{ROOM} - before], ' ') || '...' END, chr(10) || chr(10) ORDER BY rank) AS context FROM be WHERE before < {ROOM} GROUP BY 1)
+SELECT query_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(history) <> '' THEN 'Conversation:' || chr(10) || trim(history) END, CASE WHEN trim(context) <> '' THEN 'Context:' || chr(10) || trim(context) END, CASE WHEN trim(text) <> '' THEN 'Question:' || chr(10) || trim(text) END) AS prompt FROM asked LEFT JOIN cx USING (query_id)""",
     "turn_search": f"WITH {TURNS} SELECT query_id, chunk_id, score, coverage, rank FROM lx",
     "topic_words": r"""WITH w AS (SELECT item_id, row_number() OVER () AS r, string_split_regex(text, '\s+') AS w FROM benchmark), v AS (SELECT item_id, list_filter(list_transform(w, lambda x : trim(x, '?!.,;:।॥''"()[]{}–—…“”‘’-')), lambda x : lower(x) IN ('that', 'this', 'onth', 'ing')) AS v FROM w)
 SELECT item_id, len(v) > 0 AS named, array_to_string(v, ' ') AS words FROM v""",
