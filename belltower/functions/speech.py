@@ -135,9 +135,30 @@ def number_words(n: int) -> str:
     return " ".join([MINUS] * (n < 0) + said[::-1])
 
 
-@F.pandas_udf(StringType())
-def number_in_words(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else number_words(int(x)))
+def number_in_words(n: Column) -> Column:
+    """The same of a column of whole numbers, null for null; without leaving the JVM."""
+    listed = F.split(F.lit(" ".join(NUMBERS)), " ")
+    whole = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
+
+    def said(v: Column, more: int) -> Column:
+        """Of a number that isn't negative; more: how often its part beyond can have one itself."""
+        parts, held = [], 100
+        for holds, name in PLACES:
+            digit = whole(v, held) % holds
+            parts.append(F.when(digit > 0, F.concat(F.get(listed, digit.cast("int")), F.lit(f" {name}"))))
+            held *= holds
+        rest = whole(v, held)
+        beyond = [F.when(rest > 0, F.concat(said(rest, more - 1), F.lit(f" {BEYOND}")))] if more else []
+        two = F.when((v % 100 > 0) | (v == 0), F.get(listed, (v % 100).cast("int")))
+        return F.concat_ws(" ", *beyond, *parts[::-1], two)
+
+    n = n.cast("long")
+    # the least number has no positive one of its size: its parts have
+    size, ten = 10**7, F.lit(10**7).cast("long")
+    above, below = F.abs(whole(n, size)), F.abs(n % ten)
+    small = F.when((below > 0) | (above == 0), said(below, 0))
+    large = F.when(above > 0, F.concat(said(above, 1), F.lit(f" {BEYOND}")))
+    return F.when(n.isNotNull(), F.concat_ws(" ", F.when(n < 0, MINUS), large, small))
 
 
 # Units after a number, letters as they are spelled, and the words of ranges, shares, money and joining.

@@ -174,11 +174,24 @@ ASKED = f"""m AS (SELECT conv_id, turn, role, text, conv_id * 10000 + turn AS qu
 er AS (SELECT *, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {PAST} PRECEDING AND 1 PRECEDING) AS history, coalesce(last_value(s IGNORE NULLS) OVER p, last_value(CASE WHEN w > {LEAN} THEN text END IGNORE NULLS) OVER p, last_value(text IGNORE NULLS) OVER p) AS earlier FROM m WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 asked AS (SELECT *, CASE WHEN s IS NOT NULL OR w > {LEAN} OR earlier IS NULL THEN text ELSE earlier || ' ' || text END AS rq FROM er WHERE role = 'user')"""
 PROMPTS = f"{ASKED}, " + TURNS.replace(f"q AS (SELECT DISTINCT conv_id * 10000 + turn AS query_id, unnest({_terms('text')}) AS term FROM conversations)", f"q AS (SELECT DISTINCT query_id, unnest({_terms('rq')}) AS term FROM asked)")
+def _said(v: str, more: int) -> str:
+    """SQL for a number that isn't negative in words."""
+    word = lambda x: f"string_split('{' '.join(speech.NUMBERS)}', ' ')[({x}) + 1]"
+    parts, held = [], 100
+    for holds, name in speech.PLACES:
+        d = f"(({v}) // {held}) % {holds}"
+        parts.append(f"CASE WHEN {d} > 0 THEN {word(d)} || ' {name}' END")
+        held *= holds
+    beyond = [f"CASE WHEN ({v}) // {held} > 0 THEN {_said(f'({v}) // {held}', more - 1)} || ' {speech.BEYOND}' END"] if more else []
+    return f"concat_ws(' ', {', '.join([*beyond, *parts[::-1], f'CASE WHEN ({v}) % 100 > 0 OR ({v}) = 0 THEN {word(f"({v}) % 100")} END'])})"
+
+
 NAMES = ", ".join(f"({o}, '{n}', '{x}')" for o, x0, n, more in CENTRES for x in (x0, *(more or ())))
 ORACLE_SQL = {
     "centre_match": rf"""WITH f AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS f FROM documents), h AS (SELECT DISTINCT doc_id, ordinal::INTEGER AS ordinal, name FROM f JOIN (VALUES {NAMES}) v(ordinal, name, x) ON contains(f, ' ' || x || ' '))
 SELECT doc_id, min(ordinal) AS ordinal, min_by(name, ordinal) AS name FROM h GROUP BY 1""",
     "normalized_text": r"SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t\x0B\f\r]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E'\n'), lambda x : trim(x)), E'\n'), '^\s+|\s+$', '', 'g')) AS digest FROM documents",
+    "number_words": f"SELECT p_partkey, {_said('trunc(p_retailprice)::BIGINT * 1234', 1)} AS words FROM part",
     "search_text": f"SELECT item_id, {FORM.format('text')} AS t FROM benchmark",
     "content_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM benchmark",
     "trigram_dice": "WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, len(p_name) + 1), lambda i : substr('#' || p_name || '#', i, 3))) AS a, list_distinct(list_transform(range(1, len(p_type) + 1), lambda i : substr('#' || p_type || '#', i, 3))) AS b FROM part) SELECT p_partkey, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6)::DOUBLE AS dice FROM g",

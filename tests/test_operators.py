@@ -54,6 +54,13 @@ def test_number_words(n, words):
     assert speech.number_words(n) == words
 
 
+def test_number_words_of_columns(spark):
+    rng = np.random.default_rng(3)
+    some = {0, 7, 10, 100, 101, 1000, 99_999, 100_000, 9_999_999, 10**7, 10**14, 2**63 - 1, -(2**63), -5, *(int(x) for x in rng.integers(-(10**18), 10**18, 200)), *(int(x) for x in rng.integers(0, 10**8, 200))}
+    rows = spark.createDataFrame([(x,) for x in some] + [(None,)], "n long").select("n", speech.number_in_words(F.col("n")).alias("w")).collect()
+    assert all(r["w"] == (None if r["n"] is None else speech.number_words(r["n"])) for r in rows) and len(rows) == len(some) + 1
+
+
 def test_chunks():
     assert chunked([(1, "  \n\n ")]) == []
     assert [c["text"] for c in chunked([(1, "aaaa bbbb"), (2, "cc")], 10, 2)] == ["aaaa bbbb", "bb\n\ncc"]
