@@ -16,13 +16,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from belltower.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
-from belltower.llm.common import read, settled
+from belltower.llm.common import bounded_batches, read, settled
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. As the first stage it also bounds the Arrow batches of all that follow."""
+    bounded_batches(spark)
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
