@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from belltower.operators.scan import MOST, PIECE, counted, last, pieced, previous, running, scanned
+from belltower.sources.stored import settled
 
 
 def beside(rows: DataFrame, told: DataFrame, key: str) -> DataFrame:
@@ -164,7 +165,7 @@ def worst_between(intervals: DataFrame, samples: DataFrame, key: str, cell: floa
 
 def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles of a value by key, between neighbours as SQL has them, with no key's values in one place: equal values are counted, running counts tell places, and the neighbours of each wanted place are taken out. Nulls don't count."""
-    each = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
+    each = settled(rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n")))  # read more than once below
     each = scanned(pieced(each, key, value), key, (value,), {"__to": running(F.col("__n"))})
     total = each.groupBy(key).agg(F.max("__to").alias("__all"))
     both = beside(each, total, key)
