@@ -8,8 +8,10 @@ difference of both texts' features, so that better texts score higher. Texts are
 not by a quantile of the scores of labelled texts: as many of them fall below the threshold as
 have bad labels. What is returned is a logistic curve of the distance from the threshold.
 
-Labels are learned from at most `max_rows` texts of each class (documented bound, the first by
-a hash of doc_id) and `rounds` pairs for each; the share of bad labels is taken over all.
+All labelled texts outside the held-out fold are learned from: quantiles are exact, found by
+counting in passes over the stored measures, and weights by Newton steps whose slopes and
+curvatures are summed in the tasks. Each text of the larger class meets `ROUNDS` others; texts
+are dealt to buckets of bounded size for that, and those of a much smaller class stand in several.
 
 Cases: a null or empty text has the measures of no characters and gets their score; a null
 label or doc_id teaches nothing; of repeated labels of a doc_id the least counts; repeated rows
@@ -20,6 +22,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from belltower.llm.common import by_batch, fresh, settled, texts
 
 FOLDS, HELD = 3, 1
-MAX_ROWS, ROUNDS = 3000, 8
-#: Values of the hash that orders labelled rows for the sample.
-PLACES = 1 << 40
+ROUNDS = 8
+#: Texts of the larger class in a bucket, about, and how many of the smaller one it has at least if there are so many.
+BUCKET, FEW = 2500, 250
+#: Labels up to which they are sent to the texts; beyond, measures are sent to them.
+SENT = 500_000
 #: Quantiles of a measure at which its hinges stand.
 KNOTS = (0.1, 0.5, 0.9)
 #: Weight of the squared weights in the loss of a pair, on standardised features.
@@ -127,20 +132,30 @@ def pairs(good: int, bad: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return (at, (at + turn) % bad) if good >= bad else ((at + turn) % good, at)
 
 
-def fitted(d: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of the rows of differences (preferred less other), by Newton steps."""
-    w = np.zeros(d.shape[1])
+def slopes(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The number of the rows of differences (preferred less other), and the sums of their losses' slopes and curvatures, one after the other."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # chance of the other order
+    return np.concatenate([[len(d)], -(d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def descended(sums: Callable[[np.ndarray], np.ndarray], n: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that minimise the mean logistic loss, by Newton steps. sums: of `slopes` over all rows at given weights."""
+    w = np.zeros(n)
     for _ in range(60):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # chance of the other order
-        slope = -(d * p[:, None]).mean(0) + ridge * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+        s = sums(w)
+        count = max(s[0], 1)
+        step = np.linalg.solve(s[n + 1 :].reshape(n, n) / count + ridge * np.eye(n), s[1 : n + 1] / count + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def fitted(d: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of the rows of differences (preferred less other)."""
+    return descended(lambda w: slopes(d, w), d.shape[1], ridge)
+
+
 def quantile(scores: np.ndarray, weight: np.ndarray, share: float) -> float:
     """A value below which `share` of the weight lies: the middle between the two neighbouring distinct scores whose cut comes nearest."""
     values, at = np.unique(scores, return_inverse=True)
@@ -151,21 +166,111 @@ def quantile(scores: np.ndarray, weight: np.ndarray, share: float) -> float:
     return float((values[k] + values[k + 1]) / 2)
 
 
-def learned(x: np.ndarray, y: np.ndarray, bad_share: float) -> Model:
-    """The model of rows of measures with quality 0 or 1; bad_share: of quality 0 among all labels."""
-    low, high = np.quantile(x, 0.005, 0), np.quantile(x, 0.995, 0)
-    knots = np.quantile(x, KNOTS, 0).T
-    model = Model(low, high, knots, np.zeros(1), np.ones(1), np.zeros(1))
-    f = model.features(x)
-    model.middle, model.scale = f.mean(0), f.std(0) + 1e-9
-    model.scale[f.std(0) < 1e-9] = 1.0
-    f = model.features(x)
-    i, j = pairs(int(y.sum()), int((1 - y).sum()))
-    model.weights = fitted(f[y == 1][i] - f[y == 0][j])
-    s = model.raw(x)
-    # the sample has its own share of bad texts; the quantile speaks of the share in all labels
-    model.threshold = quantile(s, np.where(y == 1, (1 - bad_share) / y.mean(), bad_share / (1 - y.mean())), bad_share)
-    model.spread = max(SPREAD * float(np.median(s[y == 1]) - np.median(s[y == 0])), 1e-6)
+def keys(x: np.ndarray) -> np.ndarray:
+    """Numbers in the order of doubles; -0.0 as 0.0."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def unkeyed(k: int) -> float:
+    return float(np.array([k ^ (1 << 63) if k >> 63 else k ^ (2**64 - 1)], np.uint64).view(np.float64)[0])
+
+
+def by_byte(key: np.ndarray, prefix: int, level: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Of the keys whose first `level` bytes are the prefix, the weight of each next byte."""
+    same = key >> np.uint64(64 - 8 * level) == np.uint64(prefix) if level else np.ones(len(key), bool)
+    byte = (key[same] >> np.uint64(56 - 8 * level)) & np.uint64(255)
+    return np.bincount(byte.astype(int), None if weight is None else weight[same], 256).astype(float)
+
+
+def ranked(sums: Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray], columns: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray | None]]], wanted: list[float]) -> list[float]:
+    """Of each of several columns of weighted values the least one up to which the weight is more than `wanted`, or the greatest; exactly, by eight passes of counting. sums: of a function over the tables (measures, qualities) of all tasks."""
+    prefix, below = [0] * len(wanted), [0.0] * len(wanted)
+    for level in range(8):
+        counts = sums(lambda x, y: np.concatenate([by_byte(keys(v), p, level, w) for (v, w), p in zip(columns(x, y), prefix, strict=True)])).reshape(-1, 256)  # noqa: B023
+        for t, c in enumerate(counts):
+            up = below[t] + np.cumsum(c)
+            byte = int(np.argmax(up > wanted[t])) if (up > wanted[t]).any() else int(np.flatnonzero(c)[-1])
+            below[t] = float(up[byte] - c[byte])
+            prefix[t] = prefix[t] * 256 + byte
+    return [unkeyed(p) for p in prefix]
+
+
+def quantiles(sums, column: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], counts: list[float], shares: tuple[float, ...]) -> np.ndarray:
+    """(columns, shares): quantiles of columns of so many values each, interpolated as numpy does."""
+    at = [(c, (n - 1) * q) for c, n in enumerate(counts) for q in shares]
+    places = [(c, min(np.floor(p) + k, counts[c] - 1)) for c, p in at for k in (0, 1)]
+    found = ranked(sums, lambda x, y: [(column(x, y)[c], None) for c, _ in places], [r for _, r in places])
+    return np.array([a + (p - np.floor(p)) * (b - a) for (_, p), a, b in zip(at, found[::2], found[1::2], strict=True)]).reshape(len(counts), -1)
+
+
+def cut_at(sums, values: Callable[[np.ndarray], np.ndarray], weights: tuple[float, float], total: float, share: float) -> float:
+    """As `quantile`, of values in tasks; weights: of a text of quality 0 and 1; total: of all."""
+    weight = lambda y: np.where(y == 1, weights[1], weights[0])
+    v = ranked(sums, lambda x, y: [(values(x), weight(y))], [share * total * (1 - 1e-12)])[0]
+
+    def around(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s, w = values(x) + 0.0, weight(y)
+        return np.array([w[s < v].sum(), w[s == v].sum()])
+
+    under, here = sums(around) / total
+    # the neighbours: the greatest value below and the least above, by their weights
+    u = ranked(sums, lambda x, y: [(values(x)[values(x) + 0.0 < v], weight(y)[values(x) + 0.0 < v])], [under * total])[0] if under > 0 else None
+    above = 1 - under - here > 1e-12
+    if u is None and not above:
+        return v
+    if u is not None and (not above or abs(under - share) <= abs(under + here - share)):
+        return (u + v) / 2
+    w = ranked(sums, lambda x, y: [(values(x)[values(x) + 0.0 > v], weight(y)[values(x) + 0.0 > v])], [0.0])[0]
+    return (v + w) / 2
+
+
+def summed(data: DataFrame, f: Callable[..., np.ndarray], *columns: str) -> np.ndarray:
+    """The sum of f over the tables of all tasks; one row of sums a task reaches the driver. Columns of arrays of measures are matrices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            of = [np.asarray(c.flatten(), float).reshape(-1, len(MEASURES)) if pa.types.is_list(c.type) else np.asarray(c) for c in (b.column(n) for n in columns)]
+            if b.num_rows:
+                part = f(*of)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r["s"] for r in data.select(*columns).mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def learned(chosen: DataFrame, met: DataFrame, bad_share: float, good: int, bad: int) -> Model:
+    """The model of texts (quality, x) with so many of either quality; met: buckets of their measures (good, bad) as arrays; bad_share: of quality 0 among all labels."""
+    sums = lambda f: summed(chosen, f, "x", "quality")
+    n, m = good + bad, len(MEASURES)
+    q = quantiles(sums, lambda x, y: list(np.ascontiguousarray(x.T)), [n] * m, (0.005, *KNOTS, 0.995))
+    model = Model(q[:, 0], q[:, -1], q[:, 1:-1], np.zeros(1), np.ones(1), np.zeros(1))
+    middle = sums(lambda x, y: model.features(x).sum(0)) / n
+    scale = np.sqrt(sums(lambda x, y: ((model.features(x) - middle) ** 2).sum(0)) / n)
+    model.middle, model.scale = middle, np.where(scale < 1e-9, 1.0, scale + 1e-9)
+
+    def pair_sums(w: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        def f(g: np.ndarray, h: np.ndarray, many: np.ndarray, few: np.ndarray) -> np.ndarray:
+            total, a, b = np.zeros(1 + len(w) + len(w) ** 2), 0, 0
+            for i, j in zip(many, few, strict=True):
+                p, o = model.features(g[a : a + i]), model.features(h[b : b + j])
+                if i and j:
+                    left, right = pairs(i, j)
+                    for k in range(0, len(left), 20_000):
+                        total += slopes(p[left[k : k + 20_000]] - o[right[k : k + 20_000]], w)
+                a, b = a + i, b + j
+            return total
+
+        return f
+
+    model.weights = descended(lambda w: summed(met, pair_sums(w), "good", "bad", "n_good", "n_bad"), len(middle))
+    # distinct texts have their own share of bad ones; the quantile speaks of the share in all labels
+    weights = bad_share * n / bad, (1 - bad_share) * n / good
+    model.threshold = cut_at(sums, model.raw, weights, float(n), bad_share)
+    between = quantiles(sums, lambda x, y: [model.raw(x)[y == 0], model.raw(x)[y == 1]], [bad, good], (0.5,))
+    model.spread = max(SPREAD * float(between[1, 0] - between[0, 0]), 1e-6)
     return model
 
 
@@ -183,25 +288,34 @@ def measured(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return by_batch(rows.select(*keep, "text"), f, f"{types}, x array<double>")
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
-    """The model, from labelled texts whose fold isn't held out; None without both classes. What reaches the driver is bounded by max_rows texts' measures a class."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+def bucketed(chosen: DataFrame, good: int, bad: int, size: int = BUCKET, few: int = FEW) -> DataFrame:
+    """(good, bad, n_good, n_bad): texts (quality, x) dealt to buckets, as arrays of all their measures. The larger class tells how many there are; a text of the smaller one stands in as many as it takes for each to have a few."""
+    buckets = max(1, -(-max(good, bad) // size))
+    times = min(buckets, max(1, -(-few * buckets // min(good, bad))))
+    at = F.pmod(F.xxhash64("x"), F.lit(buckets))
+    copies = F.when(F.col("quality") == int(good < bad), times).otherwise(1)
+    each = chosen.select("quality", "x", F.explode(F.sequence(at, at + copies - 1)).alias("b")).withColumn("b", F.pmod("b", F.lit(buckets)))
+    of = lambda c: F.flatten(F.sort_array(F.collect_list(F.when(F.col("quality") == c, F.col("x")))))
+    out = each.groupBy("b").agg(of(1).alias("good"), of(0).alias("bad"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("quality") == 0).alias("n_bad"))
+    return settled(out.drop("b"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sent: int = SENT) -> Model | None:
+    """The model, from all labelled texts whose fold isn't held out; None without both classes. What reaches the driver are sums, one row a task."""
+    known = settled(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(share) < 2:
         return None
-    # hashes that can't be among the first of a class are left out where they are read
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
-    first = [known.where((F.col("quality") == c) & (place < min(PLACES, -(-4 * max_rows * PLACES // share[c])))).orderBy(place, "doc_id").limit(max_rows) for c in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
+    if share[0] + share[1] <= sent:
+        found = measured(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ("quality",))
+    else:  # no text is shuffled
+        found = measured(docs.select("doc_id", "text").where(~held_out()), ("doc_id",)).join(known, "doc_id").select("quality", "x")
     # one row for each distinct text, so that copies don't count twice
-    chosen = settled(measured(chosen, ("quality",)).distinct())
-    rows = chosen.toPandas()
-    x, y = np.array(rows["x"].tolist()), rows["quality"].to_numpy()
-    order = np.lexsort([*x.T, y])
-    x, y = x[order], y[order]
-    if len(set(y)) < 2:
+    chosen = settled(found.distinct())
+    n = {r["quality"]: r["count"] for r in chosen.groupBy("quality").count().collect()}
+    if len(n) < 2:
         return None
-    return learned(x, y, share[0] / (share[0] + share[1]))
+    return learned(chosen, bucketed(chosen, n[1], n[0]), share[0] / (share[0] + share[1]), n[1], n[0])
 
 
 def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -71,3 +71,24 @@ def test_hard_texts_and_few_labels(spark):
     none = quality.query(docs, labels.limit(0)).collect()
     assert len(none) == len(rows) and all(r["score"] == 1 and r["predicted"] == 1 for r in none)
     assert quality.query(documents(spark, []), labels).count() == 0
+
+
+def test_every_labelled_text_is_learned_from(spark, monkeypatch):
+    """Quantiles in passes, sums over buckets and the threshold equal those of one table in numpy."""
+    rng = np.random.default_rng(3)
+    x, y = np.round(rng.gamma(1.0, 1.0, (3400, len(quality.MEASURES))), 2), (rng.random(3400) < 0.9).astype(int)
+    x[y == 1] += 0.3
+    chosen = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y, strict=True)], "quality int, x array<double>").repartition(5)
+    sums = lambda f: quality.summed(chosen, f, "x", "quality")
+    got = quality.quantiles(sums, lambda a, b: list(np.ascontiguousarray(a.T)), [len(x)] * x.shape[1], (0.005, 0.5, 0.995))
+    assert np.allclose(got, np.quantile(x, (0.005, 0.5, 0.995), 0).T, atol=1e-12)
+    for share in (0.0001, 0.1, 0.37, 0.9999):
+        w = np.where(y == 1, 0.7, 2.0)
+        assert quality.cut_at(sums, lambda a: a[:, 0] - a[:, 1], (2.0, 0.7), float(w.sum()), share) == quality.quantile(x[:, 0] - x[:, 1] + 0.0, w, share)
+    good, bad = int(y.sum()), int((1 - y).sum())
+    met = quality.bucketed(chosen, good, bad, 400, 100)
+    rows = met.collect()
+    assert len(rows) == -(-good // 400) and sum(r["n_good"] for r in rows) == good and all(r["n_bad"] >= 40 for r in rows)
+    assert {tuple(v) for r in rows for v in np.array(r["bad"]).reshape(-1, x.shape[1])} == {tuple(v) for v in x[y == 0]}
+    model = quality.learned(chosen, met, 0.1, good, bad)
+    assert abs(((model.raw(x) < model.threshold) * np.where(y == 1, 0.9 / good, 0.1 / bad)).sum() - 0.1) < 0.01
