@@ -17,3 +17,13 @@ def test_normalized_text_trims_what_its_sql_trims(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
     assert got == dict(con.execute(retrieval.ORACLE_SQL["normalized_text"]).fetchall())
+
+
+def test_whole_texts_are_sent_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query in ("document_chunks", "search_text_nfkc"):
+        spark.conf.set(name, "10000")
+        try:
+            assert retrieval.QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0 and int(spark.conf.get(name)) <= 1000
+        finally:
+            spark.conf.unset(name)
