@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from belltower.sources.stored import settled
 PCMU, PCMA = 0, 8
 #: Samples of a run, about; samples of a frame; the longest part of a reference that is searched for.
 RUN, FRAME, SEGMENT = 80_000, 160, 16_000
+#: Samples of short runs that are worked on at once.
+TOGETHER = 2_000_000
 FULL = 32768.0
 
 
@@ -38,22 +41,48 @@ def placed(packets: DataFrame, key: str, seq: str, media: str, *order: str, usua
     return p.select(*names, "extended", (F.col("__to") - F.col("__n")).alias("at"))
 
 
+def bounded(sizes: np.ndarray, most: int = TOGETHER) -> Iterator[slice]:
+    """Rows one after the other, as many together as come to about `most` in all."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + 1)
+        yield slice(at, to)
+        at = to
+
+
+def bytes_of(media: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of binaries, and how many each has."""
+    media = media.cast(pa.large_binary())
+    at = np.frombuffer(media.buffers()[1], np.int64)[media.offset : media.offset + len(media) + 1]
+    return np.frombuffer(media.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
 def runs(found: DataFrame, key: str, media: str, run: int = RUN) -> DataFrame:
     """(key, run, start, samples): the 16-bit samples from the first packet that begins in a run up to the first of the next, with silence in place of what is missing. found: as `placed` gives it."""
     one = found.groupBy(key, F.floor(F.col("at") / run).alias("run")).agg(F.sort_array(F.collect_list(F.struct("at", "payload_type", F.col(media).alias("media")))).alias("p"))
     type_ = found.schema[key].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linear = tables()
+        of = tables()
+        linear = np.concatenate([of[PCMU], of[PCMA]]).astype(np.int16)
         for b in batches:
-            for i in range(b.num_rows):
-                parts = b.column("p")[i].as_py()
-                start = parts[0]["at"]
-                out = np.zeros(parts[-1]["at"] + len(parts[-1]["media"]) - start, np.int16)
-                for x in parts:
-                    at = x["at"] - start
-                    out[at : at + len(x["media"])] = linear[x["payload_type"]][np.frombuffer(x["media"], np.uint8)]
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, 1), b.column("run").slice(i, 1), pa.array([start]), pa.array([out], pa.list_(pa.int16()))], names=[key, "run", "start", "samples"])
+            p = b.column("p")
+            first, ends = np.asarray(p.offsets)[:-1], np.asarray(p.offsets)[1:]
+            size = np.diff(np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(p.flatten().field("media")), np.int64))])[np.asarray(p.offsets) - p.offsets[0].as_py()])
+            for rows in bounded(size):
+                lo, hi = first[rows][0], ends[rows][-1]
+                parts = p.values.slice(lo, hi - lo)
+                at, type_of = np.asarray(parts.field("at"), np.int64), np.asarray(parts.field("payload_type"))
+                data, n = bytes_of(parts.field("media"))
+                begins, last = first[rows] - lo, ends[rows] - lo - 1
+                start = at[begins]
+                length = at[last] + n[last] - start
+                base = np.cumsum(length) - length
+                out = np.zeros(int(length.sum()), np.int16)
+                place = at + np.repeat(base - start, ends[rows] - first[rows])
+                out[np.arange(len(data)) + np.repeat(place - (np.cumsum(n) - n), n)] = linear[np.repeat(np.where(type_of == PCMA, 256, 0), n) + data]
+                samples = pa.ListArray.from_arrays(pa.array(np.concatenate([base, [len(out)]]), pa.int32()), pa.array(out))
+                yield pa.RecordBatch.from_arrays([b.column(key)[rows], b.column("run")[rows], pa.array(start), samples], names=[key, "run", "start", "samples"])
 
     return settled(one.mapInArrow(join, f"`{key}` {type_}, run long, start long, samples array<short>"))
 
@@ -83,16 +112,27 @@ def decibel(v: Column) -> Column:
 def levels(rows: DataFrame, key: str, rate: int = 8000) -> DataFrame:
     """Length, peak, RMS, noise floor (the tenth percentile of whole frames' mean size), clipping and offset of every flow, from sums of its runs."""
 
-    def frames(x: np.ndarray, row: dict):
-        x, first = x / FULL, row["start"]
-        edges = np.unique([0, *range(-first % FRAME, len(x), FRAME)]) if len(x) else np.zeros(0, int)
-        if len(edges):
-            size, add = np.abs(x), np.add.reduceat
-            columns = ((first + edges) // FRAME, np.diff([*edges, len(x)]), add(size, edges), add(x * x, edges), np.maximum.reduceat(size, edges), add(x, edges), add((size >= 0.999).astype(int), edges))
-            yield from zip(*(c.tolist() for c in columns), strict=True)
+    names = [key, "frame", "n", "size", "power", "peak", "total", "clipped"]
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            some = whole.filter(pc.greater(pc.list_value_length(whole.column("samples")), 0))
+            length = np.asarray(pc.list_value_length(some.column("samples")), np.int64)
+            for rows in bounded(length):
+                b, n = some.slice(rows.start, rows.stop - rows.start), length[rows]
+                x, start = np.asarray(b.column("samples").flatten()) / FULL, np.asarray(b.column("start"), np.int64)
+                # a run's frames, and the place in x where each begins
+                first = start // FRAME
+                count = (start + n - 1) // FRAME - first + 1
+                frame = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+                edges = np.maximum(frame * FRAME - np.repeat(start, count), 0) + np.repeat(np.cumsum(n) - n, count)
+                size, add = np.abs(x), np.add.reduceat
+                columns = (frame, np.diff(edges, append=len(x)), add(size, edges), add(x * x, edges), np.maximum.reduceat(size, edges), add(x, edges), add((size >= 0.999).astype(np.int64), edges))
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(np.repeat(np.arange(len(n)), count))), *map(pa.array, columns)], names=names)
 
     # a frame that a border of runs parts has a row on both sides
-    each = each_run(rows, key, "frame long, n long, size double, power double, peak double, total double, clipped long", frames)
+    type_ = rows.schema[key].dataType.simpleString()
+    each = rows.select(key, "start", "samples").mapInArrow(frames, f"`{key}` {type_}, frame long, n long, size double, power double, peak double, total double, clipped long")
     each = settled(each.groupBy(key, "frame").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("power").alias("power"), F.max("peak").alias("peak"), F.sum("total").alias("total"), F.sum("clipped").alias("clipped")))
     floor = quantiles(each.where(F.col("n") == FRAME).select(key, (F.col("size") / FRAME).alias("v")), key, "v", {"floor": 0.1})
     whole = each.groupBy(key).agg(F.sum("n").alias("n"), F.sum("power").alias("power"), F.max("peak").alias("peak"), F.sum("total").alias("total"), F.sum("clipped").alias("clipped"))
