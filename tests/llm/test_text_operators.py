@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -363,3 +364,46 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     docs = documents(spark, HARD)
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(HARD)
+
+
+def test_language_model_splits_texts_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        made.add(1)
+        return text
+
+    read = F.udf(seen, "string").asNondeterministic()
+    docs = spark.createDataFrame([(k, f"alpha beta gamma{k % 3}") for k in range(70)], "doc_id long, text string")
+    assert len(language_model.scored(docs.withColumn("text", read("text"))).collect()) == 70
+    assert 70 <= made.value <= 140
+
+
+def test_language_model_words_and_kinds():
+    texts = [None, "", " ", "\x0b\x0cA\tb\r\nC ", "\u00c9\u00a0x Y\u2003y \x1c z\x85", "a\0b  c.", "abcdef, abcdefghij\u00e9", " a"]
+    words, ids, owner = language_model.split(pa.array(["cut off", *texts])[1:])
+    words = words.to_pylist()
+    assert b"" not in words and len(set(words)) == len(words)
+    assert [(int(o), words[i]) for i, o in zip(ids, owner, strict=True)] == [(k, w) for k, t in enumerate(texts) for w in (t or "").encode().lower().split()]
+    odd = [*words, b"\xc3", b".", b",", b"abcdef\xc3"]
+    keys, kinds = language_model.keys_of(pa.array([b"x", *odd], pa.binary())[1:])
+    assert kinds.tolist() == [language_model.kind_of(w) for w in odd] == (keys & np.uint64(127)).tolist() and len(set(keys.tolist())) == len(set(odd))
+    assert language_model.split(pa.array([], pa.string()))[1].size == language_model.keys_of(pa.array([], pa.binary()))[0].size == 0
+
+
+@pytest.mark.parametrize("larger", [1, 60])
+def test_language_model_scores_equal_plain_sums(larger):
+    net = language_model.trained([[b"a", b"b", b"c", b"dd."] * 9] * 5)
+    net.p = {k: v * larger for k, v in net.p.items()}
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, net.p["bw"].shape[0], n) for n in (1, 40, 7, 7, 300, *[3] * language_model.TOGETHER)]
+    found = language_model.log_likelihoods(net, texts)
+    p = net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for text, got in zip(texts[:8], found[:8], strict=True):
+        h, last, want = np.zeros((1, language_model.HIDDEN)), net.end, 0.0
+        for s in text:
+            z, _, c = language_model.step(p, h, p["x"][[last]])
+            h, last, k = (1 - z) * c + z * h, s, net.class_of(s)
+            lo, hi = net.bounds[k], net.bounds[k + 1]
+            want += language_model.log_softmax(h @ p["c"] + p["bc"])[0, k] + language_model.log_softmax(h @ p["w"][:, lo:hi] + p["bw"][lo:hi])[0, s - lo]
+        assert abs(got - want / np.log(10)) < 1e-3 * abs(want)
