@@ -53,6 +53,33 @@ def test_a_worker_lets_go_of_what_other_operators_keep():
     assert not bpe.codec(PATH).known
 
 
+def test_bpe_memory_is_bounded_and_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 40 * (bpe.WEIGHT + 30))
+    own, theirs, met = bpe.Codec(PATH), Tokenizer.from_file(PATH), 0
+    for k in range(300):
+        text = f"often w{chr(97 + k % 26)}{chr(97 + k // 26)}z"
+        met += "often" in own.known or "often" in own.older
+        assert own.encode(text)[0] == theirs.encode(text, add_special_tokens=False).ids
+        assert len(own.known) + len(own.older) < 50
+    assert met == 299
+
+
+def test_a_task_gives_back_memory_and_holds_none_of_other_operators(monkeypatch):
+    from belltower.llm import common
+
+    class Frame:
+        def mapInArrow(self, f, schema):
+            return list(f(iter([])))
+
+    said = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "gives_back", lambda: said.append("back"))
+    common.keeps("bpe", lambda: said.append("bpe let go"))
+    common.keeps("x", lambda: said.append("x let go"))
+    common.in_arrow(Frame(), lambda batches: iter(said.append("run") or []), "", "x")
+    assert said == ["bpe let go", "run", "back"]
+
+
 def test_netpbm_and_bmp_round_trips():
     rng = np.random.default_rng(2)
     g = rng.integers(0, 256, (5, 7), dtype=np.uint8)
