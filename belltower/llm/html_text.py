@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -59,8 +60,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"([^\s=/\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: A tag that opens closes these open siblings.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in BLOCK - {"br", "hr", "li", "dt", "dd", "tr", "td", "th", "html", "body"}}
-SPACE = re.compile(r"\s+")
 ROOT = 0
+#: Tags and paths that a worker remembers; longer tags aren't remembered.
+REMEMBERED, LONGEST = 20_000, 200
 
 
 @dataclass(slots=True)
@@ -72,6 +74,7 @@ class Node:
     above: int  # the parent's path
     doubted: bool = False
     children: list = field(default_factory=list)  # places of nodes, and texts
+    texts: list = ()  # its own texts, white space as one space, from summed on
     content: int | None = None  # hash of the branch's texts in their order; None without text
     chars: int = 0  # of the branch
 
@@ -80,8 +83,31 @@ def digest(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-def parse(page: str) -> list[Node]:
-    """The page's elements in their order, the root first: parents come before their children. Never fails, and takes time in proportion to the page."""
+def spaced(text: str) -> str:
+    """White space as one space, trimmed."""
+    return " ".join(text.split())
+
+
+def tag_told(name: str, attributes: str) -> tuple[str, str, bool, bool]:
+    """An opening tag's name, its style, whether it speaks against its branch, and whether it closes itself."""
+    name = name.lower()
+    values = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(attributes)} if attributes else {}
+    names = " ".join(values[a] for a in ("class", "id", "role") if values.get(a))
+    style = name + ("." + re.sub(r"\d+", "0", values["class"]) if values.get("class") else "")
+    doubted = name in DOUBTED or bool(names and NAMED.search(names)) and name not in ("html", "body", "article", "main") or "hidden" in attributes.lower().split() or values.get("aria-hidden") == "true"
+    return name, style, doubted, attributes.rstrip().endswith("/")
+
+
+told_again = lru_cache(REMEMBERED)(tag_told)
+
+
+@lru_cache(REMEMBERED)
+def path_of(above: int, style: str) -> int:
+    return digest(f"{above}/{style}")
+
+
+def parse(page: str, sums: bool = True) -> list[Node]:
+    """The page's elements in their order, the root first: parents come before their children. Never fails, and takes time in proportion to the page. sums: with contents and characters of branches."""
     nodes = [Node("#root", "", ROOT, -1, -1)]
     stack, opened, endless, at, n = [0], Counter(), set(), 0, len(page)
     # places in the stack that a tag that opens can close or must stop at; only a few are ever passed
@@ -111,9 +137,7 @@ def parse(page: str) -> list[Node]:
                     k -= 1
                 close(k)
         elif m[2]:
-            name = m[2].lower()
-            values = {a.lower(): (x or y or z or "") for a, x, y, z in ATTRIBUTE.findall(m[3])}
-            names = " ".join(values[a] for a in ("class", "id", "role") if values.get(a))
+            name, style, doubted, closed = (told_again if len(m[3]) <= LONGEST else tag_told)(m[2], m[3])
             if name in CLOSES:
                 for k in reversed(marks):
                     tag = nodes[stack[k]].tag
@@ -122,10 +146,8 @@ def parse(page: str) -> list[Node]:
                         break
                     if tag in BLOCK and tag != "p":
                         break
-            style = name + ("." + re.sub(r"\d+", "0", values["class"]) if values.get("class") else "")
-            doubted = name in DOUBTED or bool(names and NAMED.search(names)) and name not in ("html", "body", "article", "main") or "hidden" in m[3].lower().split() or values.get("aria-hidden") == "true"
             above = nodes[stack[-1]].path
-            nodes.append(Node(name, style, digest(f"{above}/{style}"), stack[-1], above, doubted))
+            nodes.append(Node(name, style, (path_of if len(style) <= LONGEST else path_of.__wrapped__)(above, style), stack[-1], above, doubted))
             nodes[stack[-1]].children.append(len(nodes) - 1)
             if name in RAW:
                 end = None
@@ -138,12 +160,13 @@ def parse(page: str) -> list[Node]:
                 elif end:
                     nodes[-1].children.append(page[at : end.start()])
                     at = end.end()
-            elif name not in VOID and not m[3].rstrip().endswith("/"):
+            elif name not in VOID and not closed:
                 if name in BLOCK or name == "option":
                     marks.append(len(stack))
                 stack.append(len(nodes) - 1)
                 opened[name] += 1
-    summed(nodes)
+    if sums:
+        summed(nodes)
     return nodes
 
 
@@ -152,17 +175,18 @@ def summed(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.tag in FLOOR:
             continue
-        parts, chars = [], 0
+        parts, texts, chars = [], [], 0
         for c in node.children:
             if isinstance(c, str):
-                if own := SPACE.sub(" ", c).strip():
+                if own := spaced(c):
                     parts.append(own)
+                    texts.append(own)
                     chars += len(own)
             elif nodes[c].content is not None:
                 parts.append(f"\0{nodes[c].path}:{nodes[c].content}")
                 chars += nodes[c].chars
         if parts:
-            node.content, node.chars = digest("\0".join(parts)), chars
+            node.content, node.chars, node.texts = digest("\0".join(parts)), chars, texts
 
 
 def observed(nodes: list[Node]) -> tuple[int, list[tuple[Node, int]]]:
@@ -174,12 +198,11 @@ def observed(nodes: list[Node]) -> tuple[int, list[tuple[Node, int]]]:
             continue
         if node.doubted or node.up in doubted:
             doubted.add(i)
+        if i not in doubted:
+            texts += [f"{node.path}:{own}" for own in node.texts]
         styles: list[str] = []
         for c in node.children:
-            if isinstance(c, str):
-                if i not in doubted and (own := SPACE.sub(" ", c).strip()):
-                    texts.append(f"{node.path}:{own}")
-            elif nodes[c].tag not in FLOOR and (not styles or styles[-1] != nodes[c].style):
+            if not isinstance(c, str) and nodes[c].tag not in FLOOR and (not styles or styles[-1] != nodes[c].style):
                 styles.append(nodes[c].style)
         seen.append((node, digest(",".join(styles)) if styles else 0))
     return digest("\0".join(texts)), seen
@@ -196,15 +219,18 @@ def alone(nodes: list[Node]) -> set[int]:
 
 def blocks(page: str, kept: set[int], common: set[tuple[int, int]]) -> list[str]:
     """Texts of the blocks that stay: white space as one space, trimmed, empty ones left out. kept: paths of the host's main branches; common: (path, content) of low branches."""
-    nodes = parse(page)
+    nodes = parse(page, False)
     if not any(node.path in kept for node in nodes):
+        summed(nodes)
         kept, common = alone(nodes), set()
+    elif common:
+        summed(nodes)
     out: list[str] = []
     part: list[str] = []
 
     def cut() -> None:
         if part:
-            text = SPACE.sub(" ", entities.unescape("".join(part))).strip()
+            text = spaced(entities.unescape("".join(part)))
             part.clear()
             if text:
                 out.append(text)

@@ -247,6 +247,27 @@ def test_proximity_finds_shifted_anchors(spark):
     assert {r["doc_id"] for r in decontaminate.proximity_matches(docs, items, tolerance=2).collect()} >= {1, 2}
 
 
+def test_html_tags_are_read_once_and_contents_summed_only_where_asked_for(monkeypatch):
+    page = "<body><div class=y>" + "<p class='a 1' hidden>x</p><p class='a 1'>y  z</p>" * 50 + f"<b class='{'l' * 300}'>w</b></div></body>"
+    read, summed, find = [], [], html_text.ATTRIBUTE.findall
+
+    class Attributes:
+        findall = staticmethod(lambda text: read.append(text) or find(text))
+
+    html_text.told_again.cache_clear()
+    monkeypatch.setattr(html_text, "ATTRIBUTE", Attributes)
+    monkeypatch.setattr(html_text, "summed", lambda nodes, f=html_text.summed: summed.append(1) or f(nodes))
+    nodes = html_text.parse(page)
+    assert len(read) == 4 and sum(n.doubted for n in nodes) == 50 and {n.style for n in nodes if n.tag == "p"} == {"p.a 0"}
+    html_text.parse(page)
+    assert sum(len(x) > 200 for x in read) == 2 and len(read) == 5  # long tags aren't remembered
+    summed.clear()
+    main, low = nodes[2], next(n for n in nodes if n.tag == "b")
+    assert html_text.blocks(page, {main.path}, set())[-1] == "w" and not summed
+    assert "w" not in html_text.blocks(page, {main.path}, {(low.path, low.content)}) and summed == [1]
+    assert html_text.blocks(page, {1}, set()) and summed == [1, 1]  # judged by its own characters
+
+
 def test_html_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>"</script></head><body>
 <header>Head</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="ad">Buy</div><aside>Side</aside>
