op7_pii: words of one look are scored once, lines of several texts decoded together

Symptom: op7_pii spent 289 CPU seconds a GB over 0.51 GB, nearly all of it in Python (277; JVM 9, GC 1).
Evidence: in a profile of 4,000 texts 3.5 of 4.2 s were scores of words: each word's features were made three times, words were forgotten after each batch, and Viterbi ran text by text; each text was scanned by four patterns though one in ten has a digit or an @ at all.
Fix: texts without a digit or @ are passed over by one Arrow match; features are made once for a look (what a word's features tell), 2,000 looks and 20,000 words are remembered by a task (100,000 a batch before); marked lines of up to 20,000 characters of texts go through one Viterbi run; training sums by bincount. Same weights and spans.
Effect: at 0.6 GB of input CPU 257 -> 136 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.60 GB, longest task 19 -> 9 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 1777 -> 428 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 6.04 -> 6.04 GB, longest task 45 -> 13 s, most memory of a task 0 -> 0 MB; with hot keys, at 0.6 GB of input CPU 184 -> 102 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 16 -> 6 s, most memory of a task 0 -> 0 MB.

@@ -13,13 +13,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from belltower.llm.common import by_batch, sha256, texts
+from belltower.llm.common import in_arrow, sha256, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -30,9 +33,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Every span must hold one of these, so only lines with one are decoded.
+#: Every span must hold one of these, so only lines with one are decoded, and texts without one have no spans.
 MARKED = re.compile(r"[0-9@]")
 FEATURES = 4096
+#: Characters of texts whose marked lines are decoded at a time, at most, but for a longer text; words, and looks of words, that a task remembers.
+TOGETHER, KNOWN, LOOKS = 20_000, 20_000, 2_000
+#: Shapes of ASCII letters and digits.
+ASCII_SHAPES = {c: "A" if chr(c).isupper() else "a" if chr(c).islower() else "0" for c in range(128) if chr(c).isalnum()}
 
 
 def luhn(digits: str) -> bool:
@@ -83,26 +90,43 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(word: str) -> str:
     """Character classes with runs cut to two: letters a, capitals A, digits 0, other signs as they are."""
-    s = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)
-    s = re.sub(r"[0-9]", "0", s)
+    if word.isascii():
+        s = word.translate(ASCII_SHAPES)
+    else:
+        s = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word)
+        s = re.sub(r"[0-9]", "0", s)
     return re.sub(r"(.)\1\1+", r"\1\1", s)[:24]
 
 
-def word_features(word: str) -> list[str]:
+NAMES = ("token", "key", "password", "secret", "tel", "phone", "call", "card", "mail", "email", "api_key", "ip")
+
+
+def look(word: str) -> tuple:
+    """What the features of a word tell: words of the same look have the same features."""
     core = word.strip(".,;:!?()\"'")
-    digits = sum("0" <= c <= "9" for c in core)
-    letters = sum(c.isalpha() for c in core)
     size = min(len(core), 40) // 4
+    name = core.lower() if core.lower() in NAMES else None
+    if core.isalpha():  # no digits and no signs
+        return shape(core), size, 0, False, False, False, 0, False, False, False, name
+    digits = len(digits_of(core))
+    letters = sum(c.isalpha() for c in core)
     hexadecimal = len(core) >= 20 and all(c in "0123456789abcdefABCDEF\"'" for c in core)
-    out = ["bias", f"shape={shape(core)}", f"size={size}", f"digits={min(digits, 20)}", f"mixed={digits > 2 and letters > 2}", f"hex={hexadecimal and digits > 3 and letters > 1}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}", f"equals={core.endswith('=') or core.startswith('=')}", f"luhn={core.isascii() and core.isdecimal() and luhn(core)}", f"octets={core.count('.') == 3 and all(p.isascii() and p.isdecimal() and octet(p) for p in core.split('.'))}"]
-    if core.lower() in ("token", "key", "password", "secret", "tel", "phone", "call", "card", "mail", "email", "api_key", "ip"):
-        out.append(f"word={core.lower()}")
-    return out
+    octets = core.count(".") == 3 and all(p.isascii() and p.isdecimal() and octet(p) for p in core.split("."))
+    return shape(core), size, min(digits, 20), digits > 2 and letters > 2, hexadecimal and digits > 3 and letters > 1, "@" in core, min(core.count("."), 4), core.endswith("=") or core.startswith("="), core.isascii() and core.isdecimal() and luhn(core), octets, name
+
+
+#: The features of a look, in its order; the last one only if there is a name.
+ASPECTS = ("shape", "size", "digits", "mixed", "hex", "at", "dots", "equals", "luhn", "octets", "word")
+
 
+def word_features(seen: tuple) -> list[str]:
+    """The features of words of a look."""
+    return ["bias", *(f"{a}={x}" for a, x in zip(ASPECTS, seen, strict=True) if x is not None)]
 
-def slots(word: str, where: str) -> list[int]:
-    """Places of a word's features in the weights; where: this word, the one before or after."""
-    return [zlib.crc32(f"{where}|{f}".encode()) % FEATURES for f in word_features(word)]
+
+def slots(seen: tuple, where: str) -> list[int]:
+    """Places of a look's features in the weights; where: this word, the one before or after."""
+    return [zlib.crc32(f"{where}|{f}".encode()) % FEATURES for f in word_features(seen)]
 
 
 @dataclass
@@ -110,44 +134,55 @@ class Field:
     emit: np.ndarray  # (FEATURES, K)
     move: np.ndarray  # (K, K)
 
-    def scores(self, words: list[str], memory: dict) -> np.ndarray:
-        """Emission scores of a line's words."""
-        k = self.emit.shape[1]
-        parts = np.zeros((3, len(words), k))
-        for i, w in enumerate(words):
-            if (s := memory.get(w)) is None:
-                if len(memory) > 100_000:
-                    memory.clear()
-                memory[w] = s = np.stack([self.emit[slots(w, x)].sum(0) for x in ("this", "before", "after")])
-            parts[:, i] = s
-        out = parts[0]
-        out[1:] += parts[1, :-1]
-        out[:-1] += parts[2, 1:]
-        return out
+    def of_word(self, word: str, memory: tuple[dict, dict]) -> np.ndarray:
+        """What a word adds to its own scores, to the next word's and to those of the word before. memory: of words, and of looks."""
+        words, looks = memory
+        if (s := words.get(word)) is None:
+            if (s := looks.get(seen := look(word))) is None:
+                if len(looks) >= LOOKS:
+                    looks.clear()
+                looks[seen] = s = np.concatenate([self.emit[slots(seen, x)].sum(0) for x in ("this", "before", "after")])
+            if len(words) >= KNOWN:
+                words.clear()
+            words[word] = s
+        return s
+
+    def scores(self, lines: list[list[str]], memory: tuple[dict, dict]) -> list[np.ndarray]:
+        """Emission scores of the words of lines that have some."""
+        k, ends = self.emit.shape[1], np.cumsum([len(x) for x in lines])
+        parts = np.concatenate([self.of_word(w, memory) for x in lines for w in x]).reshape(-1, 3, k)
+        inner = np.ones(len(parts) - 1, bool)  # whether a word's next one is of its line
+        inner[ends[:-1] - 1] = False
+        out = parts[:, 0].copy()
+        out[1:][inner] += parts[:-1, 1][inner]
+        out[:-1][inner] += parts[1:, 2][inner]
+        return np.split(out, ends[:-1])
 
 
 def viterbi(lines: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     """Best label sequences of many lines at once, longest first so that the batch shrinks as lines end."""
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
-    sizes = np.array([len(lines[i]) for i in order])
+    sizes = np.array([len(lines[i]) for i in order], int)
     if not len(sizes) or not sizes[0]:
         return [np.zeros(0, int) for _ in lines]
-    live = [int((sizes > t).sum()) for t in range(sizes[0])]
-    best = np.stack([lines[i][0] for i in order[: live[0]]])
+    # the lines one after the other; step by step, how many still go on
+    words, starts = np.concatenate([lines[i] for i in order]), np.cumsum(sizes) - sizes
+    live = np.searchsorted(-sizes, -np.arange(sizes[0]))
+    best = words[starts[: live[0]]]
     back = []
     for t in range(1, sizes[0]):
         n = live[t]
         reach = best[:n, :, None] + move
-        back.append(reach.argmax(1))
-        best[:n] = reach.max(1) + np.stack([lines[i][t] for i in order[:n]])
-    last, paths = best.argmax(1), [np.zeros(0, int) for _ in lines]
-    for r, i in enumerate(order[: live[0]]):
-        path = np.zeros(sizes[r], int)
-        path[-1] = last[r]
-        for t in range(sizes[r] - 1, 0, -1):
-            path[t - 1] = back[t - 1][r, path[t]]
-        paths[i] = path
-    return paths
+        back.append(reach.argmax(1).astype(np.int8))
+        best[:n] = reach.max(1) + words[starts[:n] + t]
+    label, path = best.argmax(1), np.zeros(len(words), int)
+    for t in range(sizes[0] - 1, 0, -1):
+        n = live[t]
+        path[starts[:n] + t] = label[:n]
+        label[:n] = back[t - 1][np.arange(n), label[:n]]
+    path[starts[: live[0]]] = label
+    found = dict(zip(order, np.split(path, starts[1:]), strict=True))
+    return [found[i] for i in range(len(lines))]
 
 
 #: The labelled sentences: what stands in braces is of the kind named, all other words are nobody's. Values are made for each.
@@ -244,6 +279,11 @@ def labelled_table(rounds: int = 8) -> list[tuple[list[str], list[str]]]:
     return rows
 
 
+def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows (m, k) of each place, in their order: (n, k)."""
+    return np.stack([np.bincount(at, column, n) for column in rows.T], 1)
+
+
 def trained(rows: list[tuple[list[str], list[str]]], rounds: int = 60, ridge: float = 1e-3) -> Field:
     """Weights that maximise the penalised log-likelihood, by gradient steps with per-weight rates over the whole (small, bounded) table."""
     k = len(LABELS)
@@ -255,7 +295,7 @@ def trained(rows: list[tuple[list[str], list[str]]], rounds: int = 60, ridge: fl
         mask[r, : len(words)] = True
         gold[r, : len(words)] = [LABELS.index(x) for x in labels]
         for i, _ in enumerate(words):
-            s = slots(words[i], "this") + (slots(words[i - 1], "before") if i else []) + (slots(words[i + 1], "after") if i + 1 < len(words) else [])
+            s = slots(look(words[i]), "this") + (slots(look(words[i - 1]), "before") if i else []) + (slots(look(words[i + 1]), "after") if i + 1 < len(words) else [])
             entries += s
             owner += [r * size + i] * len(s)
     entries, owner = np.array(entries), np.array(owner)
@@ -265,9 +305,7 @@ def trained(rows: list[tuple[list[str], list[str]]], rounds: int = 60, ridge: fl
     both = mask[:, 1:] & mask[:, :-1]
     seen_moves = np.einsum("rta,rtb->ab", hot[:, :-1] * both[:, :, None], hot[:, 1:])
     for _ in range(rounds):
-        s = np.zeros((len(rows) * size, k))
-        np.add.at(s, owner, emit[entries])
-        s = s.reshape(len(rows), size, k)
+        s = summed(emit[entries], owner, len(rows) * size).reshape(len(rows), size, k)
         a, b = np.zeros_like(s), np.zeros_like(s)
         a[:, 0] = s[:, 0]
         for t in range(1, size):
@@ -279,8 +317,7 @@ def trained(rows: list[tuple[list[str], list[str]]], rounds: int = 60, ridge: fl
         z = np.logaddexp.reduce(a[:, -1], axis=1)
         p = np.exp(np.where(mask[:, :, None], a + b - z[:, None, None], -np.inf))
         pair = np.exp(np.where(both[:, :, None, None], a[:, :-1, :, None] + move + (s[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None], -np.inf)).sum((0, 1))
-        ge = np.zeros_like(emit)
-        np.add.at(ge, entries, (hot - p).reshape(-1, k)[owner])
+        ge = summed((hot - p).reshape(-1, k)[owner], entries, FEATURES)
         ge, gm = ge - ridge * len(rows) * emit, seen_moves - pair - ridge * len(rows) * move
         g2e += ge**2
         g2m += gm**2
@@ -294,50 +331,66 @@ def whole(label: str, word: str) -> bool:
     return label in ("email", "ip", "secret") or label == "card" and len(digits_of(word)) >= 16
 
 
-def field_spans(field: Field, text: str, memory: dict) -> list[tuple[str, int, int]]:
-    """Spans of equal labels in the marked lines of a text; edge punctuation is no part of a span, and a card must pass its check digit."""
-    places, scores = [], []
-    start = 0
-    for line in text.split("\n"):
-        if MARKED.search(line):
-            words = [(m[0], start + m.start()) for m in WORD.finditer(line)]
-            if words:
-                places.append(words)
-                scores.append(field.scores([w for w, _ in words], memory))
-        start += len(line) + 1
-    found = []
-    for words, path in zip(places, viterbi(scores, field.move), strict=True):
+def field_spans(field: Field, texts: list[str], memory: tuple[dict, dict]) -> list[list[tuple[str, int, int]]]:
+    """For each text the spans of equal labels in its marked lines; edge punctuation is no part of a span, and a card must pass its check digit."""
+    lines, words = [], []
+    for n, text in enumerate(texts):
+        start = 0
+        for line in text.split("\n"):
+            if MARKED.search(line) and (own := WORD.findall(line)):
+                lines.append((n, start, line))
+                words.append(own)
+            start += len(line) + 1
+    found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    paths = viterbi(field.scores(words, memory), field.move) if lines else []
+    for (n, start, line), own, labels in zip(lines, words, paths, strict=True):
+        if not labels.any():
+            continue
+        text, path, places = texts[n], labels.tolist(), [start + m.start() for m in WORD.finditer(line)]
         i = 0
-        while i < len(words):
+        while i < len(path):
             j = i
-            while j + 1 < len(words) and path[j + 1] == path[i] and not whole(LABELS[path[i]], words[j][0]):
+            while j + 1 < len(path) and path[j + 1] == path[i] and not whole(LABELS[path[i]], own[j]):
                 j += 1
             if path[i]:
-                a, b = words[i][1], words[j][1] + len(words[j][0])
+                a, b = places[i], places[j] + len(own[j])
                 while a < b and text[a] in "\"'<[":
                     a += 1
                 while b > a and text[b - 1] in ".,;:!?\"'>]#$%&*|":
                     b -= 1
                 if MARKED.search(text, a, b) and (LABELS[path[i]] != "card" or luhn(digits_of(text[a:b]))):
-                    found.append((LABELS[path[i]], a, b))
+                    found[n].append((LABELS[path[i]], a, b))
             i = j + 1
     return found
 
 
-def spans(field: Field, text: str, memory: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Pattern spans; and all spans, by kind as listed (others after), then start."""
-    base = pattern_spans(text)
-    more = []
-    if MARKED.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        starts = np.array([a for a, _ in taken] or [len(text) + 1])
-        ends = np.maximum.accumulate(np.array([b for _, b in taken] or [len(text) + 1]))
-        for kind, a, b in field_spans(field, text, memory):
-            k = int(np.searchsorted(starts, b))
-            if not taken or k == 0 or ends[k - 1] <= a:
-                more.append((kind, a, b))
+def spans(field: Field, texts: list[str], memory: tuple[dict, dict]) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """For each text its pattern spans; and all its spans, by kind as listed (others after), then start."""
     order = {x: i for i, x in enumerate((*KINDS, "secret"))}
-    return base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2]))
+    for text, added in zip(texts, field_spans(field, texts, memory), strict=True):
+        base, more = pattern_spans(text), []
+        if added:
+            taken = sorted((a, b) for _, a, b in base)
+            starts = np.array([a for a, _ in taken] or [len(text) + 1])
+            ends = np.maximum.accumulate(np.array([b for _, b in taken] or [len(text) + 1]))
+            for kind, a, b in added:
+                k = int(np.searchsorted(starts, b))
+                if not taken or k == 0 or ends[k - 1] <= a:
+                    more.append((kind, a, b))
+        yield base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2]))
+
+
+def grouped(texts: list[str], size: int = TOGETHER) -> Iterator[list[str]]:
+    """The texts in runs that have size characters at most, or are one text."""
+    held, n = [], 0
+    for text in texts:
+        if held and n + len(text) > size:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text)
+    if held:
+        yield held
 
 
 def written(found: list[tuple[str, int, int]]) -> str:
@@ -348,16 +401,24 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, counts and digest of pattern spans, and all spans of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(field or trained(labelled_table()))
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        memory: dict = {}
+    def f(b: pa.RecordBatch, memory: tuple[dict, dict]) -> pa.RecordBatch:
+        column = b.column("text")
+        marked = pc.fill_null(pc.match_substring_regex(column, MARKED.pattern), False)
+        found = chain.from_iterable(spans(shared.value, some, memory) for some in grouped(texts(column.filter(marked))))
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
         digests, everything = [], []
-        for text in texts(b.column("text")):
-            base, both = spans(shared.value, text, memory)
+        for some in marked.to_pylist():
+            base, both = next(found) if some else ([], [])
             for k in KINDS:
                 counts[k].append(sum(x == k for x, _, _ in base))
             digests.append(sha256(written(base).encode()))
             everything.append(written(both))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests), pa.array(everything)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return by_batch(docs.select("doc_id", "text"), f, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: tuple[dict, dict] = ({}, {})
+        for b in batches:
+            for part in slices(b):
+                yield f(part, memory)
+
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

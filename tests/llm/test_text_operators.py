@@ -156,6 +156,44 @@ def test_personal_data_keeps_pattern_spans_and_leaves_clean_texts(spark):
     assert out[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_words_that_look_alike_are_scored_once(monkeypatch):
+    field, real, asked = pii.trained(pii.labelled_table(1), 2), pii.slots, []
+    monkeypatch.setattr(pii, "slots", lambda *x: asked.append(x) or real(*x))
+    lines = [["abcd", "bcde,", "Ab1", "cdef"], ["7"], ["dcba", "4539148803436467", "éa²", "bcde"]]
+    found = field.scores(lines, ({}, {}))
+    assert len(asked) == 3 * 5
+    for line, scores in zip(lines, found, strict=True):
+        part = lambda w, x: field.emit[real(pii.look(w), x)].sum(0)
+        for i, w in enumerate(line):
+            want = part(w, "this")
+            want = want + part(line[i - 1], "before") if i else want
+            want = want + part(line[i + 1], "after") if i + 1 < len(line) else want
+            assert (scores[i] == want).all()
+
+
+def test_texts_decoded_together_have_the_spans_they_have_alone(spark, monkeypatch):
+    field = pii.trained(pii.labelled_table())
+    texts = ["", "no marks\nat all", "call (555) 123-4567 now\n\n \x1c \ncards 4539148803436467 4539148803436467", "token = 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "a@b.co " * 50, " ٣ ² 9\r@\n9", "call (555) 123-4567 now"]
+    alone = [next(pii.spans(field, [t], ({}, {}))) for t in texts]
+    assert list(pii.spans(field, texts, ({}, {}))) == alone and sum(len(more) - len(base) for base, more in alone) >= 4
+    assert [len(x) for x in pii.grouped(texts, 60)] == [2, 1, 1, 1, 2] and list(pii.grouped([])) == []
+    rows = [(i, t) for i, t in enumerate([*texts, None, *texts])]
+    for name in ("KNOWN", "LOOKS"):  # what is remembered changes nothing
+        monkeypatch.setattr(pii, name, 2)
+    assert [next(pii.spans(field, [t], ({}, {}))) for t in texts] == alone
+    out = {r["doc_id"]: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert [out[i]["spans"] for i in range(len(rows))] == [pii.written(x) for _, x in [*alone, ([], []), *alone]]
+    assert out[len(texts)]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_sums_by_place_keep_the_order_of_their_rows():
+    rng = np.random.default_rng(2)
+    rows, at = rng.normal(size=(500, 3)), rng.integers(0, 7, 500)
+    want = np.zeros((9, 3))
+    np.add.at(want, at, rows)
+    assert (pii.summed(rows, at, 9) == want).all()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(9)
     plain = [f"w{k}" for k in range(60)]
