@@ -71,7 +71,7 @@ class StoredIndex:
         return rows.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int"))
 
     def _replace(self, rows: DataFrame, name: str) -> None:
-        """The folders that rows fall into, and no others, hold these rows alone from the write's commit on."""
+        """The folders that rows fall into, and no others, hold these rows alone from the write's commit on. Until then they are written beside what is there, which rows can be read from."""
         # a document of very many chunks is several files
         by = ["bucket", F.floor(F.col("chunk_index") / FILE)] if "chunk_index" in rows.columns else ["bucket"]
         self._bucketed(rows).repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
@@ -90,8 +90,10 @@ class StoredIndex:
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 
-    def status(self, space: str) -> DataFrame:
-        return index_status(self.documents().drop("bucket"), self.chunks(), space)
+    def status(self, space: str, documents: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+        """documents, chunks: those of this index, for a caller that has read them."""
+        documents = self.documents() if documents is None else documents
+        return index_status(documents.drop("bucket"), self.chunks() if chunks is None else chunks, space)
 
     def reindexed(self, embed: Embedder, space: str, size: int, only_stale: bool = True, pages: DataFrame | None = None) -> DataFrame:
         """Embeds the chunks of stale (or all) documents and replaces those of every document that came through whole; returns (document_id, chunks, error), a row for each document that was tried.
@@ -102,30 +104,29 @@ class StoredIndex:
         made for documents that have none stored. Folders without a changed document are neither
         read nor written.
         """
-        wanted = self.status(space)
+        documents, stored = self.documents(), self.chunks()
+        wanted = self.status(space, documents, stored)
         wanted = settled((wanted.where("stale") if only_stale else wanted).select("document_id", F.col("chunk_count") == 0).toDF("document_id", "bare"))
-        old = self.chunks().join(wanted, "document_id", "left_semi").select("document_id", "chunk_index", "page_number", "text")
+        old = stored.join(wanted, "document_id", "left_semi").select("document_id", "chunk_index", "page_number", "text")
         if pages is not None:
             old = old.unionByName(pages.join(wanted.where("bare"), "document_id", "left_semi").select("document_id", "chunk_index", "page_number", "text"))
         staged = settled(embedded(old, embed, size))
         told = staged.groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("error").alias("error"))
         report = wanted.select("document_id").join(told, "document_id", "left").select("document_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.when(F.col("chunks").isNull(), "no chunks").otherwise(F.col("error")).alias("error"))
         report = settled(report)
-        good = report.where("error IS NULL").select("document_id")
-        self._merge("chunks", staged.drop("error").join(good, "document_id", "left_semi"), good)
-        note = F.to_json(F.struct(F.lit(space).alias("embedding_space"), F.lit(size).cast("string").alias("embedding_dimensions"), F.col("chunks").cast("string").alias("chunk_count")))
         well = F.col("error").isNull()
-        merged = merged_json(F.col("metadata_json"), F.when(well, note).otherwise(F.to_json(F.struct("error"))))
-        # a document that is well again loses its old error
-        merged = F.to_json(F.map_filter(merged, lambda k, v: ~well | (k != "error")))
-        states = self.documents().join(report, "document_id").select("document_id", F.when(well, "ready").otherwise("failed").alias("status"), merged.alias("metadata_json"))
-        self._merge("documents", states, report.select("document_id"))
+        touched = self._bucketed(report).groupBy("bucket").agg(F.bool_or(well).alias("well")).collect()  # at most one for each folder
+        if at := sorted(r["bucket"] for r in touched if r["well"]):
+            kept = stored.where(F.col("bucket").isin(at)).join(report.where(well), "document_id", "left_anti").drop("bucket")
+            # documents with failed chunks are few as a rule, and a table of their own tells Spark so: the others' new rows needn't be shuffled to be found
+            failed = settled(report.where(~well & (F.col("chunks") > 0)).select("document_id"))
+            self._replace(kept.unionByName(staged.join(failed, "document_id", "left_anti").select(*kept.columns)), "chunks")
+        if at := sorted(r["bucket"] for r in touched):
+            note = F.to_json(F.struct(F.lit(space).alias("embedding_space"), F.lit(size).cast("string").alias("embedding_dimensions"), F.col("chunks").cast("string").alias("chunk_count")))
+            merged = merged_json(F.col("metadata_json"), F.when(well, note).otherwise(F.to_json(F.struct("error"))))
+            # a document that is well again loses its old error
+            merged = F.to_json(F.map_filter(merged, lambda k, v: ~well | (k != "error")))
+            both, tried = documents.where(F.col("bucket").isin(at)).join(report, "document_id", "left"), F.col("chunks").isNotNull()
+            status = F.when(~tried, F.col("status")).when(well, "ready").otherwise("failed")
+            self._replace(both.select("document_id", status.alias("status"), F.when(tried, merged).otherwise(F.col("metadata_json")).alias("metadata_json")), "documents")
         return report
-
-    def _merge(self, name: str, rows: DataFrame, replaced: DataFrame) -> None:
-        """Writes the folders of `replaced` documents anew: what others there hold, and rows. Whole content is written beside the table first, then moved by the commit of one write."""
-        touched = self._bucketed(replaced).select("bucket").distinct()
-        at = sorted(r["bucket"] for r in touched.collect())  # at most one for each folder
-        if at:
-            kept = (self.chunks() if name == "chunks" else self.documents()).where(F.col("bucket").isin(at)).join(replaced, "document_id", "left_anti").drop("bucket")
-            self._replace(settled(kept.unionByName(rows.select(*kept.columns))), name)

@@ -102,6 +102,41 @@ def test_folders_without_a_changed_document_are_not_written(spark, stored, tmp_p
     assert changed and all(f"bucket={bucket}/" in p for p in changed) and len(held(index)) == 40
 
 
+def test_new_chunks_are_written_once_beside_the_index_and_not_shuffled_to_be_found(spark, stored, monkeypatch):
+    index = stored([(d, 0, "boom" if d == 7 else "t", [2.0, 2.0]) for d in range(3000)])
+    kept, replaced, plans = reindex.settled, reindex.StoredIndex._replace, {}
+    written = []
+    monkeypatch.setattr(reindex, "settled", lambda df: written.append(df.columns) or kept(df))
+    monkeypatch.setattr(reindex.StoredIndex, "_replace", lambda self, rows, name: plans.update({name: rows._jdf.queryExecution().executedPlan().toString()}) or replaced(self, rows, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        report = index.reindexed(embed, "new", SIZE)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [c for c in written if "embedding" in c or "metadata_json" in c] == [["document_id", "chunk_index", "page_number", "text", "embedding", "error"]]
+    assert "SortMergeJoin" in plans["chunks"] and "BroadcastHashJoin" in plans["chunks"]  # what stays; and what was staged
+    assert plans["documents"].count("FileScan") == 2
+    assert report.count() == 3000 and report.where("error IS NOT NULL").count() == 1
+    assert held(index) == {(d, 0): [2.0, 2.0] if d == 7 else [1.0, 1.0] for d in range(3000)}
+
+
+def test_repeated_and_null_ids_and_chunks_of_no_document(spark, tmp_path):
+    chunks = [(1, 0, "ab", [9.0, 9.0]), (1, 0, "ab", [9.0, 9.0]), (None, 0, "n", [5.0, 5.0]), (99, 0, "o", None), (2, 0, None, None), (3, 0, "boom", None), (4, 0, "x", [8.0, 8.0])]
+    old, new = '{"embedding_space":"old"}', '{"embedding_space":"new"}'
+    docs = [(1, "ready", old), (1, "failed", None), (None, "ready", new), (2, "ready", "no json"), (3, "ready", new), (4, None, new), (5, "failed", new)]
+    index = reindex.StoredIndex(spark, str(tmp_path / "odd"), 8).created(spark.createDataFrame(docs, "document_id long, status string, metadata_json string"), spark.createDataFrame([(d, i, 1, t, e) for d, i, t, e in chunks], reindex.CHUNKS))
+    report = index.reindexed(embed, "new", SIZE)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, report.collect()), key=key) == sorted([(1, 2, None), (1, 2, None), (None, 0, "no chunks"), (2, 1, None), (3, 1, "RuntimeError: service down"), (5, 0, "no chunks")], key=key)
+    rows = sorted(((r["document_id"], r["text"], r["embedding"]) for r in index.chunks().collect()), key=key)
+    assert rows == sorted([(1, "ab", [2.0, 1.0]), (1, "ab", [2.0, 1.0]), (None, "n", [5.0, 5.0]), (99, "o", None), (2, None, [0.0, 1.0]), (3, "boom", None), (4, "x", [8.0, 8.0])], key=key)
+    # a document that comes twice is told of its result once for each of its rows in the report
+    note = lambda n: {"embedding_space": "new", "embedding_dimensions": "2", "chunk_count": n}
+    states = sorted(((r["document_id"], r["status"], json.loads(r["metadata_json"])) for r in index.documents().collect()), key=key)
+    want = [(1, "ready", note("2"))] * 4 + [(None, "ready", json.loads(new)), (2, "ready", note("1")), (3, "failed", json.loads(new) | {"error": "RuntimeError: service down"}), (4, None, json.loads(new)), (5, "failed", json.loads(new) | {"error": "no chunks"})]
+    assert [(*x[:2], sorted(x[2].items())) for x in states] == [(*x[:2], sorted(x[2].items())) for x in sorted(want, key=key)]
+
+
 def test_a_second_run_computes_nothing(spark, tmp_path):
     asked = spark.sparkContext.accumulator(0)
 
